@@ -111,6 +111,7 @@ def eval_window(
     iterations: int,
     eval_freq: int = EVAL_FREQ,
     eval_batches: int = EVAL_BATCHES,
+    resumed_at: int = 0,
 ) -> DataFrame:
     """Which evaluation reads each validation sample.
 
@@ -118,9 +119,11 @@ def eval_window(
     batches, the one after the last iteration a full pass.  The order is shuffled
     once and cycled, so batch b is read at positions b, b + batches, ... of one
     endless sequence.  Adds ``eval_id``, ``eval_itr`` and ``t``, the batch's place
-    in its evaluation.  ``batched`` is one epoch of one rank.
+    in its evaluation.  ``batched`` is one epoch of one rank.  After a resume the
+    cycle starts anew, so ``eval_id`` counts evaluations since ``resumed_at``.
     """
-    evals = math.ceil(iterations / eval_freq)
+    done = resumed_at // eval_freq
+    evals = math.ceil(iterations / eval_freq) - done if resumed_at < iterations else 0
     if evals < 1:
         return batched.select("*", *[F.lit(0).cast("long").alias(c) for c in ("eval_id", "eval_itr", "t")]).limit(0)
     before_last = F.lit(eval_batches * (evals - 1)).cast("long")
@@ -130,7 +133,7 @@ def eval_window(
         batched.select("*", F.explode(reads).alias("read"))
         .withColumn("eval_id", F.least(_div(F.col("read"), eval_batches), F.lit(evals - 1).cast("long")))
         .withColumn("t", F.col("read") - F.col("eval_id") * eval_batches)
-        .withColumn("eval_itr", F.least((F.col("eval_id") + 1) * eval_freq, F.lit(iterations).cast("long")))
+        .withColumn("eval_itr", F.least((F.col("eval_id") + done + 1) * eval_freq, F.lit(iterations).cast("long")))
         .drop("read")
     )
 
