@@ -79,12 +79,6 @@ def rank_batch_plan(batch_size: int, acc_steps: int, world: int) -> tuple[int, i
     return batch_size // (world // common), acc_steps // common
 
 
-def epochs_needed(sequences: int, iterations: int, batch_size: int, acc_steps: int, world: int = 1) -> int:
-    """Passes over the training sequences that ``iterations`` steps touch."""
-    batches = math.ceil(math.ceil(sequences / world) / batch_size)
-    return math.ceil(iterations * acc_steps / batches) if batches else 0
-
-
 def step_schedule(batched: DataFrame, iterations: int, acc_steps: int = ACC_STEPS) -> DataFrame:
     """When each sample of :func:`batch_assign` is consumed in a run.
 
