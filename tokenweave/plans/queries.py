@@ -247,6 +247,11 @@ def q_bpe_round_trip(spark, sf):
     return decoded.select("doc_key", F.md5("decoded").alias("text_md5"))
 
 
+def q_bpe_encode(spark, sf):
+    ids = texts(spark, sf).withColumn("ids", BytePairCoder(spark).encode("text"))
+    return ids.select("doc_key", "ids", token_len("ids").alias("n"))
+
+
 def q_bpe_special_policy(spark, sf):
     coder = BytePairCoder(spark)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("doc_key"), "quality", "toxic")
