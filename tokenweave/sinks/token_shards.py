@@ -26,6 +26,7 @@ from pyspark.sql.datasource import (
 
 from tokenweave.functions.ids import WORD_LIMIT
 from tokenweave.operators.order import contiguous_shard, ordered_sums
+from tokenweave.sources.files import filesystem
 
 # The most shards of a split, and the word on disk.
 MAX_SHARDS = 1024
@@ -37,15 +38,9 @@ ROWS = "split string, shard int, start bigint, ids array<int>"
 CHUNKS = "split string, start bigint, ids array<int>"
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-
-
 def read_manifest(path: str) -> list[dict]:
     """Shards of a folder, in stream order; none when nothing was committed."""
-    files, root = _filesystem(path)
+    files, root = filesystem(path)
     try:
         with files.open_input_stream(f"{root}/{MANIFEST}") as f:
             return json.loads(f.read())
@@ -78,7 +73,7 @@ class ShardWriter(DataSourceArrowWriter):
         self.attempt = f"_attempt-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         folder = f"{root}/{self.attempt}"
         files.create_dir(folder, recursive=True)
         done: list[tuple[str, int, int, int, str]] = []
@@ -110,7 +105,7 @@ class ShardWriter(DataSourceArrowWriter):
         return WrittenShards(done)
 
     def commit(self, messages: list[WrittenShards | None]) -> None:
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         old = read_manifest(self.path)
         if old and not self.overwrite:
             raise ValueError(f"{self.path} already holds token shards")
@@ -142,7 +137,7 @@ class ShardWriter(DataSourceArrowWriter):
     def _drop_attempt(self) -> None:
         from pyarrow import fs
 
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         if files.get_file_info(f"{root}/{self.attempt}").type == fs.FileType.Directory:
             files.delete_dir(f"{root}/{self.attempt}")
 
@@ -166,7 +161,7 @@ class ShardReader(DataSourceReader):
         ]
 
     def read(self, partition: TokenRange) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         name = f"{root}/{partition.split}/shard-{partition.shard:05d}.bin"
         with files.open_input_file(name) as f:
             f.seek(partition.first * WORD.itemsize)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tokenweave.functions.markup import normalize_newlines
 from tokenweave.session import stage
+from tokenweave.sources.files import filesystem, plain_path
 
 DOCUMENTS = T.StructType(
     [
@@ -67,7 +68,7 @@ def read_text_split(spark: SparkSession, path: str | Sequence[str]) -> tuple[Dat
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     lines = raw.select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -99,16 +100,40 @@ def drop_added_newline(segments: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_document_files(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file below ``path/<year>/``: ``(year, doc_key, text)``."""
-    rows = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/*/*")
-    name = F.col("_metadata.file_path")
-    return rows.select(
-        F.regexp_extract(name, r"/(\d{4})/[^/]*$", 1).cast("int").alias("year"),
-        name.alias("doc_key"),
-        normalize_newlines("value").alias("text"),
+    """One document per file below ``path/<year>/``: ``(year, doc_key, text)``.
+
+    ``doc_key`` is ``<year>/<name>``.  Spark leaves out files of no length; they are
+    documents all the same and count in the index of their year, so they are added
+    from listings, one task a year.
+    """
+    rows = spark.read.text(f"{path.rstrip('/')}/*/*", wholetext=True)
+    full = rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), normalize_newlines("value").alias("text"))
+    key = F.regexp_extract("path", r"[^/]*/[^/]*$", 0)
+    docs = full.unionByName(_empty_files(spark, path).withColumn("text", F.lit("")))
+    return docs.select(
+        F.regexp_extract(key, r"^(\d{4})/", 1).cast("int").alias("year"), key.alias("doc_key"), "text"
     )
 
 
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the files without content in the folders of ``path``."""
+    from pyarrow import fs
+
+    files, root = filesystem(path)
+    folders = [f.base_name for f in files.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory]
+
+    def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = filesystem(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                listed = store.get_file_info(fs.FileSelector(f"{top}/{folder}"))
+                names = [f"{folder}/{f.base_name}" for f in listed if f.type == fs.FileType.File and f.size == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    listing = spark.createDataFrame([(f,) for f in folders], "folder string")
+    return listing.repartition(max(1, len(folders)), "folder").mapInArrow(empty, "path string")
+
+
 def safe_member(name: str) -> bool:
     """False for a member name that would leave the folder it is unpacked into."""
     plain = name.replace("\\", "/")
@@ -126,7 +151,7 @@ def expand_archives(spark: SparkSession, path: str, part_bytes: int = PART_BYTES
 
     def pieces(stream) -> Iterator[bytes]:
         held = b""
-        while block := stream.read(READ_BYTES):
+        while block := stream.read(min(READ_BYTES, part_bytes)):
             held += block
             if len(held) >= part_bytes and (end := held.rfind(b"\n")) >= 0:
                 yield held[: end + 1]
@@ -147,8 +172,6 @@ def expand_archives(spark: SparkSession, path: str, part_bytes: int = PART_BYTES
                         yield info.name, pieces(t.extractfile(info))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         fields = [("archive", pa.string()), ("member", pa.string()), ("part", pa.int32()), ("content", pa.binary())]
         schema = pa.schema(fields)
 
@@ -157,8 +180,7 @@ def expand_archives(spark: SparkSession, path: str, part_bytes: int = PART_BYTES
 
         for batch in batches:
             for archive in batch.column("path").to_pylist():
-                place = archive if "://" in archive else "file://" + archive.removeprefix("file:")
-                files, inside = fs.FileSystem.from_uri(place)
+                files, inside = filesystem(archive)
                 rows, size = [], 0
                 with files.open_input_file(inside) as stream:
                     for member, parts in members(archive, stream):
