@@ -14,7 +14,7 @@ from tokenweave.operators.mix import YEAR_PRESETS, concat_years, mix_corpora, se
 from tokenweave.operators.order import hash_order, token_offsets
 from tokenweave.plans.corpora import CORPORA, ORDER, corpus, year_corpus
 from tokenweave.plans.prepare import build_sequences, export_shards, tokenize_corpus
-from tokenweave.sinks.token_shards import read_token_shards
+from tokenweave.sources.token_shards import read_token_shards
 from tests_util import streams
 
 LATEX = "\\documentclass{a}\\begin{document}%s\\end{document}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenweave.session import scratch_dir, scratch_path, stage
 from tokenweave.sinks.materialize import is_finished, materialize_once, materialize_years, pin
-from tokenweave.sinks.token_shards import read_manifest, read_token_shards, write_token_shards
+from tokenweave.sinks.token_shards import write_token_shards
 from tokenweave.sources.documents import (
     decoded_members,
     expand_archives,
@@ -18,6 +18,8 @@ from tokenweave.sources.documents import (
     reject_null_text,
     safe_member,
 )
+from tokenweave.sources.token_files import read_manifest
+from tokenweave.sources.token_shards import read_sequences, read_token_shards
 from tokenweave.streaming.tokenize import tokenize_new_files
 
 
@@ -50,6 +52,35 @@ def test_shards_round_trip(spark, tmp_path, shards, chunk, part):
     assert not list(tmp_path.glob("tok/_attempt*"))
 
 
+@pytest.mark.parametrize("length,part", [(1, 1), (7, 21), (64, 1 << 20), (100_000, 1 << 20)])
+def test_sequences_from_shards(spark, tmp_path, length, part):
+    out = str(tmp_path / "tok")
+    write_token_shards(tokens(spark, DOCS), out, ["doc"], 8)
+    got = {(r.split, r.seq_id): (r.x, r.y) for r in read_sequences(spark, out, length, part).collect()}
+    want = {}
+    for split in ("train", "val", "test"):
+        ids = stream(split)
+        for c in range(max(0, (len(ids) - 1) // length)):
+            want[split, c] = (ids[c * length : (c + 1) * length], ids[c * length + 1 : (c + 1) * length + 1])
+    assert got == want
+
+
+def test_plain_token_files(spark, tmp_path):
+    """Files of other origin, several to a split, without a manifest."""
+    years = {y: np.arange(y, y + 100 * (y % 5), dtype="<u2") for y in (1999, 2000, 2001)}
+    for y, ids in years.items():
+        ids.tofile(tmp_path / f"{y}.npy")
+    files = {"train": [str(tmp_path / f"{y}.npy") for y in (2001, 2000, 1999)], "val": [str(tmp_path / "2001.npy")]}
+    want = np.concatenate([years[2001], years[2000], years[1999]]).tolist()
+    rows = read_token_shards(spark, files, 64, 128).where("split = 'train'").orderBy("start").collect()
+    assert [i for r in rows for i in r.ids] == want
+    rows = read_sequences(spark, files, 30, 90).where("split = 'train'").orderBy("seq_id").collect()
+    assert [i for r in rows for i in r.x] == want[: (len(want) - 1) // 30 * 30]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="two-byte"):
+        read_token_shards(spark, {"train": [str(tmp_path / "odd.bin")]})
+
+
 def test_shards_are_written_once(spark, tmp_path):
     out = str(tmp_path / "tok")
     write_token_shards(tokens(spark, DOCS), out, ["doc"], 8)

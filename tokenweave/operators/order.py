@@ -88,16 +88,16 @@ def prefix_sum(
     order: Sequence[str],
     bucket: Column,
     groups: Sequence[str] = (),
-    max_groups: int = 3,
-    buckets: int | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Exclusive running sums in a global order, per group.
 
     For each ``name -> value`` adds ``name`` (the sum over earlier rows),
     ``name_lo`` / ``name_hi`` (the span of the row's order bucket) and
-    ``name_total`` (of the group), plus the ``bucket``.  ``max_groups * buckets``
-    bounds the bucket table; only a table within :data:`BROADCAST_ROWS` is
-    broadcast.
+    ``name_total`` (of the group), plus the ``bucket``.  ``most_rows`` is a known
+    bound of the bucket table: only a table within :data:`BROADCAST_ROWS` is
+    broadcast.  Otherwise Spark decides by the size it measures, and a join by
+    ``(groups, bucket)`` is the shuffle the window needs anyway.
     """
     named = df.withColumn("bucket", bucket)
     at = [*groups, "bucket"]
@@ -117,7 +117,7 @@ def prefix_sum(
             )
         ],
     )
-    if buckets is not None and max_groups * buckets <= BROADCAST_ROWS:
+    if most_rows is not None and most_rows <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     inside = (
         Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,25 +133,35 @@ def ordered_sums(
     groups: Sequence[str] = (),
     hashed: bool = False,
     buckets: int | None = None,
-    max_groups: int = 3,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """:func:`prefix_sum` with the bucket chosen for the order.
 
     ``hashed`` says that ``order[0]`` is a :func:`hash_order` key; otherwise the
-    groups and the order columns together are cut into equal shares.
+    groups and the order columns together are cut into equal shares.  Give
+    ``max_groups`` only where the number of groups has a fixed bound.
     """
     spark = df.sparkSession
+    if not groups:
+        max_groups = 1
     if hashed:
         buckets = buckets or default_buckets(spark)
-        return prefix_sum(df, sums, order, hash_bucket(order[0], buckets), groups, max_groups, buckets)
+        bound = None if max_groups is None else max_groups * buckets
+        return prefix_sum(df, sums, order, hash_bucket(order[0], buckets), groups, bound)
     buckets = buckets or default_buckets(spark, 4, MAX_RANGE_BUCKETS)
-    cut = range_bucket(df, [*groups, *order], buckets)
-    # Shares are cut group by group, so a group adds at most one row to the table.
-    return prefix_sum(df, sums, order, cut, groups, 1, buckets + max_groups)
+    # Shares are cut group by group, so each group adds at most one row to the table.
+    bound = None if max_groups is None else max_groups + buckets
+    return prefix_sum(df, sums, order, range_bucket(df, [*groups, *order], buckets), groups, bound)
+
+
+#: A document belongs to one of three splits.
+MAX_SPLITS = 3
 
 
 def token_offsets(df: DataFrame, order: Sequence[str], groups: Sequence[str] = ("split",), **kw) -> DataFrame:
     """Start of each document in the token stream of its split; needs a column ``n``."""
+    if tuple(groups) == ("split",):
+        kw.setdefault("max_groups", MAX_SPLITS)
     return ordered_sums(df, {"start": "n"}, order, groups, **kw)
 
 
@@ -160,9 +170,9 @@ def global_rank(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (),
     return ordered_sums(df, {out: F.lit(1).cast("long")}, order, groups, **kw)
 
 
-def document_index(df: DataFrame, group: str, order: Sequence[str], out: str = "i", max_groups: int = 4096) -> DataFrame:
+def document_index(df: DataFrame, group: str, order: Sequence[str], out: str = "i") -> DataFrame:
     """Zero-based index of a document in the sorted listing of its group."""
-    ranked = global_rank(df, order, (group,), out, max_groups=max_groups)
+    ranked = global_rank(df, order, (group,), out)
     return ranked.drop("bucket", f"{out}_lo", f"{out}_hi", f"{out}_total")
 
 

@@ -27,7 +27,6 @@ def safe_segments(
     file: str = "file",
     order: Sequence[str] = ("line_no",),
     text: str = "text",
-    max_files: int = 4096,
 ) -> DataFrame:
     """Lines with their terminators to rows ``(file, segment, text)``.
 
@@ -39,14 +38,27 @@ def safe_segments(
     space = F.regexp_extract(F.col(text), TRAILING_SPACE, 2)
     cut = lines.select(file, *order, body.alias("body"), space.alias("space"))
     cut = cut.withColumn("filled", (F.col("body") != "").cast("long"))
-    placed = ordered_sums(cut, {"segment": "filled"}, order, (file,), max_groups=max_files)
+    placed = ordered_sums(cut, {"segment": "filled"}, order, (file,))
     # Bodies go to their own segment, trailing white space and blank lines to the next.
     pieces = F.array(
         F.struct(F.col("segment").alias("segment"), F.col("body").alias("piece")),
         F.struct((F.col("segment") + F.col("filled")).alias("segment"), F.col("space").alias("piece")),
     )
-    parts = placed.select(file, F.struct(*order).alias("at"), F.inline(F.filter(pieces, lambda p: p["piece"] != "")))
-    joined = F.array_sort(F.collect_list(F.struct("at", "piece")))
-    return parts.groupBy(file, "segment").agg(
-        F.array_join(F.transform(joined, lambda p: p["piece"]), "").alias("text")
+    parts = placed.select(
+        file,
+        "bucket",
+        F.struct(*order).alias("at"),
+        F.col("segment_lo").alias("lo"),
+        F.col("segment_hi").alias("hi"),
+        F.inline(F.filter(pieces, lambda p: p["piece"] != "")),
     )
+    # A segment between the first and last of its bucket lies in that bucket as a
+    # whole and is joined where it is; only the border segments are shuffled again.
+    whole = (F.col("segment") > F.col("lo")) & (F.col("segment") < F.col("hi"))
+    inner = _joined(parts.where(whole), [file, "bucket", "segment"]).drop("bucket")
+    return inner.unionByName(_joined(parts.where(~whole), [file, "segment"]))
+
+
+def _joined(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("text"))

@@ -129,6 +129,8 @@ SEGMENT = rf"[{WHITE_SPACE}]*[^{WHITE_SPACE}](?:[^\n]*[^{WHITE_SPACE}])?"
 
 def statements() -> dict[str, str]:
     """SQL by query name; queries that SQL cannot state are left out."""
+    pack = f"""WITH {STREAM} SELECT split, seq_id, string_agg(x, ',' ORDER BY p) AS x,
+            string_agg(y, ',' ORDER BY p) AS y FROM kept GROUP BY split, seq_id"""
     return {
         "read_documents": """SELECT doc_id AS doc_key, source, md5(text) AS text_md5,
             length(text)::BIGINT AS chars FROM documents""",
@@ -206,8 +208,8 @@ def statements() -> dict[str, str]:
               (shard + 1) * (c // shards) + least(shard + 1, c % shards) AS high FROM s)
             SELECT g.doc_id AS doc_key, g.split, e.shard::INT AS shard FROM g JOIN e
             ON g.split = e.split AND g.i >= e.low AND g.i < e.high""",
-        "pack_sequences": f"""WITH {STREAM} SELECT split, seq_id, string_agg(x, ',' ORDER BY p) AS x,
-            string_agg(y, ',' ORDER BY p) AS y FROM kept GROUP BY split, seq_id""",
+        "pack_sequences": pack,
+        "shard_sequences": pack,
         "shift_targets": f"""WITH {STREAM} SELECT split, seq_id, arg_min(x, p) AS first_x, arg_min(y, p) AS first_y,
             arg_max(y, p) AS last_y FROM kept GROUP BY split, seq_id""",
         "stream_length": f"WITH {_split()} SELECT split, sum(n)::BIGINT AS tokens FROM parts GROUP BY split",
@@ -264,17 +266,8 @@ def statements() -> dict[str, str]:
             d AS (SELECT part, year, doc_id AS doc_key, length({_clean()})::BIGINT AS n
               FROM documents JOIN y ON source = year)
             SELECT *, (sum(n) OVER (ORDER BY part, doc_key) - n)::BIGINT AS start FROM d""",
-        "token_shards": f"""WITH {_split()}, g AS (
-              SELECT *, row_number() OVER (PARTITION BY split ORDER BY k, doc_id) - 1 AS i,
-                count(*) OVER (PARTITION BY split) AS c FROM placed),
-            q AS (SELECT *, least({SHARDS}, c) AS shards FROM g),
-            h AS (SELECT *, CASE WHEN i < (c % shards) * (c // shards + 1) THEN i // (c // shards + 1)
-              ELSE c % shards + (i - (c % shards) * (c // shards + 1)) // (c // shards) END AS shard FROM q),
-            b AS (SELECT *, min(start) OVER (PARTITION BY split, shard) AS low FROM h),
-            t AS (SELECT split, low, start + unnest(range(n)) AS p,
-              unnest(list_append({_ids()}, {EOT})) AS id FROM b)
-            SELECT split, low + (p - low) // {CHUNK} * {CHUNK} AS start, count(*) AS n,
-              md5(string_agg(id, ',' ORDER BY p)) AS ids_md5 FROM t GROUP BY split, low, (p - low) // {CHUNK}""",
+        "token_shards": f"""WITH {STREAM} SELECT split, p // {CHUNK} * {CHUNK} AS start, count(*) AS n,
+            md5(string_agg(x, ',' ORDER BY p)) AS ids_md5 FROM pairs GROUP BY split, p // {CHUNK}""",
         "materialize_once": f"""WITH {_split()} SELECT split, count(*) AS docs, sum(n)::BIGINT AS tokens,
             sum(n)::BIGINT AS ids FROM parts GROUP BY split""",
         "pin": f"WITH {_split()} SELECT split, {REPORT} FROM parts GROUP BY split",

@@ -20,7 +20,14 @@ from tokenweave.functions.markup import (
     normalize_newlines,
 )
 from tokenweave.operators.mix import concat_years, mix_corpora, select_years
-from tokenweave.operators.order import contiguous_shard, document_index, global_rank, hash_order, token_offsets
+from tokenweave.operators.order import (
+    MAX_SPLITS,
+    contiguous_shard,
+    document_index,
+    global_rank,
+    hash_order,
+    token_offsets,
+)
 from tokenweave.operators.pack import pack_sequences
 from tokenweave.operators.report import (
     batches_per_epoch,
@@ -52,9 +59,10 @@ from tokenweave.operators.scoring import (
 from tokenweave.operators.segments import safe_segments
 from tokenweave.operators.splits import file_split, modulo_split, offset_split, random_split
 from tokenweave.sinks.materialize import materialize_once, pin
-from tokenweave.sinks.token_shards import read_token_shards, write_token_shards
+from tokenweave.sinks.token_shards import write_token_shards
 from tokenweave.session import scratch_path, spread, stage
 from tokenweave.sources.documents import read_documents, read_text_split
+from tokenweave.sources.token_shards import read_sequences, read_token_shards
 
 LENGTH = 256
 EOT = VOCAB_SIZE
@@ -298,7 +306,7 @@ def q_token_offsets(spark, sf):
 
 def q_token_offsets_natural(spark, sf):
     docs = texts(spark, sf).withColumn("n", char_len("text"))
-    return token_offsets(docs, ["doc_key"], ("source",), max_groups=4096).select("doc_key", "source", "n", "start")
+    return token_offsets(docs, ["doc_key"], ("source",)).select("doc_key", "source", "n", "start")
 
 
 def q_global_rank(spark, sf):
@@ -308,7 +316,7 @@ def q_global_rank(spark, sf):
 
 def q_contiguous_shard(spark, sf):
     docs = random_split(documents(spark, sf), fraction=FRACTION)
-    ranked = global_rank(docs, HASHED, ("split",), hashed=True)
+    ranked = global_rank(docs, HASHED, ("split",), hashed=True, max_groups=MAX_SPLITS)
     shard = contiguous_shard(F.col("pos"), F.col("pos_total"), SHARDS)
     return ranked.select("doc_key", "split", shard.alias("shard"))
 
@@ -486,16 +494,25 @@ def q_concat_years(spark, sf):
     return token_offsets(placed, ["part", "doc_key"], ()).select("part", "year", "doc_key", "n", "start")
 
 
-def q_token_shards(spark, sf):
+def _shards(spark, sf) -> str:
     tokens = split_documents(spark, sf).withColumn("ids", char_ids()).select("split", *HASHED, "ids", "n")
     out = scratch_path(spark, "shards")
     write_token_shards(tokens, out, HASHED, SHARDS, hashed=True)
-    chunks = read_token_shards(spark, out, CHUNK)
+    return out
+
+
+def q_token_shards(spark, sf):
+    chunks = read_token_shards(spark, _shards(spark, sf), CHUNK)
     return chunks.select(
         "split", "start", F.size("ids").cast("long").alias("n"), F.md5(joined("ids")).alias("ids_md5")
     )
 
 
+def q_shard_sequences(spark, sf):
+    sequences = read_sequences(spark, _shards(spark, sf), LENGTH)
+    return sequences.select("split", "seq_id", joined("x").alias("x"), joined("y").alias("y"))
+
+
 def q_materialize_once(spark, sf):
     out = scratch_path(spark, "tokens")
 

@@ -1,4 +1,4 @@
-"""Flat two-byte token files as a Spark data source, for reading and writing.
+"""Flat two-byte token files as a Spark data source.
 
 A folder holds ``<split>/shard-NNNNN.bin`` with little-endian ``uint16`` words and
 a manifest ``(split, shard, start, n_tokens)``.  The shards of a split, one after
@@ -14,38 +14,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    InputPartition,
-    WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tokenweave.functions.ids import WORD_LIMIT
 from tokenweave.operators.order import contiguous_shard, ordered_sums
 from tokenweave.sources.files import filesystem
+from tokenweave.sources.token_files import (
+    CHUNKS,
+    MANIFEST,
+    WINDOWS,
+    WORD,
+    StreamReader,
+    TokenFile,
+    read_manifest,
+    shard_files,
+)
 
-# The most shards of a split, and the word on disk.
+# Fixed value: the most shards of a split.
 MAX_SHARDS = 1024
-WORD = np.dtype("<u2")
 
 SPLITS = ("train", "val", "test")
-MANIFEST = "manifest.json"
-ROWS = "split string, shard int, start bigint, ids array<int>"
-CHUNKS = "split string, start bigint, ids array<int>"
-
-
-def read_manifest(path: str) -> list[dict]:
-    """Shards of a folder, in stream order; none when nothing was committed."""
-    files, root = filesystem(path)
-    try:
-        with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return json.loads(f.read())
-    except FileNotFoundError:
-        return []
 
 
 @dataclass
@@ -55,15 +45,6 @@ class WrittenShards(WriterCommitMessage):
     shards: list[tuple[str, int, int, int, str]]
 
 
-@dataclass
-class TokenRange(InputPartition):
-    split: str
-    shard: int
-    first: int
-    tokens: int
-    start: int
-
-
 class ShardWriter(DataSourceArrowWriter):
     """Each task appends to its own temporary files; the commit renames them."""
 
@@ -80,23 +61,26 @@ class ShardWriter(DataSourceArrowWriter):
         out, current, begin, place, target = None, None, 0, 0, ""
         try:
             for batch in iterator:
-                splits, shards = batch.column("split").to_pylist(), batch.column("shard").to_pylist()
+                owners = list(zip(batch.column("split").to_pylist(), batch.column("shard").to_pylist()))
                 starts, ids = batch.column("start").to_numpy(), batch.column("ids")
-                for row, owner in enumerate(zip(splits, shards)):
-                    if owner != current:
+                borders = [i for i in range(len(owners)) if i == 0 or owners[i] != owners[i - 1]] + [len(owners)]
+                for a, b in zip(borders, borders[1:]):
+                    if owners[a] != current:
                         if out is not None:
                             out.close()
                             done.append((*current, begin, place - begin, target))
-                        current, begin, place = owner, int(starts[row]), int(starts[row])
+                        current, begin, place = owners[a], int(starts[a]), int(starts[a])
                         target = f"{folder}/{uuid.uuid4().hex}.bin"
                         out = files.open_output_stream(target, compression=None)
-                    words = ids[row].values.to_numpy(zero_copy_only=False)
-                    if int(starts[row]) != place:
-                        raise ValueError(f"shard {owner} is not contiguous: {starts[row]} after {place}")
+                    run = ids.slice(a, b - a)
+                    ends = place + np.cumsum(run.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                    if not np.array_equal(starts[a:b], np.append(place, ends[:-1])):
+                        raise ValueError(f"shard {current} is not contiguous after {place}")
+                    words = run.flatten().to_numpy(zero_copy_only=False)
                     if len(words) and not 0 <= int(words.min()) <= int(words.max()) < WORD_LIMIT:
-                        raise ValueError(f"an id of shard {owner} does not fit two bytes")
+                        raise ValueError(f"an id of shard {current} does not fit two bytes")
                     out.write(words.astype(WORD).tobytes())
-                    place += len(words)
+                    place = int(ends[-1])
         finally:
             if out is not None:
                 out.close()
@@ -110,15 +94,15 @@ class ShardWriter(DataSourceArrowWriter):
         if old and not self.overwrite:
             raise ValueError(f"{self.path} already holds token shards")
         new = [s for m in messages if m is not None for s in m.shards]
-        if len({(split, shard) for split, shard, *_ in new}) != len(new):
+        names = {(split, shard) for split, shard, *_ in new}
+        if len(names) != len(new):
             raise ValueError("a shard was written by two tasks")
         if old:
             files.delete_file(f"{root}/{MANIFEST}")
-        for split in sorted({split for split, *_ in new}):
+        for split in sorted({split for split, _ in names}):
             files.create_dir(f"{root}/{split}", recursive=True)
         for split, shard, _, _, temporary in new:
             files.move(temporary, f"{root}/{split}/shard-{shard:05d}.bin")
-        names = {(split, shard) for split, shard, *_ in new}
         for s in old:
             if (s["split"], s["shard"]) not in names:
                 files.delete_file(f"{root}/{s['split']}/shard-{s['shard']:05d}.bin")
@@ -142,55 +126,31 @@ class ShardWriter(DataSourceArrowWriter):
             files.delete_dir(f"{root}/{self.attempt}")
 
 
-class ShardReader(DataSourceReader):
-    """One partition per byte range, read in chunks of ``chunk`` ids."""
-
-    def __init__(self, path: str, chunk: int, partition_tokens: int):
-        self.path = path
-        self.chunk = chunk
-        self.step = max(chunk, partition_tokens // chunk * chunk)
-
-    def partitions(self) -> Sequence[TokenRange]:
-        shards = read_manifest(self.path)
-        if not shards:
-            raise ValueError(f"{self.path} holds no token shards")
-        return [
-            TokenRange(s["split"], s["shard"], at, min(self.step, s["n_tokens"] - at), s["start"] + at)
-            for s in shards
-            for at in range(0, s["n_tokens"], self.step)
-        ]
-
-    def read(self, partition: TokenRange) -> Iterator[pa.RecordBatch]:
-        files, root = filesystem(self.path)
-        name = f"{root}/{partition.split}/shard-{partition.shard:05d}.bin"
-        with files.open_input_file(name) as f:
-            f.seek(partition.first * WORD.itemsize)
-            for at in range(0, partition.tokens, self.chunk):
-                count = min(self.chunk, partition.tokens - at)
-                words = np.frombuffer(f.read(count * WORD.itemsize), WORD).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.split]), pa.array([partition.start + at], pa.int64()), ids],
-                    names=["split", "start", "ids"],
-                )
-
-
 class TokenShards(DataSource):
-    """``format("token_shards")``; options ``path``, ``chunk``, ``partition_tokens``."""
+    """``format("token_shards")`` over a folder ``path``, or over plain ``files``.
+
+    Reads rows of ``chunk`` ids; with ``sequence_length`` L instead rows of L + 1
+    ids, one per sequence.  ``partition_tokens`` bounds what one task reads.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "token_shards"
 
     def schema(self) -> str:
-        return CHUNKS
-
-    def reader(self, schema) -> ShardReader:
-        return ShardReader(
-            self.options["path"],
-            int(self.options.get("chunk", 1 << 16)),
-            int(self.options.get("partition_tokens", 1 << 24)),
-        )
+        return WINDOWS if "sequence_length" in self.options else CHUNKS
+
+    def reader(self, schema) -> StreamReader:
+        if "files" in self.options:
+            files = [TokenFile(*f) for f in json.loads(self.options["files"])]
+        else:
+            files = shard_files(self.options["path"])
+            if not files:
+                raise ValueError(f"{self.options['path']} holds no token shards")
+        length = int(self.options.get("sequence_length", 0))
+        step = length or int(self.options.get("chunk", 1 << 16))
+        tokens = int(self.options.get("partition_tokens", 1 << 24))
+        return StreamReader(files, step, 1 if length else 0, tokens, bool(length))
 
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         return ShardWriter(self.options["path"], overwrite)
@@ -198,7 +158,9 @@ class TokenShards(DataSource):
 
 def assign_shards(df: DataFrame, order: Sequence[str], shards: int = MAX_SHARDS, **kw) -> DataFrame:
     """Adds ``start`` and ``shard``: contiguous runs of documents of each split."""
-    placed = ordered_sums(df, {"start": "n", "rank": F.lit(1).cast("long")}, order, ("split",), **kw)
+    placed = ordered_sums(
+        df, {"start": "n", "rank": F.lit(1).cast("long")}, order, ("split",), max_groups=len(SPLITS), **kw
+    )
     return placed.withColumn("shard", contiguous_shard(F.col("rank"), F.col("rank_total"), shards))
 
 
@@ -222,11 +184,3 @@ def write_token_shards(
         .mode("overwrite" if overwrite else "append")
         .save(path)
     )
-
-
-def read_token_shards(spark: SparkSession, path: str, chunk: int = 1 << 16, partition_tokens: int = 1 << 24) -> DataFrame:
-    """Token files as rows ``(split, start, ids)`` of up to ``chunk`` ids, read in parallel."""
-    spark.dataSource.register(TokenShards)
-    return (
-        spark.read.format("token_shards").option("chunk", chunk).option("partition_tokens", partition_tokens).load(path)
-    )

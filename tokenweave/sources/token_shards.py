@@ -1,5 +1,42 @@
-"""Reading flat token files; the format is defined with its writer."""
+"""Token files as DataFrames: chunks of the stream, or its sequences."""
 
-from tokenweave.sinks.token_shards import read_manifest, read_token_shards
+from __future__ import annotations
 
-__all__ = ["read_manifest", "read_token_shards"]
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import astuple
+
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+
+from tokenweave.operators.pack import SEQUENCE_LENGTH, shift_targets
+from tokenweave.sinks.token_shards import TokenShards
+from tokenweave.sources.token_files import plain_files
+
+#: A folder of shards, or the plain files of each split in order.
+Tokens = str | Mapping[str, Sequence[str]]
+
+
+def _reader(spark: SparkSession, tokens: Tokens, partition_tokens: int) -> DataFrameReader:
+    spark.dataSource.register(TokenShards)
+    reader = spark.read.format("token_shards").option("partition_tokens", partition_tokens)
+    if isinstance(tokens, str):
+        return reader.option("path", tokens)
+    return reader.option("files", json.dumps([astuple(f) for f in plain_files(tokens)]))
+
+
+def read_token_shards(
+    spark: SparkSession, tokens: Tokens, chunk: int = 1 << 16, partition_tokens: int = 1 << 24
+) -> DataFrame:
+    """Rows ``(split, start, ids)``: the stream of each split in chunks, read in parallel."""
+    return _reader(spark, tokens, partition_tokens).option("chunk", chunk).load()
+
+
+def read_sequences(
+    spark: SparkSession, tokens: Tokens, length: int = SEQUENCE_LENGTH, partition_tokens: int = 1 << 24
+) -> DataFrame:
+    """Rows ``(split, seq_id, x, y)`` straight from token files.
+
+    A sequence is a range of bytes, so nothing is shuffled: the same rows as
+    ``pack_sequences`` gives for the documents the files were written from.
+    """
+    return shift_targets(_reader(spark, tokens, partition_tokens).option("sequence_length", length).load(), length)
