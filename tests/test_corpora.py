@@ -12,7 +12,7 @@ from tokenweave.functions.bpe import EOT_ID, EOT_TEXT
 from tokenweave.functions.chars import char_encode
 from tokenweave.operators.mix import YEAR_PRESETS, concat_years, mix_corpora, select_years
 from tokenweave.operators.order import hash_order, token_offsets
-from tokenweave.plans.corpora import CORPORA, ORDER, corpus, year_corpus
+from tokenweave.plans.corpora import CORPORA, ORDER, corpus, web_corpus, year_corpus
 from tokenweave.plans.prepare import build_sequences, export_shards, tokenize_corpus
 from tokenweave.sources.token_shards import read_token_shards
 from tests_util import streams
@@ -39,6 +39,8 @@ def test_web_corpus(spark, coder, plain, tmp_path):
         for s, part in (("val", docs[:val]), ("train", docs[val:]))
     }
     assert val == 2 and streams(tokens) == want
+    # Documents cut into several rows give the same stream.
+    assert streams(web_corpus(spark, path, coder, max_chars=8)) == want
     # Sequences and flat files hold the same stream.
     sequences = build_sequences(tokens, str(tmp_path / "sequences"), 64).where("split = 'train'").orderBy("seq_id").collect()
     assert [i for r in sequences for i in r.x] == want["train"][: len(sequences) * 64]

@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import pytest
@@ -13,8 +14,9 @@ from tokenweave.operators.order import (
     hash_order,
     ordered_sums,
     prefix_sum,
-    range_bucket,
+    range_bounds,
     token_offsets,
+    with_range_bucket,
 )
 
 
@@ -68,8 +70,11 @@ def test_large_bucket_table_is_not_broadcast(spark, rows):
         small = ordered_sums(df, {"start": "n"}, buckets=64, **kw)
         large = ordered_sums(df, {"start": "n"}, buckets=BROADCAST_ROWS, **kw)
         plans = [d._jdf.queryExecution().toString() for d in (small, large)]
-        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
-        assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+        assert "BroadcastHashJoin" in plans[0] and "ShuffledHashJoin" not in plans[0]
+        assert "ShuffledHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+        # The join and the window share one shuffle and one sort of the rows.
+        above = plans[1][plans[1].index("== Physical Plan ==") :].split("ShuffledHashJoin")[0]
+        assert "Exchange" not in above and above.count("Sort ") == 1
         assert {tuple(r) for r in small.select("doc_key", "start").collect()} == {
             tuple(r) for r in large.select("doc_key", "start").collect()
         }
@@ -96,7 +101,7 @@ def test_range_bucket_is_monotone_and_balanced(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), "id"
     )
-    got = df.withColumn("b", range_bucket(df, ["g", "id"], 32)).orderBy("g", "id").collect()
+    got = with_range_bucket(df, ["g", "id"], 32, "b").orderBy("g", "id").collect()
     buckets = [r.b for r in got]
     assert buckets == sorted(buckets)
     sizes = [buckets.count(b) for b in set(buckets)]
@@ -104,6 +109,15 @@ def test_range_bucket_is_monotone_and_balanced(spark):
     assert len({r.b for r in got if r.g == "hot"}) > 5
 
 
+@pytest.mark.parametrize("buckets", [2, 16, 17, 300, 5000])
+def test_range_bucket_counts_the_bounds_below(spark, buckets):
+    df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    bounds = [b["k"] for b in range_bounds(df, ["k"], buckets)]
+    assert len(bounds) == min(buckets, 20_000) - 1
+    got = with_range_bucket(df, ["k"], buckets).collect()
+    assert all(r.bucket == bisect.bisect_left(bounds, r.k) for r in got)
+
+
 def test_global_rank_and_index(spark, rows):
     df = make(spark, rows, 5)
     ranked = {r.doc_key: r.pos for r in global_rank(df, ["doc_key"]).collect()}
@@ -132,7 +146,7 @@ def test_contiguous_shard(spark, n, k):
 def test_cut_point(spark, target):
     weights = [3, 0, 7, 50, 1, 239]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "id int, w0 long")
-    got = cut_point(df, ["id"], F.col("w0"), F.lit(target), range_bucket(df, ["id"], 3)).collect()
+    got = cut_point(with_range_bucket(df, ["id"], 3), ["id"], F.col("w0"), F.lit(target)).collect()
     at = 0
     for i, w in enumerate(weights):
         if at < target <= at + w:
@@ -143,4 +157,4 @@ def test_cut_point(spark, target):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "split string, doc_key string, n long")
     assert token_offsets(df, ["doc_key"]).collect() == []
-    assert prefix_sum(df, {"s": "n"}, ["doc_key"], F.lit(0), ("split",)).collect() == []
+    assert prefix_sum(df.withColumn("bucket", F.lit(0)), {"s": "n"}, ["doc_key"], ("split",)).collect() == []

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokenweave.operators.segments import safe_segments
+from tokenweave.operators.segments import cut_long_texts, safe_segments
 from tokenweave.sources.documents import drop_added_newline, read_text_split
 
 WHOLE = [
@@ -94,3 +94,23 @@ def test_read_text_split_in_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert ["".join(parts) for parts in got.values()] == [text]
+
+
+@pytest.mark.parametrize("limit", [1, 5, 40])
+def test_long_texts_keep_their_ids(spark, coder, plain, limit):
+    r = random.Random(4)
+    texts = WHOLE + ["w" * 100, " " * 100, "a" + " " * 60 + "b", "é😀 " * 50] + [random_text(r) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = cut_long_texts(df, limit).withColumn("ids", coder.encode("text")).orderBy("id", "piece").collect()
+    for i, text in enumerate(texts):
+        mine = [p for p in rows if p.id == i]
+        assert "".join(p.text for p in mine) == text
+        assert [x for p in mine for x in p.ids] == plain.encode_ordinary(text)
+        assert [p.last for p in mine] == [False] * (len(mine) - 1) + [True]
+    assert len(rows) > 2 * len(texts) or limit == 40
+
+
+def test_long_texts_are_cut(spark):
+    df = spark.createDataFrame([(0, "word " * 300_000)], "id int, text string")
+    pieces = cut_long_texts(df, 10_000).collect()
+    assert max(len(p.text) for p in pieces) <= 10_000 and len(pieces) == 151

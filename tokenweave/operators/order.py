@@ -13,15 +13,20 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenweave.functions.numbers import div
 from tokenweave.session import default_buckets
 
 #: Largest bucket table that is broadcast (three small numbers a row); beyond it
 #: the join is left to Spark, which then shares its shuffle with the window.
 BROADCAST_ROWS = 400_000
 
+#: Branches of a node in the search tree over bucket bounds.
+TREE_WIDTH = 16
+
 #: Most bucket bounds that are embedded in a plan for keys without a hash.
 MAX_RANGE_BUCKETS = 65_536
 
@@ -50,59 +55,67 @@ def range_bounds(df: DataFrame, order: Sequence[str], buckets: int, seed: int =
     wanted = 16 * buckets
     if rows > wanted:
         keys = keys.sample(fraction=wanted / rows, seed=seed)
-    drawn = sorted(tuple(r) for r in keys.collect())
-    step = max(1.0, len(drawn) / buckets)
-    picks = sorted({drawn[int(i * step)] for i in range(1, buckets) if int(i * step) < len(drawn)})
-    return [dict(zip(order, p)) for p in picks]
+    drawn = keys.toArrow().sort_by([(c, "ascending") for c in order])
+    step = max(1.0, drawn.num_rows / buckets)
+    at = [int(i * step) for i in range(1, buckets) if int(i * step) < drawn.num_rows]
+    picks = drawn.take(pa.array(at, pa.int64())).to_pylist()
+    return [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
 
 
-def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Column:
-    """Order bucket for natural keys (ids, paths, positions), of any comparable type.
+def with_range_bucket(
+    df: DataFrame, order: Sequence[str], buckets: int | None = None, out: str = "bucket"
+) -> DataFrame:
+    """Adds the order bucket for natural keys (ids, paths, positions) of any comparable type.
 
-    The bounds become two levels of literal arrays, so a row is compared with
-    about ``2 * sqrt(buckets)`` of them and the expression stays in the JVM.
+    The bucket is the number of bounds below the key, found by a search tree of
+    literal arrays: a row is sorted into one short array per level, in the JVM.
     """
     if buckets is None:
         buckets = default_buckets(df.sparkSession, 4, MAX_RANGE_BUCKETS)
     bounds = range_bounds(df, order, min(buckets, MAX_RANGE_BUCKETS))
-    if not bounds:
-        return F.lit(0)
     key_type = df.select(F.struct(*order).alias("k")).schema["k"].dataType.simpleString()
-    width = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    outer = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), f"array<{key_type}>")
-    inner = F.from_json(F.lit(json.dumps([{"b": b} for b in blocks])), f"array<struct<b:array<{key_type}>>>")
     key = F.struct(*order)
-
-    def reached(bound: Column) -> Column:
-        return F.size(F.filter(bound, lambda b: b <= key))
-
-    block = reached(outer)
-    within = reached(F.get(inner, block - 1)["b"])
-    return F.when(block == 0, 0).otherwise((block - 1) * width + within).cast("int")
+    found = df.withColumn(out, F.lit(0))
+    span = TREE_WIDTH
+    while span <= len(bounds):
+        span *= TREE_WIDTH
+    while span > 1:
+        child = span // TREE_WIDTH
+        # What separates the children of each node of this level.
+        nodes = [
+            {"b": [bounds[i - 1] for i in range(low + child, min(low + span, len(bounds) + 1), child)]}
+            for low in range(0, len(bounds) + 1, span)
+        ]
+        level = F.from_json(F.lit(json.dumps(nodes)), f"array<struct<b:array<{key_type}>>>")
+        borders = F.get(level, F.col(out))["b"]
+        # The place of the key once sorted in; a lambda over the borders would be as
+        # fast, but its constraints break the optimizer's handling of unions.
+        below = F.array_position(F.sort_array(F.concat(borders, F.array(key))), key) - 1
+        found = found.withColumn(out, F.coalesce((F.col(out) * TREE_WIDTH + below).cast("int"), F.lit(0)))
+        span = child
+    return found
 
 
 def prefix_sum(
     df: DataFrame,
     sums: Mapping[str, Column | str],
     order: Sequence[str],
-    bucket: Column,
     groups: Sequence[str] = (),
     most_rows: int | None = None,
 ) -> DataFrame:
     """Exclusive running sums in a global order, per group.
 
-    For each ``name -> value`` adds ``name`` (the sum over earlier rows),
+    ``df`` has a column ``bucket``, monotone in the order within a group.  For each ``name -> value`` adds ``name`` (the sum over earlier rows),
     ``name_lo`` / ``name_hi`` (the span of the row's order bucket) and
-    ``name_total`` (of the group), plus the ``bucket``.  ``most_rows`` is a known
+    ``name_total`` (of the group).  ``most_rows`` is a known
     bound of the bucket table: only a table within :data:`BROADCAST_ROWS` is
-    broadcast.  Otherwise Spark decides by the size it measures, and a join by
-    ``(groups, bucket)`` is the shuffle the window needs anyway.
+    broadcast.  Otherwise the join by ``(groups, bucket)`` uses the shuffle that
+    the window needs anyway; a task then looks up its own few buckets by hash,
+    which spares the rows a second sort.
     """
-    named = df.withColumn("bucket", bucket)
     at = [*groups, "bucket"]
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
-    totals = named.groupBy(*at).agg(*[F.sum(v).cast("long").alias(f"{n}_t") for n, v in values.items()])
+    totals = df.groupBy(*at).agg(*[F.sum(v).cast("long").alias(f"{n}_t") for n, v in values.items()])
     whole = Window.partitionBy(*groups)
     running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = totals.select(
@@ -119,11 +132,13 @@ def prefix_sum(
     )
     if most_rows is not None and most_rows <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
+    else:
+        spans = spans.hint("shuffle_hash")
     inside = (
         Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     starts = {n: F.col(f"{n}_lo") + F.sum(v).over(inside).cast("long") - v for n, v in values.items()}
-    return named.join(spans, at).withColumns(starts)
+    return df.join(spans, at).withColumns(starts)
 
 
 def ordered_sums(
@@ -147,11 +162,11 @@ def ordered_sums(
     if hashed:
         buckets = buckets or default_buckets(spark)
         bound = None if max_groups is None else max_groups * buckets
-        return prefix_sum(df, sums, order, hash_bucket(order[0], buckets), groups, bound)
+        return prefix_sum(df.withColumn("bucket", hash_bucket(order[0], buckets)), sums, order, groups, bound)
     buckets = buckets or default_buckets(spark, 4, MAX_RANGE_BUCKETS)
     # Shares are cut group by group, so each group adds at most one row to the table.
     bound = None if max_groups is None else max_groups + buckets
-    return prefix_sum(df, sums, order, range_bucket(df, [*groups, *order], buckets), groups, bound)
+    return prefix_sum(with_range_bucket(df, [*groups, *order], buckets), sums, order, groups, bound)
 
 
 #: A document belongs to one of three splits.
@@ -183,12 +198,12 @@ def contiguous_shard(rank: Column, rows: Column, shards: int) -> Column:
     shards every row is a shard of its own.
     """
     k = F.least(F.lit(shards).cast("long"), rows)
-    size = F.call_function("div", rows, k)
+    size = div(rows, k)
     longer = rows % k
     edge = longer * (size + 1)
     return (
-        F.when(rank < edge, F.call_function("div", rank, size + 1))
-        .otherwise(longer + F.call_function("div", rank - edge, size))
+        F.when(rank < edge, div(rank, size + 1))
+        .otherwise(longer + div(rank - edge, size))
         .cast("int")
     )
 
@@ -198,17 +213,17 @@ def cut_point(
     order: Sequence[str],
     weight: Column,
     target: Column,
-    bucket: Column,
 ) -> DataFrame:
     """The row at which a running sum of ``weight`` reaches ``target`` of the total.
 
-    ``target`` is written in terms of the column ``total``.  Gives at most one row
+    ``df`` has a column ``bucket``, monotone in the order; ``target`` is written in
+    terms of the column ``total``.  Gives at most one row
     ``(key struct<order>, within long)``: the first row, in order, whose running
     sum reaches the target, and how much of its own weight lies before the cut.
     Only bucket totals and the rows of one bucket are sorted, so splitting a
     corpus needs no shuffle of its texts.
     """
-    light = df.select(*order, weight.cast("long").alias("w"), bucket.alias("bucket"))
+    light = df.select(*order, weight.cast("long").alias("w"), "bucket")
     totals = light.groupBy("bucket").agg(F.sum("w").alias("t"))
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = totals.select(

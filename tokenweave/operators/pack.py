@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenweave.functions.numbers import div
+
 # Fixed value: the default sequence length.
 SEQUENCE_LENGTH = 512
 
 
-def _div(a: Column, b: Column | int) -> Column:
-    return F.call_function("div", a, F.lit(b).cast("long") if isinstance(b, int) else b)
-
-
 def sequence_count(tokens: Column, length: int) -> Column:
     """Sequences in a stream: the last target needs one id more; a remainder is dropped."""
-    return F.greatest(F.lit(0).cast("long"), _div(tokens - 1, length))
+    return F.greatest(F.lit(0).cast("long"), div(tokens - 1, length))
 
 
 def _joined(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,12 +42,12 @@ def pack_windows(
     zero = F.lit(0).cast("long")
     spans = (
         df.where(n > 0)
-        .withColumn("c0", F.greatest(zero, _div(start - 1, length)))
-        .withColumn("c1", F.least(_div(start + n - 1, length), sequence_count(F.col("start_total"), length) - 1))
+        .withColumn("c0", F.greatest(zero, div(start - 1, length)))
+        .withColumn("c1", F.least(div(start + n - 1, length), sequence_count(F.col("start_total"), length) - 1))
         .where(F.col("c0") <= F.col("c1"))
         # First and last sequence that lie in the bucket as a whole.
-        .withColumn("in0", _div(low + (length - 1), length))
-        .withColumn("in1", F.when(high > length, _div(high - length - 1, length)).otherwise(-1))
+        .withColumn("in0", div(low + (length - 1), length))
+        .withColumn("in1", F.when(high > length, div(high - length - 1, length)).otherwise(-1))
     )
     id_col = F.col(ids) if isinstance(ids, str) else ids
 

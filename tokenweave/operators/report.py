@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenweave.functions.ids import MODEL_VOCAB_SIZE, ids_in_range
+from tokenweave.functions.numbers import ceil_div
 from tokenweave.operators.pack import sequence_count
 
 
@@ -33,7 +34,7 @@ def sequence_counts(df: DataFrame, length: int, groups: Sequence[str] = ("split"
 
 def batches_per_epoch(samples: Column, batch_size: int) -> Column:
     """Batches of one pass; a last partial batch counts."""
-    return F.call_function("div", samples + (batch_size - 1), F.lit(batch_size).cast("long"))
+    return ceil_div(samples, batch_size)
 
 
 def id_range_violations(df: DataFrame, vocab_size: int = MODEL_VOCAB_SIZE, groups: Sequence[str] = ("split",)) -> DataFrame:

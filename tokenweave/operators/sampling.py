@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenweave.functions.numbers import ceil_div, div
 from tokenweave.operators.order import global_rank, hash_order
 from tokenweave.operators.report import batches_per_epoch
 
@@ -22,10 +23,6 @@ EVAL_FREQ = 200
 EVAL_BATCHES = 24
 
 
-def _div(a: Column, b: Column | int) -> Column:
-    return F.call_function("div", a, F.lit(b).cast("long") if isinstance(b, int) else b)
-
-
 def epoch_order(sequences: DataFrame, epochs: int = 1, seed: int = ORDER_SEED, first: int = 0) -> DataFrame:
     """A permutation of ``seq_id`` without replacement, a new one every epoch.
 
@@ -47,13 +44,12 @@ def rank_shard(order: DataFrame, world: int = 1) -> DataFrame:
     The permutation is repeated from its start until its length is a multiple of
     ``world``, so some samples are there twice; rank r gets slots r, r + world, ...
     """
-    per_rank = _div(F.col("n") + (world - 1), world)
-    padded = order.withColumn("per_rank", per_rank)
+    padded = order.withColumn("per_rank", ceil_div(F.col("n"), world))
     slots = F.sequence(F.col("pos"), F.col("per_rank") * world - 1, F.col("n"))
     return (
         padded.select("*", F.explode(slots).alias("at"))
         .withColumn("rank", (F.col("at") % world).cast("int"))
-        .withColumn("i", _div(F.col("at"), world))
+        .withColumn("i", div(F.col("at"), world))
         .drop("at")
     )
 
@@ -62,7 +58,7 @@ def batch_assign(samples: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Group the samples of a rank into batches; adds ``batch_id``, ``slot``, ``batches``."""
     return samples.withColumns(
         {
-            "batch_id": _div(F.col("i"), batch_size),
+            "batch_id": div(F.col("i"), batch_size),
             "slot": (F.col("i") % batch_size).cast("int"),
             "batches": batches_per_epoch(F.col("per_rank"), batch_size),
         }
@@ -90,7 +86,7 @@ def step_schedule(batched: DataFrame, iterations: int, acc_steps: int = ACC_STEP
     return (
         batched.withColumn("substep", substep)
         .where(F.col("substep") < iterations * acc_steps)
-        .withColumn("itr", _div(F.col("substep"), acc_steps))
+        .withColumn("itr", div(F.col("substep"), acc_steps))
         .withColumn("micro", (F.col("substep") % acc_steps).cast("int"))
     )
 
@@ -125,7 +121,7 @@ def eval_window(
     reads = F.when(F.col("batch_id") <= last, F.sequence(F.col("batch_id"), last, F.col("batches")))
     return (
         batched.select("*", F.explode(reads).alias("read"))
-        .withColumn("eval_id", F.least(_div(F.col("read"), eval_batches), F.lit(evals - 1).cast("long")))
+        .withColumn("eval_id", F.least(div(F.col("read"), eval_batches), F.lit(evals - 1).cast("long")))
         .withColumn("t", F.col("read") - F.col("eval_id") * eval_batches)
         .withColumn("eval_itr", F.least((F.col("eval_id") + done + 1) * eval_freq, F.lit(iterations).cast("long")))
         .drop("read")

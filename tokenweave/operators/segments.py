@@ -21,6 +21,9 @@ WHITE_SPACE = (
 )
 TRAILING_SPACE = f"(?s)^(.*[^{WHITE_SPACE}])?([{WHITE_SPACE}]*)$"
 
+#: Characters of a document that are encoded as one row.
+MAX_CHARS = 1 << 24
+
 
 def safe_segments(
     lines: DataFrame,
@@ -59,6 +62,27 @@ def safe_segments(
     return inner.unionByName(_joined(parts.where(~whole), [file, "segment"]))
 
 
+def cut_long_texts(df: DataFrame, max_chars: int = MAX_CHARS, text: str = "text") -> DataFrame:
+    """Rows ``(..., text, piece, last)``: texts beyond ``max_chars`` in several pieces.
+
+    For documents too long for one row of ids.  A piece ends at the last safe cut
+    within ``max_chars``, or at the next one where a word or a run of white space
+    is longer, so the ids of the pieces are those of the text.  Only the ``last``
+    piece is to be closed with the end-of-text id.
+    """
+    cut = f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])"
+    within, beyond = f".{{1,{max_chars}}}(?:{cut}|\\z)", f".+?(?:{cut}|\\z)"
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s){within}|{beyond}"), F.lit(0))
+    parts = F.when(F.length(text) > max_chars, pieces).otherwise(F.array(text))
+    rest = [c for c in df.columns if c != text]
+    return (
+        df.withColumn("pieces", parts)
+        .select(*rest, F.size("pieces").alias("of"), F.posexplode("pieces").alias("piece", text))
+        .withColumn("last", F.col("piece") == F.col("of") - 1)
+        .drop("of")
+    )
+
+
 def _joined(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("at", "piece")))
     return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("text"))

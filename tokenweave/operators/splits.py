@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.operators.order import cut_point, document_index, hash_bucket, hash_order, range_bucket
+from tokenweave.operators.order import cut_point, document_index, hash_bucket, hash_order, with_range_bucket
 from tokenweave.session import default_buckets
 
 # Fixed values of the split rules.
@@ -36,13 +36,8 @@ def random_split(
     order = ["order_key", key]
     keyed = df.withColumn("order_key", hash_order(F.lit(seed), key))
     buckets = buckets or default_buckets(df.sparkSession)
-    cut = cut_point(
-        keyed,
-        order,
-        F.lit(1),
-        F.ceil(F.lit(float(fraction)) * F.col("total")),
-        hash_bucket("order_key", buckets),
-    )
+    placed = keyed.withColumn("bucket", hash_bucket("order_key", buckets))
+    cut = cut_point(placed, order, F.lit(1), F.ceil(F.lit(float(fraction)) * F.col("total")))
     is_val = F.struct(*order) <= cut.select("key").scalar()
     return keyed.withColumn("split", F.when(is_val, "val").otherwise("train"))
 
@@ -72,13 +67,8 @@ def offset_split(
     Rows before the cut go to train, rows after it to val; the row on the cut is
     divided in two.  Adds ``split``; ``text`` holds the piece.
     """
-    cut = cut_point(
-        df,
-        order,
-        F.length(text),
-        F.floor(F.lit(float(fraction)) * F.col("total")),
-        range_bucket(df, order, buckets),
-    )
+    target = F.floor(F.lit(float(fraction)) * F.col("total"))
+    cut = cut_point(with_range_bucket(df, order, buckets), order, F.length(text), target)
     # A cut at offset zero has no row: everything then lies after it.
     at = df.withColumn("cut", cut.select(F.struct("key", "within").alias("cut")).scalar())
     key = F.struct(*order)

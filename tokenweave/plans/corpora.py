@@ -18,7 +18,7 @@ from tokenweave.functions.chars import char_encode
 from tokenweave.functions.ids import append_eot, token_len
 from tokenweave.functions.markup import convert_markup, keep_converted
 from tokenweave.operators.mix import YEAR_PRESETS, concat_years, mix_corpora, select_years
-from tokenweave.operators.segments import safe_segments
+from tokenweave.operators.segments import MAX_CHARS, cut_long_texts, safe_segments
 from tokenweave.operators.splits import SPLIT_SEED, VAL_FRACTION, file_split, modulo_split, offset_split, random_split
 from tokenweave.sources.documents import (
     decoded_members,
@@ -67,11 +67,17 @@ def web_corpus(
     key: str = "doc_key",
     source: str | None = "source",
     schema: T.StructType | str | None = None,
+    max_chars: int = MAX_CHARS,
 ) -> DataFrame:
-    """Rows with a text: seeded random split, shuffled order, end-of-text after each."""
+    """Rows with a text: seeded random split, shuffled order, end-of-text after each.
+
+    A document beyond ``max_chars`` is several rows with the same ids in all.
+    """
     docs, _ = reject_null_text(read_documents(spark, path, format, key, source=source, schema=schema))
     parts = random_split(docs, "doc_key", fraction, seed)
-    return _tokenized(parts, append_eot(coder.encode("text"), coder.eot), pos=F.col("order_key"))
+    pieces = cut_long_texts(parts, max_chars).withColumn("ids", coder.encode("text"))
+    ids = F.when(F.col("last"), append_eot("ids", coder.eot)).otherwise(F.col("ids"))
+    return _tokenized(pieces, ids, pos=F.col("order_key"), block=F.col("piece"))
 
 
 def wiki_corpus(spark: SparkSession, path: str, coder: BytePairCoder) -> DataFrame:
@@ -129,6 +135,7 @@ def year_and_wiki(spark: SparkSession, paths: Sequence[str], coder: BytePairCode
     return mixed.withColumn("part", part).drop("corpus")
 
 
+# The names of the corpora.
 CORPORA: dict[str, Callable[..., DataFrame]] = {
     "slimpajama": web_corpus,
     "openwebtext2": web_corpus,

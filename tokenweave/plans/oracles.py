@@ -19,6 +19,7 @@ from tokenweave.plans.queries import (
     FRACTION,
     IDS,
     LENGTH,
+    LONG,
     SHARDS,
     WORLD,
     YEARS,
@@ -192,6 +193,9 @@ def statements() -> dict[str, str]:
             a AS (SELECT lang, list_append(filled, regexp_extract(whole, '[{WHITE_SPACE}]*$')) AS texts FROM s),
             u AS (SELECT lang, unnest(range(len(texts))) AS segment, unnest(texts) AS text FROM a)
             SELECT lang, segment, md5(text) AS text_md5, length(text)::BIGINT AS chars FROM u WHERE text <> ''""",
+        "cut_long_texts": f"""SELECT doc_id AS doc_key, md5(text) AS text_md5, 0::BIGINT AS unsafe_cuts,
+            1::BIGINT AS last_pieces, length(text) > {LONG} AND
+              regexp_matches(text, '[^{WHITE_SPACE}][{WHITE_SPACE}]') AS was_cut FROM documents""",
         "check_id_range": f"""WITH {_split()} SELECT split, count(*) AS docs,
             sum(contains(text, '~')::BIGINT)::BIGINT AS bad_docs FROM parts GROUP BY split""",
         "token_offsets": f"WITH {_split()} SELECT doc_id AS doc_key, split, n, start FROM placed",
@@ -268,6 +272,8 @@ def statements() -> dict[str, str]:
             SELECT *, (sum(n) OVER (ORDER BY part, doc_key) - n)::BIGINT AS start FROM d""",
         "token_shards": f"""WITH {STREAM} SELECT split, p // {CHUNK} * {CHUNK} AS start, count(*) AS n,
             md5(string_agg(x, ',' ORDER BY p)) AS ids_md5 FROM pairs GROUP BY split, p // {CHUNK}""",
+        "bpe_shard_documents": f"""WITH {_split()} SELECT split,
+            row_number() OVER (PARTITION BY split ORDER BY k, doc_id) - 1 AS i, md5(text) AS text_md5 FROM parts""",
         "materialize_once": f"""WITH {_split()} SELECT split, count(*) AS docs, sum(n)::BIGINT AS tokens,
             sum(n)::BIGINT AS ids FROM parts GROUP BY split""",
         "pin": f"WITH {_split()} SELECT split, {REPORT} FROM parts GROUP BY split",

@@ -19,6 +19,7 @@ from tokenweave.functions.markup import (
     markup_to_text,
     normalize_newlines,
 )
+from tokenweave.functions.numbers import ceil_div, div
 from tokenweave.operators.mix import concat_years, mix_corpora, select_years
 from tokenweave.operators.order import (
     MAX_SPLITS,
@@ -26,6 +27,7 @@ from tokenweave.operators.order import (
     document_index,
     global_rank,
     hash_order,
+    ordered_sums,
     token_offsets,
 )
 from tokenweave.operators.pack import pack_sequences
@@ -56,7 +58,7 @@ from tokenweave.operators.scoring import (
     score_pairs,
     token_pairs,
 )
-from tokenweave.operators.segments import safe_segments
+from tokenweave.operators.segments import WHITE_SPACE, cut_long_texts, safe_segments
 from tokenweave.operators.splits import file_split, modulo_split, offset_split, random_split
 from tokenweave.sinks.materialize import materialize_once, pin
 from tokenweave.sinks.token_shards import write_token_shards
@@ -74,6 +76,7 @@ ACC = 4
 EPOCHS = 2
 SHARDS = 16
 CHUNK = 4096
+LONG = 1000
 YEARS = ["src7", "src3", "src14"]
 HASHED = ["order_key", "doc_key"]
 
@@ -290,6 +293,23 @@ def q_safe_segments(spark, sf):
     )
 
 
+def q_cut_long_texts(spark, sf):
+    pieces = cut_long_texts(texts(spark, sf), LONG)
+    # A cut is safe between a non-space and a white space; pieces may be longer only without one.
+    joined_up = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    unsafe = (F.col("piece") > 0) & ~F.col("text").rlike(f"^[{WHITE_SPACE}]")
+    return (
+        pieces.groupBy("doc_key")
+        .agg(
+            F.array_join(F.transform(joined_up, lambda p: p["text"]), "").alias("text"),
+            F.sum(unsafe.cast("long")).alias("unsafe_cuts"),
+            F.sum(F.col("last").cast("long")).alias("last_pieces"),
+            (F.count("*") > 1).alias("was_cut"),
+        )
+        .select("doc_key", F.md5("text").alias("text_md5"), "unsafe_cuts", "last_pieces", "was_cut")
+    )
+
+
 def q_check_id_range(spark, sf):
     # One symbol less than the vocabulary: the tilde and the end-of-text id are out of range.
     ids = split_documents(spark, sf).withColumn("ids", char_encode("text"))
@@ -366,7 +386,7 @@ def q_sequence_count(spark, sf):
 
 
 def q_batches_per_epoch(spark, sf):
-    per_rank = F.call_function("div", F.col("sequences") + (WORLD - 1), F.lit(WORLD).cast("long"))
+    per_rank = ceil_div(F.col("sequences"), WORLD)
     counts = sequence_counts(split_documents(spark, sf), LENGTH)
     return counts.select("split", "sequences", batches_per_epoch(per_rank, BATCH).alias("batches"))
 
@@ -380,7 +400,7 @@ def _predictions(spark, sf):
     sequences = stage(packed(spark, sf), "sequences", ("split",))
     counts = bigram_counts(token_pairs(sequences.where(F.col("split") == "train")))
     val = sequences.where(F.col("split") == "val")
-    batch = F.call_function("div", F.col("seq_id"), F.lit(BATCH).cast("long"))
+    batch = div(F.col("seq_id"), BATCH)
     pairs = batch_pairs(token_pairs(val.withColumn("batch_id", batch), "batch_id"))
     return score_pairs(pairs, counts, IDS)
 
@@ -513,6 +533,42 @@ def q_shard_sequences(spark, sf):
     return sequences.select("split", "seq_id", joined("x").alias("x"), joined("y").alias("y"))
 
 
+def q_bpe_shard_documents(spark, sf):
+    """Documents got back from their token files: the whole path, forth and back."""
+    coder = BytePairCoder(spark)
+    docs = random_split(texts(spark, sf), fraction=FRACTION)
+    ids = append_eot(coder.encode("text"), coder.eot)
+    tokens = stage(docs.select("split", *HASHED, ids.alias("ids")).withColumn("n", token_len("ids")), "bpe-tokens")
+    out = scratch_path(spark, "bpe-shards")
+    write_token_shards(tokens, out, HASHED, SHARDS, hashed=True)
+    chunks = read_token_shards(spark, out, CHUNK)
+    # A document ends behind its end-of-text id; a chunk holds the ends of some documents.
+    ends = F.filter(F.transform("ids", lambda x, i: F.when(x == coder.eot, i + 1)), lambda e: e.isNotNull())
+    numbered = ordered_sums(
+        chunks.withColumn("ends", ends).withColumn("closed", F.size("ends").cast("long")),
+        {"doc": "closed"},
+        ["start"],
+        ("split",),
+        max_groups=MAX_SPLITS,
+    )
+    borders = numbered.withColumn("cuts", F.concat(F.array(F.lit(0)), "ends", F.array(F.size("ids"))))
+    pieces = borders.select(
+        "split",
+        "start",
+        "doc",
+        F.posexplode(
+            F.transform(
+                F.sequence(F.lit(1), F.size("cuts") - 1),
+                lambda j: F.slice("ids", F.get("cuts", j - 1) + 1, F.get("cuts", j) - F.get("cuts", j - 1)),
+            )
+        ).alias("at", "piece"),
+    ).where(F.size("piece") > 0)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]))
+    back = pieces.groupBy("split", (F.col("doc") + F.col("at")).alias("i")).agg(whole.alias("ids"))
+    text = coder.decode(F.slice("ids", 1, F.size("ids") - 1))
+    return back.select("split", "i", F.md5(text).alias("text_md5"))
+
+
 def q_materialize_once(spark, sf):
     out = scratch_path(spark, "tokens")
 
