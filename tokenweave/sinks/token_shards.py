@@ -174,10 +174,19 @@ def write_token_shards(
     """
     df.sparkSession.dataSource.register(TokenShards)
     rows = assign_shards(df, order, shards, **kw)
-    place = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split")) - 1
+    counts = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}  # one row a split
+    if unknown := set(counts) - set(SPLITS):
+        raise ValueError(f"unknown splits {sorted(unknown, key=str)}")
+    first, tasks = {}, 0
+    for split, count in counts.items():
+        first[split] = tasks
+        tasks += min(shards, count)
+    base = F.lit(0)
+    for split, task in first.items():
+        base = F.when(F.col("split") == split, task).otherwise(base)
     (
-        rows.select("split", "shard", "start", "ids", (place * shards + F.col("shard")).cast("int").alias("task"))
-        .repartitionById(shards * len(SPLITS), "task")
+        rows.select("split", "shard", "start", "ids", (base + F.col("shard")).alias("task"))
+        .repartitionById(max(1, tasks), "task")
         .drop("task")
         .sortWithinPartitions("split", "shard", "start")
         .write.format("token_shards")
