@@ -12,7 +12,7 @@ from tokenweave.functions.bpe import EOT_ID, EOT_TEXT
 from tokenweave.functions.chars import char_encode
 from tokenweave.operators.mix import YEAR_PRESETS, concat_years, mix_corpora, select_years
 from tokenweave.operators.order import hash_order, token_offsets
-from tokenweave.plans.corpora import CORPORA, ORDER, corpus, web_corpus, year_corpus
+from tokenweave.plans.corpora import CORPORA, ORDER, corpus, stream_order, web_corpus, year_corpus
 from tokenweave.plans.prepare import build_sequences, export_shards, tokenize_corpus
 from tokenweave.sources.token_shards import read_token_shards
 from tests_util import streams
@@ -42,10 +42,12 @@ def test_web_corpus(spark, coder, plain, tmp_path):
     # Documents cut into several rows give the same stream.
     assert streams(web_corpus(spark, path, coder, max_chars=8)) == want
     # Sequences and flat files hold the same stream.
-    sequences = build_sequences(tokens, str(tmp_path / "sequences"), 64).where("split = 'train'").orderBy("seq_id").collect()
+    order = stream_order("slimpajama")
+    assert order["hashed"] and not stream_order("arxiv")["hashed"]
+    sequences = build_sequences(tokens, str(tmp_path / "sequences"), 64, **order).where("split = 'train'").orderBy("seq_id").collect()
     assert [i for r in sequences for i in r.x] == want["train"][: len(sequences) * 64]
     assert len(sequences) == (len(want["train"]) - 1) // 64
-    export_shards(tokens, str(tmp_path / "bin"), 6)
+    export_shards(tokens, str(tmp_path / "bin"), 6, **order)
     chunks = read_token_shards(spark, str(tmp_path / "bin"), 1000).orderBy("split", "start").collect()
     assert {s: [i for r in chunks if r.split == s for i in r.ids] for s in want} == want
 

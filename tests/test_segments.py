@@ -1,10 +1,10 @@
 import random
+import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tokenweave.operators.segments import cut_long_texts, safe_segments
-from tokenweave.sources.documents import drop_added_newline, read_text_split
+from tokenweave.sources.documents import read_text_split
 
 WHOLE = [
     "x \n\n  y",
@@ -24,15 +24,9 @@ def random_text(r):
 
 def cut(spark, texts, partitions=3):
     """Segments of texts given as files of lines with terminators."""
-    rows = [
-        (str(f), i, line)
-        for f, t in enumerate(texts)
-        for i, line in enumerate(t.split("\n")[:-1] if t.endswith("\n") else t.split("\n"))
-    ]
+    rows = [(str(f), i, line) for f, t in enumerate(texts) for i, line in enumerate(re.findall("[^\n]*\n|[^\n]+", t))]
     lines = spark.createDataFrame(rows, "file string, line_no int, text string")
-    ended = lines.withColumn("text", F.concat("text", F.lit("\n")))
-    files = spark.createDataFrame([(str(f), t.endswith("\n")) for f, t in enumerate(texts)], "file string, terminated boolean")
-    return drop_added_newline(safe_segments(ended.repartition(partitions)), files)
+    return safe_segments(lines.repartition(partitions))
 
 
 def by_file(rows, column="text"):
@@ -67,17 +61,11 @@ def test_one_hot_file_spans_buckets(spark):
 
 
 def test_read_text_split(spark, tmp_path):
-    texts = {"a.txt": "x \n\n  y", "b.txt": "a\r\nb\rc\n", "c.txt": "one\n\n", "d.txt": "é\n😀"}
+    texts = {"a.txt": "x \n\n  y", "b.txt": "a\r\nb\rc\n", "c.txt": "one\n\n", "d.txt": "é\n😀", "e.txt": "\n", "f.txt": " "}
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text.encode())
-    lines, files = read_text_split(spark, str(tmp_path))
-    assert {r.file.rsplit("/", 1)[1]: r.terminated for r in files.collect()} == {
-        "a.txt": False,
-        "b.txt": True,
-        "c.txt": True,
-        "d.txt": False,
-    }
-    got = by_file(drop_added_newline(safe_segments(lines, order=("block", "line_no")), files).collect())
+    lines = read_text_split(spark, str(tmp_path))
+    got = by_file(safe_segments(lines, order=("block", "line_no")).collect())
     read = {name: text.replace("\r\n", "\n").replace("\r", "\n") for name, text in texts.items()}
     assert {f.rsplit("/", 1)[1]: "".join(parts) for f, parts in got.items()} == read
 
@@ -88,9 +76,9 @@ def test_read_text_split_in_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
     try:
-        lines, files = read_text_split(spark, str(tmp_path))
+        lines = read_text_split(spark, str(tmp_path))
         assert lines.select("block").distinct().count() > 5
-        got = by_file(drop_added_newline(safe_segments(lines, order=("block", "line_no")), files).collect())
+        got = by_file(safe_segments(lines, order=("block", "line_no")).collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert ["".join(parts) for parts in got.values()] == [text]

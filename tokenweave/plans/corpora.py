@@ -1,7 +1,8 @@
 """Corpus recipes: from files on disk to tokenized rows with one common shape.
 
 Every recipe gives ``(split, part, pos, doc_key, block, line, ids, n)``; the
-columns :data:`ORDER` order the token stream of a split.  Recipes differ in how documents
+columns :data:`ORDER` order the token stream of a split.  In a corpus of shuffled
+documents ``pos`` is a hash key and leads the order, see :func:`stream_order`.  Recipes differ in how documents
 are found, split, ordered and closed.
 """
 
@@ -20,9 +21,9 @@ from tokenweave.functions.markup import convert_markup, keep_converted
 from tokenweave.operators.mix import YEAR_PRESETS, concat_years, mix_corpora, select_years
 from tokenweave.operators.segments import MAX_CHARS, cut_long_texts, safe_segments
 from tokenweave.operators.splits import SPLIT_SEED, VAL_FRACTION, file_split, modulo_split, offset_split, random_split
+from tokenweave.session import stage
 from tokenweave.sources.documents import (
     decoded_members,
-    drop_added_newline,
     expand_archives,
     member_lines,
     read_document_files,
@@ -32,6 +33,7 @@ from tokenweave.sources.documents import (
 )
 
 ORDER = ("part", "pos", "doc_key", "block", "line")
+HASHED_ORDER = ("pos", "doc_key", "block", "line")
 
 # Which file of the wiki corpus is which split.
 WIKI_FILES = {"wiki.train.raw": "train", "wiki.valid.raw": "val"}
@@ -83,13 +85,11 @@ def web_corpus(
 def wiki_corpus(spark: SparkSession, path: str, coder: BytePairCoder) -> DataFrame:
     """Pre-split text files (a folder, or a zip of them), encoded as whole files."""
     if path.endswith(".zip"):
-        lines, files = member_lines(expand_archives(spark, path)), None
+        # Unpacked once: the segments read their lines several times.
+        lines = stage(member_lines(expand_archives(spark, path)), "lines")
     else:
-        lines, files = read_text_split(spark, path)
-    # The newline that reading added is taken back after the cut into segments.
+        lines = read_text_split(spark, path)
     segments = safe_segments(lines, order=("block", "line_no"))
-    if files is not None:
-        segments = drop_added_newline(segments, files)
     parts = file_split(segments, F.col("file"), WIKI_FILES).withColumn("doc_key", F.col("file"))
     return _tokenized(parts, coder.encode("text"), line=F.col("segment"))
 
@@ -104,7 +104,9 @@ def year_documents(spark: SparkSession, path: str) -> DataFrame:
         return read_document_files(spark, path)
     year = F.regexp_extract("archive", r"(\d{4})[^/]*$", 1).cast("int")
     sources = decoded_members(expand_archives(spark, path), year)
-    return keep_converted(convert_markup(sources, "markup", "latex")).select("year", "doc_key", "text")
+    texts = keep_converted(convert_markup(sources, "markup", "latex")).select("year", "doc_key", "text")
+    # Unpacked and converted once: the index of a document takes several reads of the keys.
+    return stage(texts, "converted", ("year",))
 
 
 def year_corpus(
@@ -120,9 +122,8 @@ def year_corpus(
 
 def char_corpus(spark: SparkSession, path: str, coder: BytePairCoder | None = None) -> DataFrame:
     """One text, cut at four fifths of its characters, as character ids."""
-    lines, files = read_text_split(spark, path)
-    lines = drop_added_newline(lines.withColumn("segment", F.struct("block", "line_no")), files)
-    parts = offset_split(lines.drop("segment"), ("file", "block", "line_no")).withColumn("doc_key", F.col("file"))
+    lines = read_text_split(spark, path)
+    parts = offset_split(lines, ("file", "block", "line_no")).withColumn("doc_key", F.col("file"))
     return _tokenized(parts, char_encode("text"), block=F.col("block"), line=F.col("line_no"))
 
 
@@ -152,3 +153,16 @@ def corpus(name: str) -> Callable[..., DataFrame]:
     if name not in CORPORA:
         raise ValueError(f"unknown corpus {name!r}, known are {sorted(CORPORA)}")
     return CORPORA[name]
+
+
+#: Corpora whose documents are in the order of a hash key.
+SHUFFLED = frozenset({"slimpajama", "openwebtext2"})
+
+
+def stream_order(name: str) -> dict:
+    """How the stream of that corpus is ordered, as arguments of ``ordered_sums``.
+
+    A hash order has as many even buckets as wanted without looking at the keys.
+    """
+    corpus(name)
+    return {"order": HASHED_ORDER, "hashed": True} if name in SHUFFLED else {"order": ORDER, "hashed": False}

@@ -36,15 +36,31 @@ def tokenize_corpus(
     return materialize_once(spark, out, lambda: recipe(spark, source, coder, **options))
 
 
-def build_sequences(tokens: DataFrame, out: str, length: int = SEQUENCE_LENGTH) -> DataFrame:
-    """The packed sequences at ``out``, cut from a tokenized corpus first when not finished."""
+def build_sequences(
+    tokens: DataFrame,
+    out: str,
+    length: int = SEQUENCE_LENGTH,
+    order: Sequence[str] = ORDER,
+    hashed: bool = False,
+) -> DataFrame:
+    """The packed sequences at ``out``, cut from a tokenized corpus first when not finished.
+
+    Pass ``**stream_order(name)`` for the order of the corpus.
+    """
     spark = tokens.sparkSession
-    return materialize_once(spark, out, lambda: pack_sequences(token_offsets(tokens, ORDER), length))
+    return materialize_once(spark, out, lambda: pack_sequences(token_offsets(tokens, order, hashed=hashed), length))
 
 
-def export_shards(tokens: DataFrame, out: str, shards: int = MAX_SHARDS, overwrite: bool = False) -> None:
+def export_shards(
+    tokens: DataFrame,
+    out: str,
+    shards: int = MAX_SHARDS,
+    overwrite: bool = False,
+    order: Sequence[str] = ORDER,
+    hashed: bool = False,
+) -> None:
     """Flat token files of a tokenized corpus."""
-    write_token_shards(tokens, out, ORDER, shards, overwrite)
+    write_token_shards(tokens, out, order, shards, overwrite, hashed=hashed)
 
 
 def training_schedule(

@@ -130,7 +130,7 @@ def q_read_documents(spark, sf):
 def q_read_text_split(spark, sf):
     out = scratch_path(spark, "text-files")
     texts(spark, sf, "lang").select("lang", "text").write.partitionBy("lang").text(out)
-    lines, _ = read_text_split(spark, out)
+    lines = read_text_split(spark, out)
     lang = F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang")
     return lines.groupBy(lang).agg(
         F.count("*").alias("lines"),

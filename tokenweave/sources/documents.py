@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenweave.functions.markup import normalize_newlines
+from tokenweave.operators.order import BROADCAST_ROWS
 from tokenweave.session import stage
 from tokenweave.sources.files import filesystem, plain_path
 
@@ -57,14 +58,12 @@ def reject_null_text(df: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return df.where(F.col(text).isNotNull()), df.where(F.col(text).isNull())
 
 
-def read_text_split(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Lines of text files in file order, and one row per file.
+def read_text_split(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of text files in file order: ``(file, block, line_no, text)``.
 
-    Lines are ``(file, block, line_no, text)`` with the terminator restored and
-    normalized; ``(block, line_no)`` orders the lines of a file.  Files are read in
-    parallel blocks, so the numbers are staged once to stay what they are.  A
-    file's last line keeps its terminator here; ``(file, terminated)`` tells
-    whether the file really ends with one, see :func:`drop_added_newline`.
+    ``(block, line_no)`` orders the lines of a file; ``text`` ends with the line's
+    terminator, normalized, so the texts in order are the file.  Files are read in
+    parallel blocks, and the numbers are staged once to stay what they are.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     lines = raw.select(
@@ -75,28 +74,20 @@ def read_text_split(spark: SparkSession, path: str | Sequence[str]) -> tuple[Dat
         F.col("value"),
     )
     kept = stage(lines, "lines")
-    files = kept.groupBy("file").agg(
-        (F.sum(F.octet_length("value") + 1) == F.max("file_size")).alias("terminated")
-    )
-    text = normalize_newlines(F.concat("value", F.lit("\n")))
-    return kept.select("file", "block", "line_no", text.alias("text")), files
-
-
-def drop_added_newline(segments: DataFrame, files: DataFrame) -> DataFrame:
-    """Take back the newline that reading by lines added to files without a last one.
-
-    ``segments`` are those of ``safe_segments``; the added newline ends the file's
-    last segment, so only one row per file is touched.
-    """
-    last = segments.groupBy("file").agg(F.max("segment").alias("segment"))
-    open_ended = last.join(files.where(~F.col("terminated")), "file").select("file", "segment", F.lit(True).alias("cut"))
-    trimmed = F.when(F.col("cut"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    return (
-        segments.join(open_ended, ["file", "segment"], "left")
-        .withColumn("text", trimmed)
-        .where(F.col("text") != "")
-        .drop("cut")
+    # The bytes tell whether a file ends with a newline: without one, a newline for
+    # every line is one byte too many (three fewer if a byte-order mark was skipped).
+    excess = F.sum(F.octet_length("value") + 1) - F.max("file_size")
+    open_ended = (
+        kept.groupBy("file")
+        .agg(excess.alias("excess"), F.max(F.struct("block", "line_no")).alias("last"))
+        .where(F.col("excess").isin(1, -2))
+        .select("file", "last.block", "last.line_no", F.lit("").alias("end"))
     )
+    if open_ended.count() <= BROADCAST_ROWS:
+        open_ended = F.broadcast(open_ended)
+    end = F.coalesce("end", F.lit("\n"))
+    ended = kept.join(open_ended, ["file", "block", "line_no"], "left")
+    return ended.select("file", "block", "line_no", normalize_newlines(F.concat("value", end)).alias("text"))
 
 
 def read_document_files(spark: SparkSession, path: str) -> DataFrame:
