@@ -21,9 +21,13 @@ def seqs(spark, n, partitions=3):
     return spark.range(n).withColumnRenamed("id", "seq_id").repartition(partitions)
 
 
-def permutation(spark, n, epoch=0, epochs=1):
-    rows = epoch_order(seqs(spark, n), epochs).where(F.col("epoch") == epoch).orderBy("pos").collect()
-    return [r.seq_id for r in rows]
+def permutations(spark, n, epochs):
+    rows = epoch_order(seqs(spark, n), epochs).orderBy("epoch", "pos").collect()
+    return [[r.seq_id for r in rows if r.epoch == e] for e in range(epochs)]
+
+
+def permutation(spark, n):
+    return permutations(spark, n, 1)[0]
 
 
 def dealt(order, world):
@@ -34,7 +38,7 @@ def dealt(order, world):
 
 
 def test_permutations(spark):
-    first, second = (permutation(spark, 200, e, 2) for e in (0, 1))
+    first, second = permutations(spark, 200, 2)
     assert sorted(first) == sorted(second) == list(range(200))
     assert first != second and first != sorted(first)
     again = epoch_order(seqs(spark, 200, 17), 1).orderBy("pos").collect()
@@ -57,14 +61,9 @@ def test_schedule_equals_loop(spark, n, world, batch, iterations, acc):
     got = {}
     for r in schedule.orderBy("slot").collect():
         got.setdefault((r.rank, r.itr, r.micro), []).append(r.seq_id)
-    want = {}
+    want, orders = {}, [dealt(p, world) for p in permutations(spark, n, epochs)]
     for rank in range(world):
-        endless = (
-            order[a : a + batch]
-            for e in range(epochs)
-            for order in [dealt(permutation(spark, n, e, epochs), world)[rank]]
-            for a in range(0, len(order), batch)
-        )
+        endless = (order[rank][a : a + batch] for order in orders for a in range(0, len(order[rank]), batch))
         for itr, micro in itertools.product(range(iterations), range(acc)):
             want[rank, itr, micro] = next(endless)
     assert got == want

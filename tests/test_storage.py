@@ -52,7 +52,7 @@ def test_shards_round_trip(spark, tmp_path, shards, chunk, part):
     assert not list(tmp_path.glob("tok/_attempt*"))
 
 
-@pytest.mark.parametrize("length,part", [(1, 1), (7, 21), (64, 1 << 20), (100_000, 1 << 20)])
+@pytest.mark.parametrize("length,part", [(1, 300), (7, 21), (64, 1 << 20), (100_000, 1 << 20)])
 def test_sequences_from_shards(spark, tmp_path, length, part):
     out = str(tmp_path / "tok")
     write_token_shards(tokens(spark, DOCS), out, ["doc"], 8)
