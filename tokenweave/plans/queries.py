@@ -111,11 +111,15 @@ def packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack_sequences(offsets, LENGTH, ids=char_ids())
 
 
-def sequence_ids(spark: SparkSession, sf: str, split: str = "train") -> DataFrame:
-    """``seq_id`` of all sequences of a split, as many as its token count gives."""
+def sequence_total(spark: SparkSession, sf: str, split: str = "train") -> int:
+    """Sequences of a split, from its token count."""
     light = split_documents(spark, sf).where(F.col("split") == split)
-    row = sequence_counts(light, LENGTH, groups=()).first()
-    return spark.range(row["sequences"] or 0).withColumnRenamed("id", "seq_id")
+    return sequence_counts(light, LENGTH, groups=()).first()["sequences"] or 0
+
+
+def sequence_ids(spark: SparkSession, sf: str, split: str = "train") -> DataFrame:
+    """``seq_id`` of all sequences of a split."""
+    return spark.range(sequence_total(spark, sf, split)).withColumnRenamed("id", "seq_id")
 
 
 # --- sources, projections, filters ---------------------------------------------------
@@ -450,34 +454,32 @@ def q_rank_shard(spark, sf):
     return rank_shard(epoch_order(sequence_ids(spark, sf), EPOCHS), WORLD).select("epoch", "rank", "i", "seq_id")
 
 
-def _batches(spark, sf, epochs=EPOCHS):
+def _batches(sequences: DataFrame) -> DataFrame:
     size, _ = rank_batch_plan(BATCH, ACC, WORLD)
-    return batch_assign(rank_shard(epoch_order(sequence_ids(spark, sf), epochs), WORLD), size)
+    return batch_assign(rank_shard(epoch_order(sequences, EPOCHS), WORLD), size)
 
 
 def q_batch_assign(spark, sf):
-    return _batches(spark, sf).select("epoch", "rank", "batch_id", "slot", "seq_id")
-
-
-def _iterations(spark, sf) -> int:
-    """Iterations of a run that ends a third of the way through its last epoch."""
-    sequences = sequence_ids(spark, sf).count()
-    return (3 * EPOCHS - 2) * sequences // (3 * BATCH * WORLD)
+    return _batches(sequence_ids(spark, sf)).select("epoch", "rank", "batch_id", "slot", "seq_id")
 
 
-def _schedule(spark, sf):
+def _schedule(spark, sf) -> tuple[DataFrame, int, int]:
+    """The schedule of a run that ends a third of the way through its last epoch."""
+    sequences = sequence_total(spark, sf)
+    iterations = (3 * EPOCHS - 2) * sequences // (3 * BATCH * WORLD)
     _, acc = rank_batch_plan(BATCH, ACC, WORLD)
-    return step_schedule(_batches(spark, sf), _iterations(spark, sf), acc), acc
+    batches = _batches(spark.range(sequences).withColumnRenamed("id", "seq_id"))
+    return step_schedule(batches, iterations, acc), iterations, acc
 
 
 def q_step_schedule(spark, sf):
-    schedule, _ = _schedule(spark, sf)
+    schedule, _, _ = _schedule(spark, sf)
     return schedule.select("itr", "micro", "substep", "epoch", "batch_id", "rank", "slot", "seq_id")
 
 
 def q_resume_from(spark, sf):
-    schedule, acc = _schedule(spark, sf)
-    left = resume_from(schedule, _iterations(spark, sf) // 2, acc)
+    schedule, iterations, acc = _schedule(spark, sf)
+    left = resume_from(schedule, iterations // 2, acc)
     return left.select("itr", "epoch", "batch_id", "rank", "slot", "seq_id")
 
 
@@ -487,7 +489,7 @@ def q_eval_window(spark, sf):
 
 
 def q_fetch_batches(spark, sf):
-    schedule, _ = _schedule(spark, sf)
+    schedule, _, _ = _schedule(spark, sf)
     train = packed(spark, sf).where(F.col("split") == "train").select("seq_id", "x", "y")
     batches = fetch_batches(schedule.select("itr", "micro", "rank", "slot", "seq_id"), train)
     return batches.select(
