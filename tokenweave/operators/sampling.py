@@ -115,7 +115,8 @@ def eval_window(
     done = resumed_at // eval_freq
     evals = math.ceil(iterations / eval_freq) - done if resumed_at < iterations else 0
     if evals < 1:
-        return batched.select("*", *[F.lit(0).cast("long").alias(c) for c in ("eval_id", "eval_itr", "t")]).limit(0)
+        nothing = batched.where(F.lit(False))
+        return nothing.select("*", *[F.lit(0).cast("long").alias(c) for c in ("eval_id", "t", "eval_itr")])
     before_last = F.lit(eval_batches * (evals - 1)).cast("long")
     last = before_last + F.col("batches") - 1
     reads = F.when(F.col("batch_id") <= last, F.sequence(F.col("batch_id"), last, F.col("batches")))
