@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import decontaminate, pii, quality_rules, secret_scan
+from tokenweave.llm import decontaminate, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
 from tokenweave.llm.text import covered, span_list
 
 
@@ -23,6 +23,12 @@ def kinds(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_near_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = near_dedup.near_copies(docs, words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op2_quality_rules(spark, sf):
     judged = quality_rules.quality_verdicts(table(spark, sf, "documents"))
     return judged.select(
@@ -40,6 +46,29 @@ def op3_secret_scan(spark, sf):
     )
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark, sf):
+    pieces = packing.pack_documents(table(spark, sf, "documents"), tokenizer_file())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op5_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    weights = quality_classifier.learn_weights(docs, table(spark, sf, "labels"), ~held_out)
+    scored = quality_classifier.score_quality(docs, weights)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op8_personal_data(spark, sf):
     found = pii.scan_personal_data(table(spark, sf, "documents"))
     return found.select(
@@ -65,5 +94,19 @@ def op9_decontaminate(spark, sf):
     )
 
 
+def op10_license_scan(spark, sf):
+    found = license_scan.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
