@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import decontaminate, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan
+from tokenweave.llm import (
+    decontaminate,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    passage_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+)
 from tokenweave.llm.text import covered, span_list
 
 
@@ -69,6 +80,34 @@ def op5_quality_classifier(spark, sf):
     )
 
 
+def op6_line_dedup(spark, sf):
+    judged = line_dedup.line_verdicts(table(spark, sf, "documents").select("doc_id", "text"))
+    gone = F.array_sort(F.concat("equal", "near"))
+    return judged.select(
+        F.col("key__").alias("doc_id"),
+        "n_lines",
+        F.size("equal").cast("long").alias("n_equal"),
+        F.size("near").cast("long").alias("n_near"),
+        F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
+def op7_passage_dedup(spark, sf):
+    found = passage_dedup.repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+    words = F.aggregate("repeats", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return found.select(
+        F.col("key__").alias("doc_id"),
+        "component_id",
+        "n_links",
+        F.size("repeats").cast("long").alias("n_repeats"),
+        words.alias("n_repeat_words"),
+        F.array_join(
+            F.transform("repeats", lambda x: F.concat_ws(":", x["start"].cast("string"), (x["start"] + x["words"]).cast("string"))),
+            ",",
+        ).alias("repeat_spans"),
+    )
+
+
 def op8_personal_data(spark, sf):
     found = pii.scan_personal_data(table(spark, sf, "documents"))
     return found.select(
