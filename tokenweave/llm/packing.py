@@ -31,6 +31,8 @@ END_ID = 1
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; a full memory is emptied.
 REMEMBERED = 600_000
+#: New pieces that are encoded as one text.
+TOGETHER = 200
 #: Input splits per 2**36 sequences: ids of sequences are numbered within a split.
 SEQUENCE_BITS = 36
 
@@ -39,6 +41,18 @@ CLOSE = re.compile(r"\s | \s")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Known(dict):
+    """Numbers of pieces, given at first sight; new ones wait in ``new`` for their ids."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceCoder:
     """Ids of texts, made of remembered ids of the pieces between single spaces."""
 
@@ -53,52 +67,50 @@ class PieceCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.flat = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.coder.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces that stand behind a space."""
-        new = [p for p in pieces if p not in self.known]
-        plain = [p for p in new if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
-        found, lengths = [], []
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = self._ids(" " + " ".join(part))
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(part):
-                raise ValueError("the vocabulary does not start its tokens at spaces")
-            found.append(ids)
-            lengths.append(np.diff(np.append(starts, len(ids))))
-        odd = [p for p in new if not (p and " " not in p and not p[0].isspace() and not p[-1].isspace())]
-        for p in odd:
-            ids = self._ids(" " + p)
-            found.append(ids)
-            lengths.append(np.array([len(ids)]))
-        for p in plain + odd:
-            self.known[p] = len(self.known)
-        self.flat = np.concatenate([self.flat, *found])
-        if lengths:
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths)))
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.coder.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, np.uint32) for x in found]
+
+    def learn(self) -> None:
+        """Ids of the new pieces, each as it stands behind a space."""
+        new, self.known.new = self.known.new, []
+        plain = [bool(p) and " " not in p and not p[0].isspace() and not p[-1].isspace() for p in new]
+        easy = [p for p, ok in zip(new, plain) if ok]
+        groups = [" " + " ".join(easy[at : at + TOGETHER]) for at in range(0, len(easy), TOGETHER)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._ids(groups)])
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(easy):
+            raise ValueError("the vocabulary does not start its tokens at spaces")
+        odd = self._ids([" " + p for p, ok in zip(new, plain) if not ok])
+        odd_sizes = np.array([len(x) for x in odd], np.int64)
+        plain = np.array(plain, bool)
+        at, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        at[plain], sizes[plain] = starts, np.diff(np.append(starts, len(ids)))
+        at[~plain], sizes[~plain] = len(ids) + np.cumsum(odd_sizes) - odd_sizes, odd_sizes
+        self.starts = np.append(self.starts, len(self.flat) + at)
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.concatenate([self.flat, ids, *odd])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.clear()
-        cut = []
+        number, firsts, numbers = self.known.__getitem__, [], []
         for text in texts:
             text = text or ""
-            cut.append(CUT.split(text) if CLOSE.search(text) else text.split(" "))
-        self.learn(set().union(*[p[1:] for p in cut]) if cut else set())
+            pieces = CUT.split(text) if CLOSE.search(text) else text.split(" ")
+            firsts.append(pieces[0])
+            numbers.append(np.fromiter(map(number, pieces[1:]), np.int64, len(pieces) - 1))
+        self.learn()
         out = []
-        for pieces in cut:
-            first = self._ids(pieces[0])
-            at = np.fromiter(map(self.known.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-            starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-            before = np.cumsum(lengths) - lengths
-            rest = self.flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        for first, at in zip(self._ids(firsts), numbers):
+            starts, sizes = self.starts[at], self.sizes[at]
+            before = np.cumsum(sizes) - sizes
+            rest = self.flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
             out.append(np.concatenate([first, rest]))
         return out
 
