@@ -1,9 +1,9 @@
 """Candidate pairs from buckets of any size, without all pairs of a bucket.
 
 Rows ``(bucket, node)`` are sorted by bucket; one streaming pass holds each
-member against the bucket's first, its hub.  Members that are still in several
-components afterwards meet block against block, and a block pair gives off no more
-than a spanning forest of the links it finds.
+member against the bucket's first, its hub.  What hubs connect is a cluster; members of a
+cluster that are still in several components afterwards meet block against block, and a
+block pair gives off no more than a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenweave.llm.components import connected_components
 from tokenweave.session import stage
 
-BLOCK = 512
+#: Members of a block.
+BLOCK = 128
 
 
 def runs_with_hubs(rows: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def runs_with_hubs(rows: DataFrame) -> DataFrame:
     )
 
 
-def spanning_links(linked: Callable[[object, object], bool]):
+def spanning_links(prepare: Callable[[object], object], linked: Callable[[object, object], bool]):
     """Column function over two blocks: links between members of different components.
 
     Members that links of the same two blocks already join are not compared again.
@@ -78,20 +80,14 @@ def spanning_links(linked: Callable[[object, object], bool]):
         n1: pa.Array, c1: pa.Array, x1: pa.Array, n2: pa.Array, c2: pa.Array, x2: pa.Array
     ) -> pa.Array:
         out = []
-        for left_n, left_c, left_x, right_n, right_c, right_x in zip(*(a.to_pylist() for a in (n1, c1, x1, n2, c2, x2))):
-            up: dict[str, str] = {}
-
-            def root(c: str) -> str:
-                while up.get(c, c) != c:
-                    c = up[c]
-                return c
-
-            links = []
+        for row in zip(n1, c1, x1, n2, c2, x2):
+            left_n, left_c, left_x, right_n, right_c, right_x = (v.as_py() for v in row)
+            left_x, right_x = [prepare(x) for x in left_x], [prepare(x) for x in right_x]
+            joined, links = Joined(), []
             for a, comp_a, item_a in zip(left_n, left_c, left_x):
                 for b, comp_b, item_b in zip(right_n, right_c, right_x):
-                    ra, rb = root(comp_a), root(comp_b)
-                    if ra != rb and linked(item_a, item_b):
-                        up[ra] = rb
+                    if comp_a != comp_b and joined.apart(comp_a, comp_b) and linked(item_a, item_b):
+                        joined.join(comp_a, comp_b)
                         links.append({"a": a, "b": b})
             out.append(links)
         return pa.array(out, pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())])))
@@ -99,38 +95,72 @@ def spanning_links(linked: Callable[[object, object], bool]):
     return compare
 
 
-def unsettled_links(members: DataFrame, payloads: DataFrame, found: DataFrame, linked) -> DataFrame | None:
-    """Links inside buckets whose members lie in several components; None where there are none.
+class Joined:
+    """Components that links found so far have joined."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, c):
+        while (above := self.up.get(c, c)) != c:
+            c = above
+        return c
+
+    def apart(self, a, b) -> bool:
+        return self.root(a) != self.root(b)
+
+    def join(self, a, b) -> None:
+        self.up[self.root(a)] = self.root(b)
+
+
+def unsettled_members(edges: DataFrame, found: DataFrame) -> DataFrame | None:
+    """``(cluster, node, comp, first, block, blocks)`` of what the hubs left open; None where that is nothing.
 
-    ``members`` has ``bucket`` and ``short`` (a node's short name), ``payloads`` has ``short``,
-    ``node`` and ``payload``.
+    ``edges`` are all (member, hub) pairs ``a, b``; what they connect is a cluster, and any two
+    members of a bucket are in one.  A cluster of one component, or of two members, is settled.
     """
+    clusters = connected_components(edges)
+    members = clusters.unionByName(
+        clusters.select(F.col("component").alias("node"), "component").distinct()
+    ).withColumnRenamed("component", "cluster")
     placed = stage(
-        members.distinct()
-        .join(payloads.select("short", "node"), "short")
-        .join(found.withColumnRenamed("component", "c"), "node", "left")
-        .select("bucket", "node", F.coalesce("c", "node").alias("comp")),
+        members.join(found.withColumnRenamed("component", "c"), "node", "left").select(
+            "cluster", "node", F.coalesce("c", "node").alias("comp")
+        ),
         "placed",
     )
     mixed = stage(
-        placed.groupBy("bucket")
+        placed.groupBy("cluster")
         .agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("size"))
         .where((F.col("first") != F.col("last")) & (F.col("size") > 2))
-        .drop("last"),
+        .select("cluster", "first", F.ceil(F.col("size") / BLOCK).alias("blocks")),
         "mixed",
     )
     if mixed.isEmpty():
         return None
-    rest = placed.join(mixed, "bucket").join(payloads.select("node", "payload"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rest = stage(rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks)), "blocks")
-    packed = F.collect_list(F.struct("node", "comp", "payload"))
-    right = rest.groupBy("bucket", "block").agg(packed.alias("r")).drop("block")
-    left = rest.where(F.col("comp") != F.col("first")).groupBy("bucket", "block").agg(packed.alias("l")).drop("block")
-    compare = spanning_links(linked)
+    return placed.join(mixed, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
+def block_pairs(rest: DataFrame, payload: list[str]) -> DataFrame:
+    """Blocks ``l`` of the members outside their cluster's first component, with all blocks ``r``."""
+    packed = F.collect_list(F.struct("node", "comp", *payload))
+    right = rest.groupBy("cluster", "block").agg(packed.alias("r")).drop("block")
+    left = rest.where(F.col("comp") != F.col("first")).groupBy("cluster", "block").agg(packed.alias("l")).drop("block")
+    return stage(left, "left").join(stage(right, "right"), "cluster")
+
+
+def unsettled_links(edges: DataFrame, payloads: DataFrame, found: DataFrame, prepare, linked) -> DataFrame | None:
+    """Links inside clusters whose members lie in several components; None where there are none.
+
+    ``payloads`` has ``node`` and ``payload``, which ``prepare`` makes ready for ``linked``.
+    """
+    open_ = unsettled_members(edges, found)
+    if open_ is None:
+        return None
+    pairs = block_pairs(stage(open_.join(payloads.select("node", "payload"), "node"), "blocks"), ["payload"])
+    compare = spanning_links(prepare, linked)
     return (
-        left.join(right, "bucket")
-        .select(F.explode(compare("l.node", "l.comp", "l.payload", "r.node", "r.comp", "r.payload")).alias("p"))
+        pairs.select(F.explode(compare("l.node", "l.comp", "l.payload", "r.node", "r.comp", "r.payload")).alias("p"))
         .select("p.*")
         .distinct()
     )

@@ -123,8 +123,8 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_
     pairs = several.select("hub", "node").distinct()
     links = stage(pairs.join(a, "hub").join(b, "node").where(near_lines(edits)("x", "y")).select("a", "b"), "line-links")
     components = connected_components(links)
-    members = runs.select("bucket", F.col("node").alias("short")).join(shorts, "short", "left_semi")
-    more = unsettled_links(members, texts, components, lambda x, y: within(x, y, edits))
+    edges = pairs.join(a.drop("x"), "hub").join(b.drop("y"), "node").select("a", "b")
+    more = unsettled_links(edges, texts, components, lambda x: x, lambda x, y: within(x, y, edits))
     if more is not None:
         components = connected_components(links.unionByName(more))
     rooted = classes.withColumn("node", _name("one", "two")).join(components, "node", "left")

@@ -5,10 +5,10 @@ universal hashes are cut into bands; in every bucket of a band the first member
 the hub, and the others are held against it: signatures first, then the full shingle sets.
 Components of these links come from alternating large-star and small-star.
 
-A bucket whose members are then still in several components is settled by blocks:
-the members outside the bucket's first component meet all members, block against
-block, and only likely links between different components leave a task.  So no
-link is lost, and a bucket of very many copies costs one comparison a member.
+What hubs connect is a cluster.  One whose members are then still in several components is
+settled by blocks: the members outside the cluster's first component meet all members,
+block against block, and no more than a spanning forest of the links leaves a task.
+So no link is lost, and a bucket of very many copies costs one comparison a member.
 
 Edge cases: a text without words is linked with nothing; with fewer words than a
 shingle, all words are one shingle; repeated rows are copies of each other; null ids
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenweave.llm.buckets import Joined, block_pairs, unsettled_members
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.shingles import (
     Minima,
@@ -46,8 +47,6 @@ PERCENT = 80
 ROWS = 4
 #: Chance that banding misses a pair at the threshold.
 MISS = 1e-7
-#: Members of a block in a bucket that its hub did not settle.
-BLOCK = 512
 
 
 def signature_bound(count: int, percent: int) -> int:
@@ -103,59 +102,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def likely_links(bound: int):
-    """Column function over two blocks: pairs of different components with enough equal minima."""
+def exact_links(bound: int, percent: int):
+    """Column function over two blocks: links between members of different components.
+
+    Signatures are compared first, then the full sets; members that links of the same two
+    blocks already join are not compared again.
+    """
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def compare(
-        n1: pa.Array, c1: pa.Array, s1: pa.Array, n2: pa.Array, c2: pa.Array, s2: pa.Array
+        n1: pa.Array, c1: pa.Array, s1: pa.Array, x1: pa.Array, n2: pa.Array, c2: pa.Array, s2: pa.Array, x2: pa.Array
     ) -> pa.Array:
         out = []
-        for row in zip(*(x.to_pylist() for x in (n1, c1, s1, n2, c2, s2))):
-            left_nodes, left_comps, left, right_nodes, right_comps, right = row
-            matrix = np.stack([np.frombuffer(s, np.uint32) for s in right])
-            comps = np.array(right_comps)
-            pairs = []
-            for node, comp, signature in zip(left_nodes, left_comps, left):
+        for row in zip(n1, c1, s1, n2, c2, s2, x1, x2):
+            left_n, left_c, left_s, right_n, right_c, right_s = (v.as_py() for v in row[:6])
+            left, right = ([np.asarray(v.values) for v in side.values] for side in row[6:])
+            matrix, comps = np.stack([np.frombuffer(s, np.uint32) for s in right_s]), np.array(right_c)
+            joined, links = Joined(), []
+            for a, comp, signature, x in zip(left_n, left_c, left_s, left):
                 same = (matrix == np.frombuffer(signature, np.uint32)).sum(axis=1)
                 for k in np.flatnonzero((same >= bound) & (comps != comp)):
-                    pairs.append({"a": max(node, right_nodes[k]), "b": min(node, right_nodes[k])})
-            out.append(pairs)
+                    y, other = right[k], right_c[k]
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not joined.apart(comp, other):
+                        continue
+                    merged = np.concatenate([x, y])
+                    merged.sort(kind="stable")
+                    both = int((merged[1:] == merged[:-1]).sum())
+                    if 100 * both >= percent * (len(merged) - both):
+                        joined.join(comp, other)
+                        links.append({"a": a, "b": right_n[k]})
+            out.append(links)
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
     return compare
 
 
-def unsettled_pairs(members: DataFrame, signatures: DataFrame, found: DataFrame, bound: int) -> DataFrame | None:
-    """Likely links inside buckets whose members lie in several components; None where there are none."""
-    placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select(
-        "band", "node", F.coalesce("c", "node").alias("comp")
-    )
-    placed = stage(placed, "placed")
-    mixed = stage(
-        placed.groupBy("band")
-        .agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("size"))
-        .where(F.col("first") != F.col("last"))
-        .drop("last"),
-        "mixed",
-    )
-    if mixed.isEmpty():
+def unsettled_links(edges: DataFrame, payloads: DataFrame, found: DataFrame, bound: int, percent: int) -> DataFrame | None:
+    """Links inside clusters whose members lie in several components; None where there are none."""
+    open_ = unsettled_members(edges, found)
+    if open_ is None:
         return None
-    rest = placed.join(mixed, "band").join(signatures, "node")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rest = stage(rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks)), "blocks")
-    packed = [F.collect_list(F.struct("node", "comp", "signature")).alias("x")]
-    right = rest.groupBy("band", "block").agg(*packed).select("band", F.col("x").alias("r"))
-    left = (
-        rest.where(F.col("comp") != F.col("first")).groupBy("band", "block").agg(*packed).select("band", F.col("x").alias("l"))
-    )
-    compare = likely_links(bound)
-    return (
-        left.join(right, "band")
-        .select(F.explode(compare("l.node", "l.comp", "l.signature", "r.node", "r.comp", "r.signature")).alias("p"))
-        .select("p.*")
-        .distinct()
-    )
+    pairs = block_pairs(stage(open_.join(payloads, "node"), "blocks"), ["signature", "set"])
+    compare = exact_links(bound, percent)
+    made = compare("l.node", "l.comp", "l.signature", "l.set", "r.node", "r.comp", "r.signature", "r.set")
+    return pairs.select(F.explode(made).alias("p")).select("p.*").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,7 +188,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percen
         .select("node", shingles_udf(words)("text").alias("set")),
         "sets",
     )
-    pairs = members.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stage(
+        members.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(),
+        "pairs",
+    )
     close = (
         pairs.join(signatures.toDF("a", "s_a"), "a")
         .join(signatures.toDF("b", "s_b"), "b")
@@ -207,9 +200,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percen
     )
     links = stage(_verified(close, sets, percent), "links")
     found = connected_components(links)
-    more = unsettled_pairs(members.select("band", "node"), signatures, found, bound)
+    more = unsettled_links(pairs, sets.join(signatures, "node"), found, bound, percent)
     if more is not None:
-        found = connected_components(links.unionByName(_verified(more, sets, percent)))
+        found = connected_components(links.unionByName(more))
     rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
     settled = stage(rooted.join(firsts, "root").select("d1", "d2", "best"), "components")

@@ -28,6 +28,8 @@ EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+# A word with a digit or an at-sign; tried at the start of a word only.
+TOKEN = r"(?<!\S)\S*?[0-9@]\S*+"
 KINDS = ("email", "ip", "card", "phone", "context")
 
 #: A pattern is confident from this share of known instances and this many distinct ones.
@@ -74,7 +76,7 @@ def _is_phone(s: Column) -> Column:
 def with_base_spans(docs: DataFrame, text: str) -> DataFrame:
     """Adds ``base_spans`` of the fixed patterns, by kind and place, and the ``tokens`` with their contexts."""
     df = docs.withColumn("t__", text_of(text))
-    for name, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("token", r"\S*?[0-9@]\S*+")):
+    for name, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("token", TOKEN)):
         df = with_matches(df, "t__", pattern, f"{name}__")
     df = df.withColumns(
         {
@@ -86,7 +88,7 @@ def with_base_spans(docs: DataFrame, text: str) -> DataFrame:
     base = F.concat(*[tagged(f"{k}__", k, i) for i, k in enumerate(KINDS[:4])])
     df = df.withColumn("base_spans", _by_kind(base))
     # The words around a token come from the parts between the tokens.
-    df = df.withColumn("g__", F.split("t__", r"\S*?[0-9@]\S*+", -1))
+    df = df.withColumn("g__", F.split("t__", TOKEN, -1))
     df = df.withColumn(
         "tokens",
         F.transform(

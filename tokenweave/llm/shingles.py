@@ -76,11 +76,11 @@ def bands_for(similarity: float, rows: int, miss: float) -> int:
 
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key for each band, different between bands."""
-    grouped = minima.reshape(-1, rows)
-    key = np.arange(1, len(grouped) + 1, dtype=np.uint64)
+    """One 64-bit key for each band of the last axis, different between bands."""
+    grouped = minima.reshape(*minima.shape[:-1], -1, rows)
+    key = np.arange(1, grouped.shape[-2] + 1, dtype=np.uint64)
     for k in range(rows):
-        key = mixed((key + grouped[:, k]) * MIX)
+        key = mixed((key + grouped[..., k]) * MIX)
     return key
 
 
