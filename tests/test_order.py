@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenweave.operators.order import (
-    BROADCAST_ROWS,
     contiguous_shard,
     cut_point,
     document_index,
@@ -61,27 +60,33 @@ def test_hashed_offsets(spark, rows, partitions, buckets):
     assert {r.doc_key: r.start for r in got} == want
 
 
-def test_large_bucket_table_is_not_broadcast(spark, rows):
+def test_bucket_table_is_never_broadcast_by_force(spark, rows):
     df = make(spark, rows, 3).withColumn("k", hash_order(5, "doc_key"))
-    kw = dict(order=["k", "doc_key"], groups=("split",), hashed=True, max_groups=3)
     conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small = ordered_sums(df, {"start": "n"}, buckets=64, **kw)
-        large = ordered_sums(df, {"start": "n"}, buckets=BROADCAST_ROWS, **kw)
-        plans = [d._jdf.queryExecution().toString() for d in (small, large)]
-        assert "BroadcastHashJoin" in plans[0] and "ShuffledHashJoin" not in plans[0]
-        assert "ShuffledHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+        placed = ordered_sums(df, {"start": "n"}, order=["k", "doc_key"], groups=("split",), hashed=True, buckets=64)
+        plan = placed._jdf.queryExecution().toString()
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
         # The join and the window share one shuffle and one sort of the rows.
-        above = plans[1][plans[1].index("== Physical Plan ==") :].split("ShuffledHashJoin")[0]
+        above = plan[plan.index("== Physical Plan ==") :].split("ShuffledHashJoin")[0]
         assert "Exchange" not in above and above.count("Sort ") == 1
-        assert {tuple(r) for r in small.select("doc_key", "start").collect()} == {
-            tuple(r) for r in large.select("doc_key", "start").collect()
-        }
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
 
 
+@pytest.mark.parametrize("hashed", [True, False])
+def test_null_groups_keep_their_rows(spark, hashed):
+    rows = [(None if i % 2 else "" if i % 3 else "a", f"d{i:03d}", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "source string, doc_key string, n long").withColumn("k", hash_order(5, "doc_key"))
+    order = ["k", "doc_key"] if hashed else ["doc_key"]
+    got = token_offsets(df, order, ("source",), hashed=hashed).collect()
+    keys = {r.doc_key: r.k for r in df.collect()}
+    want, _ = model(rows, lambda r: (str(r[0]), keys[r[1]] if hashed else 0, r[1]))
+    assert {r.doc_key: r.start for r in got} == want and len(got) == 100
+    assert set(got[0].asDict()) == {*df.columns, "bucket", "start", "start_lo", "start_hi", "start_total"}
+
+
 def test_no_single_task_window_over_rows(spark, rows):
     plan = token_offsets(make(spark, rows, 3), ["doc_key"], ())._jdf.queryExecution().toString()
     # Only the bucket totals may meet in one task: that exchange sits above an aggregate.

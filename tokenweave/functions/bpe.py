@@ -7,6 +7,7 @@ per worker process, so a rank file is needed on the driver only.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 
@@ -35,36 +36,42 @@ def default_rank_file() -> str | None:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _encoding(name: str, ranks: bytes):
-    """The encoder of this worker process, built on first use."""
+def _ranks(content: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in content.splitlines() if line)
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+#: Encoders of this worker process, by the digest of their ranks and the end-of-text id.
+_ENCODINGS: dict[tuple[str, int], object] = {}
+
+
+def _encoding(name: tuple[str, int], ranks: bytes):
+    """The encoder of that name, built on first use."""
     import tiktoken
-    from tiktoken import registry
-
-    if name not in registry.ENCODINGS:
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        registry.ENCODINGS[name] = tiktoken.Encoding(
-            name,
-            pat_str=SPLIT_PATTERN,
-            mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs},
-            special_tokens={EOT_TEXT: EOT_ID},
+
+    if name not in _ENCODINGS:
+        _ENCODINGS[name] = tiktoken.Encoding(
+            name[0], pat_str=SPLIT_PATTERN, mergeable_ranks=_ranks(ranks), special_tokens={EOT_TEXT: name[1]}
         )
-    return registry.ENCODINGS[name]
+    return _ENCODINGS[name]
 
 
 class BytePairCoder:
     """Column functions for one vocabulary."""
 
-    eot = EOT_ID
-
-    def __init__(self, spark: SparkSession, rank_file: str | None = None):
+    def __init__(self, spark: SparkSession, rank_file: str | None = None, eot: int = EOT_ID):
         path = rank_file or default_rank_file()
         if path is None:
             raise ValueError("give the path of a byte-pair rank file")
         if os.path.getsize(path) > MAX_RANK_BYTES:
             raise ValueError(f"rank file {path} is larger than {MAX_RANK_BYTES} bytes")
         with open(path, "rb") as f:
-            self._ranks = spark.sparkContext.broadcast(f.read())
-        self._name = f"ranks:{os.path.basename(path)}:{os.path.getsize(path)}"
+            content = f.read()
+        if eot in _ranks(content).values():
+            raise ValueError(f"{path} has a token with the end-of-text id {eot}")
+        self.eot = eot
+        self._ranks = spark.sparkContext.broadcast(content)
+        self._name = hashlib.sha256(content).hexdigest(), eot
 
     def _coder(self) -> Callable[[], object]:
         name, ranks = self._name, self._ranks

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 # The conversion rules, applied from the top down.
 HTML_RULES = [
-    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "),
+    (r"(?is)<script[^>]*>.*?</script>", " "),
+    (r"(?is)<style[^>]*>.*?</style>", " "),
     (r"(?s)<!--.*?-->", " "),
     (r"<[^>]*>", " "),
     (r"&nbsp;", " "),
@@ -29,7 +30,11 @@ LATEX_RULES = [
     # comments, but not escaped percent signs
     (r"(?m)(^|[^\\])%.*$", "$1"),
     # environments without running text
-    (r"(?s)\\begin\{(figure|table|tabular|thebibliography|picture)(\*?)\}.*?\\end\{(figure|table|tabular|thebibliography|picture)(\*?)\}", " "),
+    (r"(?s)\\begin\{tabular\*?\}.*?\\end\{tabular\*?\}", " "),
+    (r"(?s)\\begin\{picture\*?\}.*?\\end\{picture\*?\}", " "),
+    (r"(?s)\\begin\{figure\*?\}.*?\\end\{figure\*?\}", " "),
+    (r"(?s)\\begin\{table\*?\}.*?\\end\{table\*?\}", " "),
+    (r"(?s)\\begin\{thebibliography\*?\}.*?\\end\{thebibliography\*?\}", " "),
     # headings, list items, paragraph ends
     (r"\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", "\n\n# $2\n\n"),
     (r"\\item\b *", "\n- "),

@@ -23,12 +23,16 @@ def mix_corpora(corpora: Sequence[DataFrame], out: str = "corpus") -> DataFrame:
     return reduce(DataFrame.unionByName, numbered)
 
 
-def select_years(df: DataFrame, years: Sequence, known: Sequence | None = None, column: str = "year") -> DataFrame:
-    """Rows of the wanted years; a filter on a partition column reads only those."""
-    known = YEAR_PRESETS["all"] if known is None else known
-    unknown = sorted(set(years) - set(known))
+def check_years(years: Sequence, known: Sequence | None = None) -> None:
+    """Refuses years that do not exist."""
+    unknown = sorted(set(years) - set(YEAR_PRESETS["all"] if known is None else known))
     if unknown:
         raise ValueError(f"unknown years {unknown}")
+
+
+def select_years(df: DataFrame, years: Sequence, known: Sequence | None = None, column: str = "year") -> DataFrame:
+    """Rows of the wanted years; a filter on a partition column reads only those."""
+    check_years(years, known)
     return df.where(F.col(column).isin(list(years)))
 
 

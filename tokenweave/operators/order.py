@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from tokenweave.functions.numbers import div
 from tokenweave.session import default_buckets
 
-#: Largest bucket table that is broadcast (three small numbers a row); beyond it
-#: the join is left to Spark, which then shares its shuffle with the window.
-BROADCAST_ROWS = 400_000
-
 #: Branches of a node in the search tree over bucket bounds.
 TREE_WIDTH = 16
 
@@ -101,18 +97,21 @@ def prefix_sum(
     sums: Mapping[str, Column | str],
     order: Sequence[str],
     groups: Sequence[str] = (),
-    most_rows: int | None = None,
 ) -> DataFrame:
     """Exclusive running sums in a global order, per group.
 
     ``df`` has a column ``bucket``, monotone in the order within a group.  For each ``name -> value`` adds ``name`` (the sum over earlier rows),
     ``name_lo`` / ``name_hi`` (the span of the row's order bucket) and
-    ``name_total`` (of the group).  ``most_rows`` is a known
-    bound of the bucket table: only a table within :data:`BROADCAST_ROWS` is
-    broadcast.  Otherwise the join by ``(groups, bucket)`` uses the shuffle that
-    the window needs anyway; a task then looks up its own few buckets by hash,
-    which spares the rows a second sort.
+    ``name_total`` (of the group).  The join by ``(groups, bucket)`` uses the shuffle
+    that the window needs anyway; a task then looks up its own few buckets by hash,
+    which spares the rows a second sort.  A null group is a group like any other.
     """
+    # A nullable group takes part as two columns that are never null.
+    nullable = [g for g in groups if df.schema[g].nullable]
+    named = {f"{g}__name": F.coalesce(F.col(g).cast("string"), F.lit("")) for g in nullable}
+    missing = {f"{g}__none": F.col(g).isNull() for g in nullable}
+    df = df.withColumns({**named, **missing}) if nullable else df
+    groups = [g for g in groups if g not in nullable] + [*named, *missing]
     at = [*groups, "bucket"]
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
     totals = df.groupBy(*at).agg(*[F.sum(v).cast("long").alias(f"{n}_t") for n, v in values.items()])
@@ -130,15 +129,12 @@ def prefix_sum(
             )
         ],
     )
-    if most_rows is not None and most_rows <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    else:
-        spans = spans.hint("shuffle_hash")
+    spans = spans.hint("shuffle_hash")
     inside = (
         Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     starts = {n: F.col(f"{n}_lo") + F.sum(v).over(inside).cast("long") - v for n, v in values.items()}
-    return df.join(spans, at).withColumns(starts)
+    return df.join(spans, at).withColumns(starts).drop(*named, *missing)
 
 
 def ordered_sums(
@@ -148,35 +144,22 @@ def ordered_sums(
     groups: Sequence[str] = (),
     hashed: bool = False,
     buckets: int | None = None,
-    max_groups: int | None = None,
 ) -> DataFrame:
     """:func:`prefix_sum` with the bucket chosen for the order.
 
     ``hashed`` says that ``order[0]`` is a :func:`hash_order` key; otherwise the
-    groups and the order columns together are cut into equal shares.  Give
-    ``max_groups`` only where the number of groups has a fixed bound.
+    groups and the order columns together are cut into equal shares.
     """
     spark = df.sparkSession
-    if not groups:
-        max_groups = 1
     if hashed:
         buckets = buckets or default_buckets(spark)
-        bound = None if max_groups is None else max_groups * buckets
-        return prefix_sum(df.withColumn("bucket", hash_bucket(order[0], buckets)), sums, order, groups, bound)
+        return prefix_sum(df.withColumn("bucket", hash_bucket(order[0], buckets)), sums, order, groups)
     buckets = buckets or default_buckets(spark, 4, MAX_RANGE_BUCKETS)
-    # Shares are cut group by group, so each group adds at most one row to the table.
-    bound = None if max_groups is None else max_groups + buckets
-    return prefix_sum(with_range_bucket(df, [*groups, *order], buckets), sums, order, groups, bound)
-
-
-#: A document belongs to one of three splits.
-MAX_SPLITS = 3
+    return prefix_sum(with_range_bucket(df, [*groups, *order], buckets), sums, order, groups)
 
 
 def token_offsets(df: DataFrame, order: Sequence[str], groups: Sequence[str] = ("split",), **kw) -> DataFrame:
     """Start of each document in the token stream of its split; needs a column ``n``."""
-    if tuple(groups) == ("split",):
-        kw.setdefault("max_groups", MAX_SPLITS)
     return ordered_sums(df, {"start": "n"}, order, groups, **kw)
 
 

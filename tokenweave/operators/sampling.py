@@ -33,7 +33,7 @@ def epoch_order(sequences: DataFrame, epochs: int = 1, seed: int = ORDER_SEED, f
         "order_key", hash_order(seed, "epoch", "seq_id")
     )
     ranked = global_rank(
-        keyed, ["order_key", "seq_id"], ("epoch",), "pos", hashed=True, max_groups=epochs
+        keyed, ["order_key", "seq_id"], ("epoch",), "pos", hashed=True
     )
     return ranked.select("epoch", "seq_id", "pos", F.col("pos_total").alias("n"))
 

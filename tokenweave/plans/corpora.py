@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 from tokenweave.functions.bpe import BytePairCoder, is_rejected
 from tokenweave.functions.chars import char_encode
 from tokenweave.functions.ids import append_eot, token_len
-from tokenweave.functions.markup import convert_markup, keep_converted
-from tokenweave.operators.mix import YEAR_PRESETS, concat_years, mix_corpora, select_years
+from tokenweave.functions.markup import convert_markup
+from tokenweave.operators.mix import YEAR_PRESETS, check_years, concat_years, mix_corpora, select_years
 from tokenweave.operators.segments import MAX_CHARS, cut_long_texts, safe_segments
 from tokenweave.operators.splits import SPLIT_SEED, VAL_FRACTION, file_split, modulo_split, offset_split, random_split
 from tokenweave.session import stage
+from tokenweave.sinks.materialize import materialize_years
 from tokenweave.sources.documents import (
     decoded_members,
     expand_archives,
@@ -66,7 +67,7 @@ def web_corpus(
     fraction: float = VAL_FRACTION,
     seed: int = SPLIT_SEED,
     format: str = "parquet",
-    key: str = "doc_key",
+    key: str | None = "doc_key",
     source: str | None = "source",
     schema: T.StructType | str | None = None,
     max_chars: int = MAX_CHARS,
@@ -82,6 +83,12 @@ def web_corpus(
     return _tokenized(pieces, ids, pos=F.col("order_key"), block=F.col("piece"))
 
 
+def web_rejects(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
+    """``(doc_key, reason)`` of the rows that :func:`web_corpus` leaves out."""
+    _, out = reject_null_text(read_documents(spark, path, format, **options))
+    return out.select(F.col("doc_key").cast("string").alias("doc_key"), F.lit("no text").alias("reason"))
+
+
 def wiki_corpus(spark: SparkSession, path: str, coder: BytePairCoder) -> DataFrame:
     """Pre-split text files (a folder, or a zip of them), encoded as whole files."""
     if path.endswith(".zip"):
@@ -94,27 +101,65 @@ def wiki_corpus(spark: SparkSession, path: str, coder: BytePairCoder) -> DataFra
     return _tokenized(parts, coder.encode("text"), line=F.col("segment"))
 
 
-def year_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(year, doc_key, text)`` from one archive of LaTeX sources a year, or from text files.
+def converted_documents(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
+    """``(year, doc_key, text, reason)`` from one archive of LaTeX sources a year, or from text files.
+
+    Only the archives or folders of ``years`` are opened, when given.  ``reason`` says why
+    a document has no text, and is null for the others.
 
     ``path`` is a glob of ``*.tar.gz`` / ``*.zip`` archives with the year in their
     names, or a folder with one folder of text files a year.
     """
     if not path.endswith((".tar.gz", ".tgz", ".zip")):
-        return read_document_files(spark, path)
-    year = F.regexp_extract("archive", r"(\d{4})[^/]*$", 1).cast("int")
-    sources = decoded_members(expand_archives(spark, path), year)
-    texts = keep_converted(convert_markup(sources, "markup", "latex")).select("year", "doc_key", "text")
-    # Unpacked and converted once: the index of a document takes several reads of the keys.
-    return stage(texts, "converted", ("year",))
+        files = read_document_files(spark, path, years)
+        return files.withColumn("reason", F.when(F.col("year").isNull(), "no year"))
+
+    def year(column: str) -> Column:
+        return F.regexp_extract(column, r"(\d{4})[^/]*$", 1).try_cast("int")
+
+    wanted = None if years is None else year("path").isin([int(y) for y in years])
+    sources = decoded_members(expand_archives(spark, path, wanted=wanted), year("archive"))
+    converted = convert_markup(sources, "markup", "latex")
+    return converted.select("year", "doc_key", F.when(F.col("ok"), F.col("text")).alias("text"), "reason")
+
+
+def year_documents(
+    spark: SparkSession, path: str, years: Sequence[int] | None = None, cache: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(year, doc_key, text)`` of the documents that have a text, and the rejects with their reason.
+
+    Unpacked and converted once, as the index of a document takes several reads of the keys: in
+    ``cache``, where given, each year once for good.
+    """
+    if cache and years is not None:
+        made = materialize_years(spark, cache, years, lambda todo: converted_documents(spark, path, todo))
+    else:
+        made = stage(converted_documents(spark, path, years), "converted", ("year",))
+    good = made.where(F.col("reason").isNull()).select("year", "doc_key", "text")
+    return good, made.where(F.col("reason").isNotNull()).select("year", "doc_key", "reason")
+
+
+def year_rejects(
+    spark: SparkSession, path: str, years: Sequence[int] | None = None, cache: str | None = None
+) -> DataFrame:
+    """``(year, doc_key, reason)`` of the documents that :func:`year_corpus` leaves out."""
+    years = YEAR_PRESETS["all"] if years is None else list(years)
+    good, out = year_documents(spark, path, years, cache)
+    held = good.where(is_rejected("text")).select("year", "doc_key", F.lit("end-of-text literal").alias("reason"))
+    return out.unionByName(held)
 
 
 def year_corpus(
-    spark: SparkSession, path: str, coder: BytePairCoder, years: Sequence[int] | None = None
+    spark: SparkSession,
+    path: str,
+    coder: BytePairCoder,
+    years: Sequence[int] | None = None,
+    cache: str | None = None,
 ) -> DataFrame:
     """Documents by year: every ten split seven, two, one; years in the order asked for."""
     years = YEAR_PRESETS["all"] if years is None else list(years)
-    docs = select_years(year_documents(spark, path), years)
+    check_years(years)
+    docs = select_years(year_documents(spark, path, years, cache)[0], years)
     parts = modulo_split(docs, "year", ("doc_key",)).where(~is_rejected("text"))
     placed = concat_years(parts, years)
     return _tokenized(placed, coder.encode("text", special="error"), part=F.col("part"), pos=F.col("i"))

@@ -276,5 +276,13 @@ def statements() -> dict[str, str]:
             row_number() OVER (PARTITION BY split ORDER BY k, doc_id) - 1 AS i, md5(text) AS text_md5 FROM parts""",
         "materialize_once": f"""WITH {_split()} SELECT split, count(*) AS docs, sum(n)::BIGINT AS tokens,
             sum(n)::BIGINT AS ids FROM parts GROUP BY split""",
+        "token_offsets_null_group": f"""WITH d AS (SELECT quality, documents.doc_id AS doc_key, length({_clean()})::BIGINT AS n
+              FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)
+            SELECT *, (sum(n) OVER (PARTITION BY quality ORDER BY doc_key) - n)::BIGINT AS start FROM d""",
+        "recipe_rejects": """SELECT doc_id::VARCHAR AS doc_key, 'no text' AS reason
+            FROM documents JOIN labels USING (doc_id) WHERE toxic = 1""",
+        "random_split_text_only": f"""WITH t AS (SELECT count(*) AS n FROM documents)
+            SELECT 'val' AS split, ceil({FRACTION}::DOUBLE * n)::BIGINT AS docs, ceil({FRACTION}::DOUBLE * n)::BIGINT AS names FROM t
+            UNION ALL SELECT 'train', n - ceil({FRACTION}::DOUBLE * n)::BIGINT, n - ceil({FRACTION}::DOUBLE * n)::BIGINT FROM t""",
         "pin": f"WITH {_split()} SELECT split, {REPORT} FROM parts GROUP BY split",
     }

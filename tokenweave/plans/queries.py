@@ -22,7 +22,6 @@ from tokenweave.functions.markup import (
 from tokenweave.functions.numbers import ceil_div, div
 from tokenweave.operators.mix import concat_years, mix_corpora, select_years
 from tokenweave.operators.order import (
-    MAX_SPLITS,
     contiguous_shard,
     document_index,
     global_rank,
@@ -60,6 +59,7 @@ from tokenweave.operators.scoring import (
 )
 from tokenweave.operators.segments import WHITE_SPACE, cut_long_texts, safe_segments
 from tokenweave.operators.splits import file_split, modulo_split, offset_split, random_split
+from tokenweave.plans.corpora import web_rejects
 from tokenweave.sinks.materialize import materialize_once, pin
 from tokenweave.sinks.token_shards import write_token_shards
 from tokenweave.session import scratch_path, spread, stage
@@ -340,7 +340,7 @@ def q_global_rank(spark, sf):
 
 def q_contiguous_shard(spark, sf):
     docs = random_split(documents(spark, sf), fraction=FRACTION)
-    ranked = global_rank(docs, HASHED, ("split",), hashed=True, max_groups=MAX_SPLITS)
+    ranked = global_rank(docs, HASHED, ("split",), hashed=True)
     shard = contiguous_shard(F.col("pos"), F.col("pos_total"), SHARDS)
     return ranked.select("doc_key", "split", shard.alias("shard"))
 
@@ -551,7 +551,6 @@ def q_bpe_shard_documents(spark, sf):
         {"doc": "closed"},
         ["start"],
         ("split",),
-        max_groups=MAX_SPLITS,
     )
     borders = numbered.withColumn("cuts", F.concat(F.array(F.lit(0)), "ends", F.array(F.size("ids"))))
     pieces = borders.select(
@@ -589,6 +588,34 @@ def q_pin(spark, sf):
     return corpus_report(pinned, ("split",)).withColumn("mean_len", F.round("mean_len", 6))
 
 
+def _labelled(spark, sf):
+    return documents(spark, sf).join(
+        spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "doc_key"), "doc_key", "left"
+    )
+
+
+def q_token_offsets_null_group(spark, sf):
+    """Documents without a label are a group of their own."""
+    docs = _labelled(spark, sf).withColumn("n", char_len("text")).drop("text")
+    return token_offsets(docs, ["doc_key"], ("quality",)).select("quality", "doc_key", "n", "start")
+
+
+def q_recipe_rejects(spark, sf):
+    """A corpus whose toxic documents come without their text."""
+    out = scratch_path(spark, "with-nulls")
+    text = F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.col("text")).alias("text")
+    _labelled(spark, sf).select("doc_key", "source", text).write.parquet(out)
+    return web_rejects(spark, out)
+
+
+def q_random_split_text_only(spark, sf):
+    """A corpus of texts alone: rows are named by where they are stored."""
+    out = scratch_path(spark, "text-only")
+    documents(spark, sf).select("text").write.parquet(out)
+    parts = random_split(read_documents(spark, out), fraction=FRACTION)
+    return parts.groupBy("split").agg(F.count("*").alias("docs"), F.countDistinct("doc_key").alias("names"))
+
+
 def registered() -> dict:
     """All queries of this module by name."""
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}

@@ -159,7 +159,7 @@ class TokenShards(DataSource):
 def assign_shards(df: DataFrame, order: Sequence[str], shards: int = MAX_SHARDS, **kw) -> DataFrame:
     """Adds ``start`` and ``shard``: contiguous runs of documents of each split."""
     placed = ordered_sums(
-        df, {"start": "n", "rank": F.lit(1).cast("long")}, order, ("split",), max_groups=len(SPLITS), **kw
+        df, {"start": "n", "rank": F.lit(1).cast("long")}, order, ("split",), **kw
     )
     return placed.withColumn("shard", contiguous_shard(F.col("rank"), F.col("rank_total"), shards))
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenweave.functions.markup import normalize_newlines
-from tokenweave.operators.order import BROADCAST_ROWS
 from tokenweave.session import stage
 from tokenweave.sources.files import filesystem, plain_path
 
@@ -37,7 +36,7 @@ def read_documents(
     spark: SparkSession,
     path: str | Sequence[str],
     format: str = "parquet",
-    key: str = "doc_key",
+    key: str | None = "doc_key",
     text: str = "text",
     source: str | None = "source",
     schema: T.StructType | str | None = None,
@@ -45,12 +44,20 @@ def read_documents(
 ) -> DataFrame:
     """Rows of a corpus with a text field, as ``(doc_key, source, text, *extra)``.
 
-    Give ``schema`` for formats that would otherwise be scanned to infer it.
+    Give ``schema`` for formats that would otherwise be scanned to infer it.  Without a key
+    (None, or no such column), a row of a Parquet corpus is named by its file and its place in it.  A
+    corpus without the source column has null sources.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     rows = reader.format(format).load(path)
-    origin = F.col(source) if source else F.lit(None).cast("string")
-    return rows.select(F.col(key).alias("doc_key"), origin.alias("source"), F.col(text).alias("text"), *extra)
+    origin = F.col(source) if source in rows.columns else F.lit(None).cast("string")
+    if key in rows.columns:
+        name = F.col(key)
+    elif format == "parquet":
+        name = F.concat_ws(":", plain_path(F.col("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    else:
+        raise ValueError(f"a corpus in format {format!r} needs a key column")
+    return rows.select(name.alias("doc_key"), origin.alias("source"), F.col(text).alias("text"), *extra)
 
 
 def reject_null_text(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -83,36 +90,44 @@ def read_text_split(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
         .where(F.col("excess").isin(1, -2))
         .select("file", "last.block", "last.line_no", F.lit("").alias("end"))
     )
-    if open_ended.count() <= BROADCAST_ROWS:
-        open_ended = F.broadcast(open_ended)
     end = F.coalesce("end", F.lit("\n"))
     ended = kept.join(open_ended, ["file", "block", "line_no"], "left")
     return ended.select("file", "block", "line_no", normalize_newlines(F.concat("value", end)).alias("text"))
 
 
-def read_document_files(spark: SparkSession, path: str) -> DataFrame:
+def _folders(path: str, years: Sequence[int] | None) -> list[str]:
+    """Names of the folders of ``path``; of those of the given years, if any are given."""
+    from pyarrow import fs
+
+    files, root = filesystem(path)
+    found = [f.base_name for f in files.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory]
+    return found if years is None else [f for f in found if f in {f"{y:04d}" for y in years}]
+
+
+def read_document_files(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
     """One document per file below ``path/<year>/``: ``(year, doc_key, text)``.
 
-    ``doc_key`` is ``<year>/<name>``.  Spark leaves out files of no length; they are
+    Only the folders of ``years`` are touched, when given; the year of a folder that is not
+    named like one is null.  ``doc_key`` is ``<year>/<name>``.  Spark leaves out files of no length; they are
     documents all the same and count in the index of their year, so they are added
     from listings, one task a year.
     """
-    rows = spark.read.text(f"{path.rstrip('/')}/*/*", wholetext=True)
+    folders = _folders(path, years)
+    if not folders:
+        return spark.createDataFrame([], "year int, doc_key string, text string")
+    rows = spark.read.text([f"{path.rstrip('/')}/{f}" for f in folders], wholetext=True)
     full = rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), normalize_newlines("value").alias("text"))
     key = F.regexp_extract("path", r"[^/]*/[^/]*$", 0)
-    docs = full.unionByName(_empty_files(spark, path).withColumn("text", F.lit("")))
+    docs = full.unionByName(_empty_files(spark, path, folders).withColumn("text", F.lit("")))
     return docs.select(
-        F.regexp_extract(key, r"^(\d{4})/", 1).cast("int").alias("year"), key.alias("doc_key"), "text"
+        F.regexp_extract(key, r"^(\d{4})/", 1).try_cast("int").alias("year"), key.alias("doc_key"), "text"
     )
 
 
-def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+def _empty_files(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
     """Paths of the files without content in the folders of ``path``."""
     from pyarrow import fs
 
-    files, root = filesystem(path)
-    folders = [f.base_name for f in files.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory]
-
     def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = filesystem(path)
         for batch in batches:
@@ -131,14 +146,19 @@ def safe_member(name: str) -> bool:
     return not (plain.startswith("/") or plain[1:2] == ":" or ".." in plain.split("/"))
 
 
-def expand_archives(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+def expand_archives(
+    spark: SparkSession, path: str, part_bytes: int = PART_BYTES, wanted: Column | None = None
+) -> DataFrame:
     """Members of zip and tar archives as rows ``(archive, member, part, content)``.
 
     Archives are unpacked in parallel.  A member is streamed and leaves in pieces
     that end at a line end, so neither an archive nor a member has to fit in
-    memory; unsafe member names are an error.
+    memory; unsafe member names are an error.  Archives for whose ``path`` the condition
+    ``wanted`` does not hold are not opened.
     """
     archives = spark.read.format("binaryFile").load(path).select("path", "length")
+    if wanted is not None:
+        archives = archives.where(wanted)
 
     def pieces(stream) -> Iterator[bytes]:
         held = b""
