@@ -103,8 +103,14 @@ def shingles_udf(width: int):
     return shingles
 
 
-@F.arrow_udf("int")
-def equal_minima(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Number of equal entries of two signatures."""
-    pairs = zip(left.to_pylist(), right.to_pylist())
-    return pa.array([int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum()) for a, b in pairs], pa.int32())
+def equal_minima(left, right):
+    """Number of equal entries of two signature columns."""
+
+    @F.arrow_udf("int")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = zip(a.to_pylist(), b.to_pylist())
+        return pa.array(
+            [int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) for x, y in pairs], pa.int32()
+        )
+
+    return count(left, right)
