@@ -73,12 +73,13 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tuple
     ).drop("text")
     marked = with_window_hashes(words, "words", lengths, "h")
     # One more entry per document, without a hash, brings documents without hits through.
-    rows = None
-    for k, n in enumerate(lengths):
-        entries = F.concat(f"h{n}", F.array(F.lit(None).cast("long"))) if k == 0 else F.col(f"h{n}")
-        part = marked.select(*[c for c in marked.columns if not c.startswith("h")], F.posexplode(entries))
-        part = part.withColumn("width", F.lit(n))
-        rows = part if rows is None else rows.unionByName(part)
+    rest = [c for c in marked.columns if c in (ROW, "kept", "words")]
+    mark = F.array(F.lit(None).cast("long"))
+    if len(lengths) == 1:
+        rows = marked.select(*rest, F.posexplode(F.concat(f"h{lengths[0]}", mark)), F.lit(lengths[0]).alias("width"))
+    else:
+        parts = [_placed(f"h{n}", n) for n in lengths] + [F.transform(mark, lambda x: _entry(x, F.lit(0), 0))]
+        rows = marked.select(*rest, F.inline(F.concat(*parts)))
     set_ = F.broadcast(grams) if few else grams
     looked = rows.join(set_, (rows.col == set_.hash) & (rows.width == set_["long"]), "left").where(
         F.col("gram").isNotNull() | F.col("col").isNull()
@@ -101,6 +102,15 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tuple
     return found.select(*(["kept.*"] if keep else []), "n_words", "hits", "items")
 
 
+def _entry(value, place, width: int):
+    return F.struct(place.cast("int").alias("pos"), value.alias("col"), F.lit(width).alias("width"))
+
+
+def _placed(hashes: str, width: int):
+    """Window hashes with their places and their length."""
+    return F.transform(hashes, lambda x, i: _entry(x, i, width))
+
+
 def remove_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, drop_share: float = 0.5) -> DataFrame:
     """``docs`` without benchmark text: hit words are cut out, and a document of which at
     least ``drop_share`` of the words are hit goes.  Other documents stay as they are."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenweave.llm.buckets import runs_with_hubs, unsettled_links
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.edits import probes, segments, within
-from tokenweave.llm.text import ROW, with_row_key
+from tokenweave.llm.text import ROW, with_fixed_rows, with_row_key
 from tokenweave.session import stage
 
 EDITS = 1
@@ -104,7 +104,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_
 
     ``equal`` lists lines with an equal line before them, ``near`` those that only a near one precedes.
     """
-    light = with_row_key(docs.select(F.col(key).alias("key__"), F.col("text").cast("string").alias("text")))
+    light = with_fixed_rows(docs).select(ROW, F.col(key).alias("key__"), F.col("text").cast("string").alias("text"))
     found = stage(_lines(light, min_chars).drop("line"), "lines")
     place = F.struct(F.col("key__").isNull().alias("none"), F.col("key__").alias("key"), F.col(ROW).alias("row"), "line_no")
     classes = stage(found.groupBy("one", "two").agg(F.min(place).alias("first")), "line-classes")
@@ -151,10 +151,10 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without repeated lines; a text of which nothing but white space is left goes, if it had lines removed."""
-    held = stage(docs, "line-input")
+    held = stage(with_row_key(docs), "line-input")
     verdicts = line_verdicts(held, key, edits, min_chars).select(ROW, F.concat("equal", "near").alias("gone__"))
-    joined = with_row_key(held).join(verdicts.where(F.size("gone__") > 0), ROW, "left")
-    return joined.transform(_without_lines, held.columns)
+    joined = held.join(verdicts.where(F.size("gone__") > 0), ROW, "left")
+    return joined.transform(_without_lines, docs.columns)
 
 
 def _without_lines(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenweave.session import stage
+
 #: White space and the separators between normalised words.
 SPACES = r"[\x20\x09-\x0D]+"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,6 +38,20 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def with_fixed_rows(df: DataFrame) -> DataFrame:
+    """Adds a row key that stays the same in every later read of ``df``.
+
+    A scan with only projections and filters above it gives each row the same place each time;
+    anything else is written out first.  A frame that has the key already stays as it is.
+    """
+    if ROW in df.columns:
+        return df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = set(re.findall(r"^[\s:+-]*(\w+)", plan, re.MULTILINE))
+    keyed = with_row_key(df)
+    return keyed if nodes <= {"Project", "Filter", "Relation"} else stage(keyed, "rows")
+
+
 def split_words(text: Column, between: str) -> Column:
     """Words of a text, where ``between`` matches what separates them."""
     return F.array_remove(F.split(text, between), "")
