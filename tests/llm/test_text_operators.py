@@ -110,7 +110,7 @@ def test_secrets(spark, edge, none):
         "doc_id", span_list(F.col("base_spans")).alias("b"), span_list(F.col("spans")).alias("s")).collect()}
     assert got[0] == ("", f"entropy:3:{3 + len(key)}")
     assert [x.split(":")[0] for x in got[1][0].split(",")] == ["assign", "hex", "access", "hex"]
-    assert got[2][1] == "" and got[3] == ("", "")
+    assert got[2][1] == "" and got[3] == ("hex:81:121", "hex:81:121")
     assert got[4][0] == "assign:0:14,assign:15:30" and got[5][0] == "hex:0:16000"
     assert secret_scan.scan_secrets(edge).count() == edge.count() and secret_scan.scan_secrets(none).count() == 0
 
