@@ -30,7 +30,7 @@ END_ID = 1
 #: A tokenizer file beyond this is refused instead of broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; a full memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 #: New pieces that are encoded as one text.
 TOGETHER = 200
 #: Input splits per 2**36 sequences: ids of sequences are numbered within a split.
@@ -57,6 +57,8 @@ class PieceCoder:
     """Ids of texts, made of remembered ids of the pieces between single spaces."""
 
     def __init__(self, file: str):
+        # One thread a task: Spark gives out the cores, and every thread would hold memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_str(file)
