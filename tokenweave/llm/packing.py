@@ -29,8 +29,9 @@ END_ID = 1
 
 #: A tokenizer file beyond this is refused instead of broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
-#: Pieces whose ids a worker remembers; a full memory is emptied.
-REMEMBERED = 450_000
+#: Pieces, and their ids, that a worker remembers; a memory that either fills is emptied.
+REMEMBERED = 1_000_000
+REMEMBERED_IDS = 16_000_000
 #: New pieces that are encoded as one text.
 TOGETHER = 200
 #: Input splits per 2**36 sequences: ids of sequences are numbered within a split.
@@ -53,6 +54,22 @@ class Known(dict):
         return number
 
 
+class Grown:
+    """An array that numbers are put behind; its room doubles, so each is copied a few times at most."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.room):
+            wider = np.zeros(max(size, 2 * len(self.room)), self.room.dtype)
+            wider[: self.size] = self.room[: self.size]
+            self.room = wider
+        self.room[self.size : size] = more
+        self.size = size
+
+
 class PieceCoder:
     """Ids of texts, made of remembered ids of the pieces between single spaces."""
 
@@ -70,9 +87,7 @@ class PieceCoder:
 
     def clear(self) -> None:
         self.known = Known()
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.flat, self.starts, self.sizes = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.coder.encode_batch_fast(texts, add_special_tokens=False)
@@ -94,12 +109,13 @@ class PieceCoder:
         at, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         at[plain], sizes[plain] = starts, np.diff(np.append(starts, len(ids)))
         at[~plain], sizes[~plain] = len(ids) + np.cumsum(odd_sizes) - odd_sizes, odd_sizes
-        self.starts = np.append(self.starts, len(self.flat) + at)
-        self.sizes = np.append(self.sizes, sizes)
-        self.flat = np.concatenate([self.flat, ids, *odd])
+        self.starts.add(self.flat.size + at)
+        self.sizes.add(sizes)
+        for x in (ids, *odd):
+            self.flat.add(x)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.flat.size > REMEMBERED_IDS:
             self.clear()
         number, firsts, numbers = self.known.__getitem__, [], []
         for text in texts:
@@ -110,9 +126,9 @@ class PieceCoder:
         self.learn()
         out = []
         for first, at in zip(self._ids(firsts), numbers):
-            starts, sizes = self.starts[at], self.sizes[at]
+            starts, sizes = self.starts.room[at], self.sizes.room[at]
             before = np.cumsum(sizes) - sizes
-            rest = self.flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+            rest = self.flat.room[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
             out.append(np.concatenate([first, rest]))
         return out
 
