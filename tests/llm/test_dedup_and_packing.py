@@ -15,6 +15,7 @@ from tokenweave.llm.buckets import runs_with_hubs
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.queries import tokenizer_file
+from tokenweave.llm.shingles import Minima, WordHashes, windows
 
 
 def union(nodes, links):
@@ -163,6 +164,23 @@ def test_line_and_passage_edges(edge, none):
         assert clean(none).count() == 0
 
 
+def test_paragraphs_of_a_group_are_those_of_each_text():
+    rng, table, minima = random.Random(5), WordHashes(), Minima(10)
+    texts = [None, "", "a " * 8, "a " * 9, "x y " * 900, *(" ".join(rng.choices("abcdefgh", k=k)) for k in range(120))]
+
+    def made(some):
+        for tags, sizes, hashes in passage_dedup.grouped(some, table):
+            text, *rest, keys = passage_dedup.paragraphs(hashes, sizes, minima)
+            yield from zip(np.array(tags)[text].tolist(), *[x.tolist() for x in rest], keys.tolist())
+
+    assert list(made(enumerate(texts))) == [x for one in enumerate(texts) for x in made([one])]
+    hashes = table.of("a b c d e f g h i j a b c d e f".encode().split())
+    found, counts = passage_dedup.part_sets(np.array([0, 3]), np.array([9, 13]), windows(hashes, 5))
+    for k, (a, n) in enumerate([(0, 9), (3, 13)]):
+        part = found[counts[:k].sum() : counts[: k + 1].sum()]
+        assert part.tolist() == np.unique(windows(hashes[a : a + n], 5)).tolist()
+
+
 def test_passages_inside_other_text(spark):
     passage = prose(500, 70)
     texts = [prose(i, 200) for i in range(12)]
