@@ -57,16 +57,19 @@ def _encoding(name: tuple[str, int], ranks: bytes):
 
 
 class BytePairCoder:
-    """Column functions for one vocabulary."""
+    """Column functions for one vocabulary, given by the path or the content of its rank file."""
 
-    def __init__(self, spark: SparkSession, rank_file: str | None = None, eot: int = EOT_ID):
+    def __init__(self, spark: SparkSession, rank_file: str | bytes | None = None, eot: int = EOT_ID):
         path = rank_file or default_rank_file()
         if path is None:
             raise ValueError("give the path of a byte-pair rank file")
-        if os.path.getsize(path) > MAX_RANK_BYTES:
-            raise ValueError(f"rank file {path} is larger than {MAX_RANK_BYTES} bytes")
-        with open(path, "rb") as f:
-            content = f.read()
+        if (len(path) if isinstance(path, bytes) else os.path.getsize(path)) > MAX_RANK_BYTES:
+            raise ValueError(f"a rank file is larger than {MAX_RANK_BYTES} bytes")
+        if isinstance(path, bytes):
+            content, path = path, "the rank file"
+        else:
+            with open(path, "rb") as f:
+                content = f.read()
         if eot in _ranks(content).values():
             raise ValueError(f"{path} has a token with the end-of-text id {eot}")
         self.eot = eot

@@ -6,13 +6,10 @@ they share no code with the operators.
 
 from __future__ import annotations
 
-import re
-
-from tokenweave.functions.markup import HTML_RULES, LATEX_RULES
-from tokenweave.operators.segments import WHITE_SPACE
 from tokenweave.plans.queries import (
     ACC,
     BATCH,
+    BYTES,
     CHUNK,
     EOT,
     EPOCHS,
@@ -40,19 +37,58 @@ def _ids(text: str = "text") -> str:
     )
 
 
-def _regex_chain(rules: list, column: str) -> str:
-    """Nested replacements; group references are written with a backslash here."""
+# What the conversion is to do, spelled for a linear-time regex engine.
+WHITE_SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PAGE_STEPS = [
+    *[(f"(?is)<{name}[^>]*>.*?</{name}>", " ") for name in ("script", "style")],
+    ("(?s)<!--.*?-->", " "),
+    ("<[^>]*>|&nbsp;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&amp;", "&"),
+    (r"[\t\n\r ]+", " "),
+]
+TEX_STEPS = [
+    (r"(?s)^.*\\begin[{]document[}]", ""),
+    (r"(?s)\\end[{]document[}].*$", ""),
+    (r"(?m)(^|[^\\])%[^\n]*$", r"\1"),
+    *[
+        (rf"(?s)\\begin[{{]{name}[*]?[}}].*?\\end[{{]{name}[*]?[}}]", " ")
+        for name in ("tabular", "picture", "figure", "table", "thebibliography")
+    ],
+    (r"\\(?:chapter|(?:sub){0,2}section|paragraph)[*]?[{]([^{}]*)[}]", "\n\n# \\1\n\n"),
+    (r"\\item\b *", "\n- "),
+    (r"\\(?:begin|end)[{][^{}]*[}](?:\[[^\[\]]*\])?", "\n"),
+    (r"\\par\b", "\n\n"),
+    (r"\\\\(?:\[[^\[\]]*\])?", "\n"),
+    (
+        r"\\(?:label|ref|eqref|cite|bibliographystyle|bibliography|usepackage|[vh]space|input|include)[*]?"
+        r"(?:\[[^\[\]]*\])?[{][^{}]*[}]",
+        "",
+    ),
+    *2 * [(r"\\[A-Za-z]+[*]?(?:\[[^\[\]]*\])?[{]([^{}]*)[}]", r"\1")],
+    (r"\\[A-Za-z]+[*]?", ""),
+    (r"\\([#$%&_{}])", r"\1"),
+    ("[{}]", ""),
+    (r"[~\t ]+", " "),
+    (" ?\n ?", "\n"),
+    ("\n\n\n+", "\n\n"),
+    (r"\A[ \n]+|[ \n]+\z", ""),
+]
+
+
+def _replaced(steps: list, column: str) -> str:
+    """Nested replacements."""
     out = column
-    for pattern, replacement in rules:
-        back = re.sub(r"\$(\d)", r"\\\1", replacement).replace("'", "''")
-        quoted = pattern.replace("'", "''")
-        out = f"regexp_replace({out}, '{quoted}', '{back}', 'g')"
+    for pattern, new in steps:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), new)
     return out
 
 
-def _split(fraction: float = FRACTION) -> str:
+def _split(fraction: float = FRACTION, size: str = f"length({_clean()})") -> str:
     return f"""docs AS (
-  SELECT *, substr(md5('2357:' || doc_id), 1, 15) AS k, length({_clean()})::BIGINT + 1 AS n FROM documents),
+  SELECT *, substr(md5('2357:' || doc_id), 1, 15) AS k, ({size})::BIGINT + 1 AS n FROM documents),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY k, doc_id) - 1 AS r, count(*) OVER () AS total FROM docs),
 parts AS (
@@ -62,14 +98,20 @@ placed AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts)"""
 
 
-STREAM = f"""{_split()},
+def _stream(parts: str, ids: str, eot: int) -> str:
+    return f"""{parts},
 tokens AS (
-  SELECT split, start + unnest(range(n)) AS p, unnest(list_append({_ids()}, {EOT})) AS id FROM placed),
+  SELECT split, start + unnest(range(n)) AS p, unnest(list_append({ids}, {eot})) AS id FROM placed),
 pairs AS (
   SELECT split, p, p // {LENGTH} AS seq_id, id AS x, lead(id) OVER (PARTITION BY split ORDER BY p) AS y,
     (max(p) OVER (PARTITION BY split)) // {LENGTH} AS sequences FROM tokens),
 kept AS (SELECT * FROM pairs WHERE seq_id < sequences)"""
 
+
+STREAM = _stream(_split(), _ids(), EOT)
+BYTE_IDS = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT)"
+BYTE_STREAM = _stream(_split(size="octet_length(encode(text))"), BYTE_IDS, BYTES)
+
 TRAIN_IDS = f"""{_split()},
 counted AS (SELECT greatest(0, (sum(n)::BIGINT - 1) // {LENGTH}) AS sequences FROM parts WHERE split = '{{split}}'),
 seqs AS (SELECT unnest(range(sequences)) AS seq_id FROM counted)"""
@@ -113,15 +155,15 @@ scored AS (
   FROM val LEFT JOIN counts ON val.x = counts.x AND val.y = counts.y
   LEFT JOIN inputs ON val.x = inputs.x LEFT JOIN best ON val.x = best.x)"""
 
-PAGE_TEXT = f"trim({_regex_chain(HTML_RULES, 'markup')})"
+PAGE_TEXT = f"trim({_replaced(PAGE_STEPS, 'markup')})"
 LATEX_SOURCE = (
     r"""'\documentclass{article}' || chr(10) || '% draft' || chr(10) || '\begin{document}' || chr(10) ||"""
     r""" '\section{Results}\label{s}' || chr(10) ||"""
     r""" replace(text, '. ', '.\\' || chr(10) || '\textbf{see} \cite{a} ')"""
-    r""" || chr(10) || '\begin{table}x & y\end{table}' || chr(10) || '\end{document}' || chr(10)"""
+    r""" || chr(10) || '\begin{table}x & y\end{table}' || chr(10)"""
+    r""" || '\begin{figure}\begin{tabular}x\end{tabular}\caption{Cap}\end{figure}' || chr(10) || '\end{document}' || chr(10)"""
 )
-# Replacements hold line ends; the statement spells them as such.
-LATEX_TEXT = rf"regexp_replace({_regex_chain(LATEX_RULES, 'tex')}, '^[ \n]+|[ \n]+$', '', 'g')"
+TEX_TEXT = _replaced(TEX_STEPS, "tex")
 
 REPORT = """count(*) AS docs, sum(n)::BIGINT AS tokens, max(n) AS longest, round(avg(n), 6) AS mean_len"""
 YEAR_LIST = ", ".join(f"'{y}'" for y in YEARS)
@@ -154,7 +196,7 @@ def statements() -> dict[str, str]:
             t AS (SELECT page_id, variant, {PAGE_TEXT} AS text FROM p)
             SELECT page_id, variant, 'no text' AS reason FROM t WHERE text = ''""",
         "latex_to_text": f"""WITH s AS (SELECT doc_id, {LATEX_SOURCE} AS tex FROM documents)
-            SELECT doc_id AS doc_key, md5({LATEX_TEXT}) AS text_md5 FROM s""",
+            SELECT doc_id AS doc_key, md5({TEX_TEXT}) AS text_md5 FROM s""",
         "normalize_newlines": """SELECT doc_id AS doc_key, (length(text) + CASE WHEN lang = 'en'
               THEN length(text) - length(replace(text, chr(10), '')) ELSE 0 END)::BIGINT AS raw_chars,
             md5(text) AS text_md5 FROM documents""",
@@ -181,6 +223,10 @@ def statements() -> dict[str, str]:
         "append_eot": f"""SELECT doc_id AS doc_key, length({_clean()})::BIGINT + 1 AS n, {EOT}::INT AS last_id
             FROM documents""",
         "token_len": f"SELECT doc_id AS doc_key, length({_clean()})::BIGINT AS n FROM documents",
+        "byte_encode": f"""SELECT doc_id AS doc_key, array_to_string({BYTE_IDS}, ',') AS ids,
+            octet_length(encode(text))::BIGINT AS n FROM documents""",
+        "byte_pack_sequences": f"""WITH {BYTE_STREAM} SELECT split, seq_id, md5(string_agg(x, ',' ORDER BY p)) AS x_md5,
+            md5(string_agg(y, ',' ORDER BY p)) AS y_md5 FROM kept GROUP BY split, seq_id""",
         "bpe_round_trip": "SELECT doc_id AS doc_key, md5(text) AS text_md5 FROM documents",
         "bpe_special_policy": """WITH d AS (SELECT documents.doc_id, coalesce(toxic, 0) AS toxic,
               coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)

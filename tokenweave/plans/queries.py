@@ -6,6 +6,8 @@ end-of-text id is then the first id behind the character vocabulary.
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,7 @@ from tokenweave.sources.token_shards import read_sequences, read_token_shards
 
 LENGTH = 256
 EOT = VOCAB_SIZE
+BYTES = 256
 IDS = VOCAB_SIZE + 1
 FRACTION = 0.05
 BATCH = 8
@@ -187,7 +190,8 @@ def q_latex_to_text(spark, sf):
     tex = F.concat(
         F.lit("\\documentclass{article}\n% draft\n\\begin{document}\n\\section{Results}\\label{s}\n"),
         F.replace("text", F.lit(". "), F.lit(".\\\\\n\\textbf{see} \\cite{a} ")),
-        F.lit("\n\\begin{table}x & y\\end{table}\n\\end{document}\n"),
+        F.lit("\n\\begin{table}x & y\\end{table}\n"
+            "\\begin{figure}\\begin{tabular}x\\end{tabular}\\caption{Cap}\\end{figure}\n\\end{document}\n"),
     )
     return texts(spark, sf).select("doc_key", F.md5(markup_to_text(tex, "latex")).alias("text_md5"))
 
@@ -267,6 +271,17 @@ def q_bpe_encode(spark, sf):
     return ids.select("doc_key", "ids", token_len("ids").alias("n"))
 
 
+def byte_coder(spark: SparkSession) -> BytePairCoder:
+    """The vocabulary of the 256 bytes, whose ids a SQL engine can state; the end of text is id 256."""
+    ranks = b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(BYTES))
+    return BytePairCoder(spark, ranks, eot=BYTES)
+
+
+def q_byte_encode(spark, sf):
+    ids = texts(spark, sf).withColumn("ids", byte_coder(spark).encode("text"))
+    return ids.select("doc_key", joined("ids").alias("ids"), token_len("ids").alias("n"))
+
+
 def q_bpe_special_policy(spark, sf):
     coder = BytePairCoder(spark)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("doc_key"), "quality", "toxic")
@@ -360,13 +375,21 @@ def q_shift_targets(spark, sf):
     )
 
 
-def q_bpe_pack_sequences(spark, sf):
-    coder = BytePairCoder(spark)
+def _pack_staged(spark, sf, coder: BytePairCoder) -> DataFrame:
     docs = random_split(texts(spark, sf), fraction=FRACTION).withColumn("ids", append_eot(coder.encode("text"), coder.eot))
     tokens = stage(docs.select("split", *HASHED, "ids").withColumn("n", token_len("ids")), "bpe-tokens")
     return pack_sequences(token_offsets(tokens, HASHED, hashed=True), LENGTH)
 
 
+def q_bpe_pack_sequences(spark, sf):
+    return _pack_staged(spark, sf, BytePairCoder(spark))
+
+
+def q_byte_pack_sequences(spark, sf):
+    sequences = _pack_staged(spark, sf, byte_coder(spark))
+    return sequences.select("split", "seq_id", F.md5(joined("x")).alias("x_md5"), F.md5(joined("y")).alias("y_md5"))
+
+
 # --- counts --------------------------------------------------------------------------
 
 
