@@ -197,6 +197,30 @@ def test_passages_inside_other_text(spark):
     assert left[3] == texts[3] and left[7].startswith(prose(7, 90)) and left[7].endswith(prose(77, 80)) and len(left[7]) < len(texts[7]) - 100
 
 
+def test_runs_keep_no_edge(spark):
+    # Random distinct words: every passage of 51 words and more has to go whole; a near paragraph may take some words more.
+    r = random.Random(8)
+
+    def fresh(n):
+        return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    texts, want = [], {}
+    for i in range(60):
+        passage = fresh(r.randint(51, 60))
+        for at in (fresh(r.randint(20, 60)), fresh(r.randint(20, 60))):
+            texts.append(" ".join(at + passage + fresh(40)))
+        want[len(texts) - 1] = [(len(at), len(passage))]
+    texts.append("so " * 100)
+    want[len(texts) - 1] = [(30, 70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.key__: x for x in passage_dedup.repeated_passages(docs).collect()}
+    assert {i for i, x in got.items() if x.repeats} == set(want)
+    for i, [(start, words)] in want.items():
+        [span] = got[i].repeats
+        assert start - 4 <= span.start <= start and start + words <= span.start + span.words <= start + words + 4
+    assert all(got[i].component_id == i - 1 and got[i].n_links and got[i - 1].n_links for i in want if i < 120)
+
+
 def check_packed(rows, ids):
     by_doc, by_sequence = {}, {}
     for r in rows:
