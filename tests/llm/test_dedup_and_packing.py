@@ -221,6 +221,33 @@ def test_runs_keep_no_edge(spark):
     assert all(got[i].component_id == i - 1 and got[i].n_links and got[i - 1].n_links for i in want if i < 120)
 
 
+def test_edited_paragraphs_go_whole(spark):
+    # One changed word in the middle of a paragraph, in other surroundings: as blocks, as lines, as wrapped lines.
+    r = random.Random(9)
+
+    def fresh(n):
+        return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    texts, want = [], {}
+    for i in range(30):
+        words, gap, wrap = fresh([50, 60, 100][i % 3]), ["\n", "\n\n"][i % 2], i % 4 == 3
+        for copy in (0, 1):
+            before, behind = fresh(r.randint(10, 40)), fresh(30)
+            own = [*words[: len(words) // 2], *fresh(1), *words[len(words) // 2 + 1 :]] if copy else words
+            lines = [own[k : k + 12] for k in range(0, len(own), 12)] if wrap else [own]
+            texts.append(gap.join([" ".join(before), "\n".join(map(" ".join, lines)), " ".join(behind)]))
+            if copy:
+                want[len(texts) - 1] = [(len(before), len(own))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.key__: x.repeats for x in passage_dedup.repeated_passages(docs).collect() if x.repeats}
+    assert set(got) == set(want)
+    for i, [(start, words)] in want.items():
+        [span] = got[i]  # a near chunk at the edge may take some words more
+        assert start - 4 <= span.start <= start and start + words <= span.start + span.words <= start + words + 4
+    assert passage_dedup.standing("a b\n" * 5 + "c " * 9 + "\nd\n\n" + "e " * 10) == [(0, 10), (0, 20), (10, 9), (20, 10)]
+    assert passage_dedup.standing(None) == []
+
+
 def check_packed(rows, ids):
     by_doc, by_sequence = {}, {}
     for r in rows:
