@@ -14,7 +14,7 @@ from tokenweave.llm import line_dedup, near_dedup, packing, passage_dedup
 from tokenweave.llm.buckets import runs_with_hubs
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.edits import probes, segments, within
-from tokenweave.llm.queries import tokenizer_file
+from tokenweave.llm.queries import registered, tokenizer_file
 from tokenweave.llm.shingles import Minima, WordHashes, windows
 
 
@@ -156,6 +156,30 @@ def test_line_dedup_against_a_loop(spark, edits):
         assert (d not in left) if emptied else left[d] == kept
 
 
+def test_lines_of_any_length_meet_near_ones(spark):
+    # One edit for every 20 characters of the shorter line, four at most; edits may change the class.
+    lines, r = [], random.Random(3)
+    for i in range(160):
+        line = "".join(r.choice("abcdefghij klmnop") for _ in range(r.choice([21, 39, 40, 41, 59, 60, 79, 80, 81, 120, 700])))
+        lines += [line, edited(line, i, r.randrange(7))]
+    distinct = sorted({x for x in lines if len(x) >= 20 and x.strip(" ")})
+    assert all(line_dedup.allowed(n, None) == k for n, k in [(20, 1), (39, 1), (40, 2), (60, 3), (80, 4), (2000, 4)])
+
+    def near(a, b):
+        most = min(4, min(len(a), len(b)) // 20)
+        return abs(len(a) - len(b)) <= most and within(a, b, most)
+
+    want = union(distinct, [(a, b) for a, b in combinations(distinct, 2) if near(a, b)])
+    first = {}
+    for i, x in enumerate(lines):
+        if x in want:
+            first.setdefault(want[x], i)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = line_dedup.line_verdicts(docs).collect()
+    gone = {x.key__ for x in got if x.equal + x.near}
+    assert gone == {i for i, x in enumerate(lines) if x in want and first[want[x]] != i} and len(gone) > 60
+
+
 def test_line_and_passage_edges(edge, none):
     for clean in (line_dedup.dedup_lines, passage_dedup.remove_passages):
         kept = clean(edge)

@@ -1,7 +1,8 @@
 """Line deduplication: equal lines, and lines within a few edits by a segment-partition join.
 
 A line within ``edits`` of a shorter or equally long one contains one of its
-``edits + 1`` segments near the segment's place.  Index entries (a line's segments) and probes
+``edits + 1`` segments near the segment's place.  Without a number, the edits grow with the shorter line: one for
+every ``PER`` characters, ``MOST`` at most.  Index entries (a line's segments) and probes
 (substrings of lines, by the length they are looked for in) meet by hash in one shuffle; candidates
 are verified by a banded bit-parallel edit distance.  Of every component of
 linked lines the first line stays.
@@ -25,13 +26,18 @@ from pyspark.sql import functions as F
 from tokenweave.llm.buckets import runs_with_hubs, unsettled_links
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.edits import probes, segments, within
+from tokenweave.llm.shingles import MIX, mixed
 from tokenweave.llm.text import ROW, with_fixed_rows, with_row_key
 from tokenweave.session import stage
 
-EDITS = 1
+#: Characters of the shorter line that allow an edit, and the edits that any line allows at most.
+PER = 20
+MOST = 4
 MIN_CHARS = 20
 #: Lines that a task remembers to have emitted already; a full memory is emptied.
 REMEMBERED = 500_000
+#: Characters of the lines whose entries a task makes at a time.
+GROUP = 1 << 17
 
 
 def _name(one: str, two: str):
@@ -47,16 +53,20 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def segment_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def allowed(length: int, edits: int | None) -> int:
+    """Edits that a line of ``length`` may be away from an equally long or longer one."""
+    return min(MOST, max(1, length // PER)) if edits is None else edits
+
+
+def segment_rows(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
     """Index entries and probes ``(bucket, probe, node)`` of the distinct lines of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = lru_cache(maxsize=4096)(_plan), set()
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            nodes, keys, flags = [], [], []
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
+            lines, nodes, chars = [], [], 0
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
                     if len(line) < min_chars or not line.strip(" "):
                         continue
                     node = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
@@ -65,41 +75,79 @@ def segment_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    wide = line.encode("utf-32-le", "surrogatepass")
-                    entries = plan(len(line), edits)
-                    keys += [digest(wide[a:b], seed) for a, b, seed, _ in entries]
-                    flags += [f for *_, f in entries]
-                    nodes += [node] * len(entries)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(keys, np.uint64).view(np.int64)),
-                    pa.array(flags, pa.int32()),
-                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                ],
-                names=["bucket", "probe", "node"],
-            )
+                    lines.append(line)
+                    nodes.append(node)
+                    chars += len(line)
+                    if chars >= GROUP:
+                        yield _entries(lines, nodes, edits, plan)
+                        lines, nodes, chars = [], [], 0
+            if lines:
+                yield _entries(lines, nodes, edits, plan)
 
     return docs.select("text").mapInArrow(run, "bucket bigint, probe int, node bigint")
 
 
-def _plan(length: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """``(from, to, seed, probe)`` of a line's entries, in bytes of four a character."""
-    own = [(4 * at, 4 * (at + size), length * 64 + i, 0) for i, (at, size) in enumerate(segments(length, edits))]
-    looked = [(4 * at, 4 * (at + size), other * 64 + i, 1) for other, i, at, size in probes(length, edits)]
-    return own + looked
+def _entries(lines: list[str], nodes: list[int], edits: int | None, plan) -> pa.RecordBatch:
+    """The entries of lines, from running sums of scrambled characters times powers of an odd number."""
+    sizes = np.array([len(line) for line in lines])
+    wide = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = _powers(len(wide) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(mixed(wide + MIX) * up[:-1]))
+    plans = [plan(n, edits) for n in sizes.tolist()]
+    counts = np.array([len(p[0]) for p in plans])
+    start, end, seed, probe = (np.concatenate([p[i] for p in plans]) for i in range(4))
+    at = np.repeat(np.cumsum(sizes) - sizes, counts)
+    start, end = start + at, end + at
+    keys = mixed((sums[end] - sums[start]) * down[start] + seed * MIX)
+    node = np.repeat(np.array(nodes, np.uint64), counts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys.view(np.int64)), pa.array(probe), pa.array(node.view(np.int64))], names=["bucket", "probe", "node"]
+    )
+
+
+@lru_cache(maxsize=1)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    return tuple(
+        np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64))
+    )
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse modulo 2^64."""
+    up, down = _power_table(max(2 * GROUP, 1 << size.bit_length()))
+    return up[:size], down[:size]
+
+
+def _plan(length: int, edits: int | None) -> tuple[np.ndarray, ...]:
+    """``(from, to, seed, probe)`` of a line's entries, an array each."""
+    own = [(at, at + size, length * 64 + i, 0) for i, (at, size) in enumerate(segments(length, allowed(length, edits)))]
+    numbers = {n: allowed(n, edits) for n in range(max(1, length - allowed(length, edits)), length + 1)}
+    looked = [
+        (at, at + size, other * 64 + i, 1)
+        for most in set(numbers.values())
+        for other, i, at, size in probes(length, most)
+        if numbers.get(other) == most
+    ]
+    start, end, seed, probe = np.array(own + looked, np.int64).T
+    return start, end, seed.astype(np.uint64), probe.astype(np.int32)
+
+
+def near(a: str, b: str, edits: int | None) -> bool:
+    return within(a, b, allowed(min(len(a), len(b)), edits))
 
 
-def near_lines(edits: int):
+def near_lines(edits: int | None):
     """Column function: whether two lines are within ``edits``."""
 
     @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([within(x, y, edits) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([near(x, y, edits) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    return near
+    return linked
 
 
-def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row of ``docs`` its row key, ``key__``, ``n_lines``, and the line numbers to remove.
 
     ``equal`` lists lines with an equal line before them, ``near`` those that only a near one precedes.
@@ -124,7 +172,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_
     links = stage(pairs.join(a, "hub").join(b, "node").where(near_lines(edits)("x", "y")).select("a", "b"), "line-links")
     components = connected_components(links)
     edges = pairs.join(a.drop("x"), "hub").join(b.drop("y"), "node").select("a", "b")
-    more = unsettled_links(edges, texts, components, lambda x: x, lambda x, y: within(x, y, edits))
+    more = unsettled_links(edges, texts, components, lambda x: x, lambda x, y: near(x, y, edits))
     if more is not None:
         components = connected_components(links.unionByName(more))
     rooted = classes.withColumn("node", _name("one", "two")).join(components, "node", "left")
@@ -149,7 +197,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without repeated lines; a text of which nothing but white space is left goes, if it had lines removed."""
     held = stage(with_row_key(docs), "line-input")
     verdicts = line_verdicts(held, key, edits, min_chars).select(ROW, F.concat("equal", "near").alias("gone__"))
