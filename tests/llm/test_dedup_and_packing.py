@@ -180,6 +180,20 @@ def test_lines_of_any_length_meet_near_ones(spark):
     assert gone == {i for i, x in enumerate(lines) if x in want and first[want[x]] != i} and len(gone) > 60
 
 
+def test_short_equal_lines_go_where_they_hold_a_word(spark, tmp_path):
+    texts = ["Yes.\n---\n你好\n" + prose(1, 8), "Yes.\n---\nYes!\n你好\n" + prose(2, 8), "7\n \n7", None, "Yes."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registered()["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: (r.n_lines, r.n_equal, r.n_near, r.removed_lines) for i, r in got.items()} == {
+        0: (3, 0, 0, ""), 1: (4, 2, 0, "0,3"), 2: (2, 1, 0, "2"), 3: (0, 0, 0, ""), 4: (1, 1, 0, "0")
+    }
+    lines = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")
+    assert {r.doc_id: r.text for r in lines.collect()} == {
+        0: texts[0], 1: "---\nYes!\n" + prose(2, 8), 2: "7\n ", 3: None
+    }
+
+
 def test_line_and_passage_edges(edge, none):
     for clean in (line_dedup.dedup_lines, passage_dedup.remove_passages):
         kept = clean(edge)

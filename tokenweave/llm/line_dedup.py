@@ -7,8 +7,8 @@ every ``PER`` characters, ``MOST`` at most.  Index entries (a line's segments) a
 are verified by a banded bit-parallel edit distance.  Of every component of
 linked lines the first line stays.
 
-Lines are what stands between newlines; lines shorter than ``min_chars`` stay
-everywhere.  Edge cases: a null text has no lines and stays null; repeated
+Lines are what stands between newlines.  Lines shorter than ``min_chars`` are near no other; with ``words`` those
+that hold a letter or a digit count as equal lines, without it they stay everywhere.  Edge cases: a null text has no lines and stays null; repeated
 rows are copies; null ids come last; an empty table gives an empty result.
 """
 
@@ -45,10 +45,13 @@ def _name(one: str, two: str):
     return F.concat(F.hex(one), F.lit("-"), F.hex(two))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """The lines that count, with their hashes."""
+def _lines(docs: DataFrame, min_chars: int, words: bool = False) -> DataFrame:
+    """The lines that count, with their hashes; with ``words`` also shorter ones that hold a word."""
     each = docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where((F.length("line") >= min_chars) & (F.trim("line") != "")).withColumns(
+    counts = (F.length("line") >= min_chars) & (F.trim("line") != "")
+    if words:
+        counts |= F.col("line").rlike(r"[\p{L}\p{N}]")
+    return each.where(counts).withColumns(
         {"one": F.xxhash64("line"), "two": F.xxhash64(F.lit(7), F.col("line"))}
     )
 
@@ -147,13 +150,13 @@ def near_lines(edits: int | None):
     return linked
 
 
-def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """Per row of ``docs`` its row key, ``key__``, ``n_lines``, and the line numbers to remove.
 
     ``equal`` lists lines with an equal line before them, ``near`` those that only a near one precedes.
     """
     light = with_fixed_rows(docs).select(ROW, F.col(key).alias("key__"), F.col("text").cast("string").alias("text"))
-    found = stage(_lines(light, min_chars).drop("line"), "lines")
+    found = stage(_lines(light, min_chars, words).drop("line"), "lines")
     place = F.struct(F.col("key__").isNull().alias("none"), F.col("key__").alias("key"), F.col(ROW).alias("row"), "line_no")
     classes = stage(found.groupBy("one", "two").agg(F.min(place).alias("first")), "line-classes")
     runs = stage(runs_with_hubs(segment_rows(light, edits, min_chars)), "line-runs")
@@ -197,10 +200,10 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", edits: int | None = None, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """``docs`` without repeated lines; a text of which nothing but white space is left goes, if it had lines removed."""
     held = stage(with_row_key(docs), "line-input")
-    verdicts = line_verdicts(held, key, edits, min_chars).select(ROW, F.concat("equal", "near").alias("gone__"))
+    verdicts = line_verdicts(held, key, edits, min_chars, words).select(ROW, F.concat("equal", "near").alias("gone__"))
     joined = held.join(verdicts.where(F.size("gone__") > 0), ROW, "left")
     return joined.transform(_without_lines, docs.columns)
 

@@ -81,7 +81,7 @@ def op5_quality_classifier(spark, sf):
 
 
 def op6_line_dedup(spark, sf):
-    judged = line_dedup.line_verdicts(table(spark, sf, "documents").select("doc_id", "text"))
+    judged = line_dedup.line_verdicts(table(spark, sf, "documents").select("doc_id", "text"), words=True)
     gone = F.array_sort(F.concat("equal", "near"))
     return judged.select(
         F.col("key__").alias("doc_id"),
