@@ -15,7 +15,7 @@ from tokenweave.llm.buckets import runs_with_hubs
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.queries import registered, tokenizer_file
-from tokenweave.llm.shingles import Minima, WordHashes, windows
+from tokenweave.llm.shingles import Minima, WordHashes, band_keys, bands_for, windows
 
 
 def union(nodes, links):
@@ -219,6 +219,19 @@ def test_paragraphs_of_a_group_are_those_of_each_text():
         assert part.tolist() == np.unique(windows(hashes[a : a + n], 5)).tolist()
 
 
+def test_bands_miss_no_paragraph_at_the_threshold():
+    # 50 words, one of the middle changed: 41 shingles of 51 in common, 0.804.
+    bands = bands_for(passage_dedup.PERCENT / 100, passage_dedup.ROWS, passage_dedup.MISS)
+    table, minima, r, missed = WordHashes(), Minima(bands * passage_dedup.ROWS), random.Random(6), 0
+    for _ in range(3000):
+        words = [b"w%d" % r.randrange(10**9) for _ in range(50)]
+        other = [*words[:25], b"x", *words[26:]]
+        both = [minima.of(windows(table.of(w), passage_dedup.WORDS)) for w in (words, other)]
+        one, two = (band_keys(x, passage_dedup.ROWS) for x in both)
+        missed += not (one == two).any()
+    assert not missed
+
+
 def test_passages_inside_other_text(spark):
     passage = prose(500, 70)
     texts = [prose(i, 200) for i in range(12)]
