@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweave.llm import (
+    alignment,
     decontaminate,
     license_scan,
     line_dedup,
@@ -147,5 +148,12 @@ def op10_license_scan(spark, sf):
     )
 
 
+def op13_token_alignment(spark, sf):
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.alignment_measures(docs, tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
