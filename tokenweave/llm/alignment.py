@@ -28,7 +28,7 @@ from tokenweave.llm.packing import Grown, Known, PieceCoder
 from tokenweave.session import stage
 
 #: Bytes of text that are aligned together; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Segments that a worker remembers, and their ids; a memory that either fills is emptied.
 REMEMBERED = 500_000
 REMEMBERED_IDS = 8_000_000
@@ -141,37 +141,41 @@ class Aligner:
         ids = self.texts(texts)
         n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
         a, b = (np.concatenate([np.zeros(0, np.uint32), *[x[i] for x in ids]]).astype(np.int64) for i in (0, 1))
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        ends = np.union1d(a_end, b_end)
-        a_at, b_at = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        closed = (a_end[a_at] == ends) & (b_end[b_at] == ends) if len(ends) else np.zeros(0, bool)
-        text_end = np.append(0, a_end)[np.cumsum(n_a)]
-        cut = np.searchsorted(ends, text_end, "right")
+        # Ends of both sides in one order; where they are equal, the first side's comes first.
+        both = np.concatenate([np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])])
+        order = np.argsort(both, kind="stable")
+        both, of_a = both[order], order < len(a)
+        new = np.append(True, both[1:] != both[:-1])[: len(both)]
+        first = np.flatnonzero(new)
+        a_at = (np.cumsum(of_a) - of_a)[first]
+        b_at = first - a_at
+        closed = np.diff(np.append(first, len(both))) == 2
+        group = np.cumsum(closed) - closed
+        rank = np.cumsum(new) - 1
+        a_group, b_group = group[rank[of_a]], group[rank[~of_a]]
+        cut = np.append(0, rank[of_a] + 1)[np.cumsum(n_a)]
         n_links = np.diff(np.append(0, cut))
-        closed_before = np.append(0, np.cumsum(closed))
-        n_groups = np.diff(np.append(0, closed_before[cut]))
-        digests, groups = self._written(a, b, n_a, n_b, a_end, b_end, ends[closed], keep_groups)
+        n_groups = np.diff(np.append(0, np.append(0, np.cumsum(closed))[cut]))
+        digests, groups = self._written(a, b, n_a + n_b, a_group, b_group, keep_groups)
         return n_a, n_b, n_groups, n_links, digests, groups, a[a_at] << 32 | b[b_at]
 
-    def _written(self, a, b, n_a, n_b, a_end, b_end, group_end, keep_groups):
+    def _written(self, a, b, sizes, a_group, b_group, keep_groups):
         """Each group's ids of both sides, in order, as text; the ids of one side precede the other's."""
-        a_group, b_group = np.searchsorted(group_end, a_end), np.searchsorted(group_end, b_end)
         a_last = np.append(a_group[1:] != a_group[:-1], True)[: len(a)]
         b_last = np.append(b_group[1:] != b_group[:-1], True)[: len(b)]
+        groups = a_group[-1] + 1 if len(a) else 0
+        a_upto, b_upto = (np.cumsum(np.bincount(x, minlength=groups)) for x in (a_group, b_group))
         order = np.empty(len(a) + len(b), np.int64)
-        at_a = np.arange(len(a)) + np.searchsorted(b_group, a_group)
-        at_b = np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
         wide = len(self.a_bytes)
-        order[at_a] = a + a_last * wide
-        order[at_b] = 2 * wide + b + b_last * len(self.b_bytes)
-        written = list(map(self.written.__getitem__, order.tolist()))
-        digests, groups, at = [], [], 0
-        for n in (n_a + n_b).tolist():
-            line = b"".join(written[at : at + n])[:-1]
+        order[np.arange(len(a)) + np.append(0, b_upto)[a_group]] = a + a_last * wide
+        order[np.arange(len(b)) + a_upto[b_group]] = 2 * wide + b + b_last * len(self.b_bytes)
+        digests, lines, at = [], [], 0
+        for n in sizes.tolist():
+            line = b"".join(map(self.written.__getitem__, order[at : at + n].tolist()))[:-1]
             digests.append(hashlib.sha256(line).hexdigest() if n else "")
-            groups.append(line.decode() if keep_groups else None)
+            lines.append(line.decode() if keep_groups else None)
             at += n
-        return digests, groups
+        return digests, lines
 
 
 def _planes(values: np.ndarray) -> bytes:
