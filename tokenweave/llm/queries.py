@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenweave.llm import (
     alignment,
     decontaminate,
+    hard_negatives,
     license_scan,
     line_dedup,
     near_dedup,
@@ -148,6 +149,12 @@ def op10_license_scan(spark, sf):
     )
 
 
+def op12_hard_negatives(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
 def op13_token_alignment(spark, sf):
     import public_tokenizers
 
