@@ -19,6 +19,7 @@ from tokenweave.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    repeats,
     secret_scan,
 )
 from tokenweave.llm.text import covered, span_list
@@ -149,6 +150,18 @@ def op10_license_scan(spark, sf):
     )
 
 
+def op11_repeated_bytes(spark, sf):
+    found = repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_hard_negatives(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
