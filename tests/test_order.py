@@ -114,15 +114,50 @@ def test_range_bucket_is_monotone_and_balanced(spark):
     assert len({r.b for r in got if r.g == "hot"}) > 5
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 17, 300, 5000])
+@pytest.mark.parametrize("buckets", [1, 2, 16, 17, 300, 5000])
 def test_range_bucket_counts_the_bounds_below(spark, buckets):
     df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"))
-    bounds = [b["k"] for b in range_bounds(df, ["k"], buckets)]
-    assert len(bounds) == min(buckets, 20_000) - 1
+    bounds = [b["k"] for b in range_bounds(df, ["k"], buckets).first().bounds]
+    assert len(bounds) == buckets - 1 and bounds == sorted(bounds)
+    # The bounds follow from the keys, not from where they are.
+    assert bounds == [b["k"] for b in range_bounds(df.repartition(7), ["k"], buckets).first().bounds]
     got = with_range_bucket(df, ["k"], buckets).collect()
     assert all(r.bucket == bisect.bisect_left(bounds, r.k) for r in got)
 
 
+KEYS = {
+    "date": "date_add(date'1999-12-31', cast(id * 7 % 900 as int))",
+    "timestamp": "timestamp_seconds(id * 7919 % 100000)",
+    "decimal(20,3)": "cast(id * 37 % 1000 as decimal(20,3)) / 8",
+    "binary": "cast(md5(cast(id as string)) as binary)",
+    "boolean": "id % 3 = 0",
+    "double": "(id * 7919 % 1000) / 7d",
+    "struct<a:int,b:string>": "named_struct('a', cast(id % 5 as int), 'b', md5(cast(id as string)))",
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_any_key_with_an_order(spark, kind):
+    df = spark.range(600).selectExpr("id", f"if(id % 11 = 0, null, {KEYS[kind]}) as k", "id % 4 as n").repartition(5)
+    got = {r.id: r.start for r in token_offsets(df, ["k", "id"], (), buckets=37).collect()}
+    at = 0
+    for r in df.orderBy("k", "id").collect():
+        assert got[r.id] == at
+        at += r.n
+
+
+def test_nothing_runs_before_the_plan_does(spark, rows):
+    context = spark.sparkContext
+    df = make(spark, rows, 3)
+    context.setJobGroup("planning", "")
+    try:
+        placed = token_offsets(df, ["doc_key"], buckets=100_000)
+        assert not context.statusTracker().getJobIdsForGroup("planning")
+        assert placed.count() == len(rows) and context.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_global_rank_and_index(spark, rows):
     df = make(spark, rows, 5)
     ranked = {r.doc_key: r.pos for r in global_rank(df, ["doc_key"]).collect()}

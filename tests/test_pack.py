@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tokenweave.operators.order import token_offsets
 from tokenweave.operators.pack import pack_sequences
+from tokenweave.session import stage
 
 
 def run(spark, docs, length, partitions=3, buckets=None, ids="ids"):
@@ -57,10 +58,19 @@ def test_random_documents(spark, partitions):
     assert got == model(docs, 16) and rows == len(got)
 
 
-def test_whole_sequences_are_not_shuffled_again(spark):
+@pytest.mark.parametrize("staged", [False, True])
+def test_whole_sequences_are_not_shuffled_again(spark, staged):
     df = spark.createDataFrame([("train", i, [1] * 50) for i in range(100)], "split string, doc int, ids array<int>")
-    offsets = token_offsets(df.withColumn("n", F.lit(50).cast("long")), ["doc"], buckets=2)
+    df = df.withColumn("n", F.lit(50).cast("long"))
+    df = stage(df, "nullable-split") if staged else df
+    offsets = token_offsets(df, ["doc"], buckets=2)
     plan = pack_sequences(offsets, 8)._jdf.queryExecution().executedPlan().toString()
     # The first branch of the union aggregates on the offsets' own partitioning.
     inner = plan[plan.index("Union") :].split("ObjectHashAggregate")
     assert "Exchange" not in inner[1] and "Exchange" not in inner[2].split("Window")[0]
+
+
+def test_null_splits_are_packed(spark):
+    docs = [(None if i % 3 else "train", [i] * (i % 9)) for i in range(90)]
+    got, rows = run(spark, docs, 7, buckets=6)
+    assert got == model(docs, 7) and rows == len(got)

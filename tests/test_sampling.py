@@ -1,3 +1,4 @@
+import collections
 import itertools
 import math
 
@@ -12,6 +13,7 @@ from tokenweave.operators.sampling import (
     rank_batch_plan,
     rank_shard,
     resume_from,
+    sequence_at,
     step_schedule,
 )
 from tokenweave.plans.prepare import evaluation_schedule, training_schedule
@@ -47,6 +49,41 @@ def test_permutations(spark):
     assert [r.seq_id for r in other] != first
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 16, 17, 99, 4097])
+def test_places_and_back(spark, n):
+    order = epoch_order(seqs(spark, n), 2, first=5)
+    rows = order.collect()
+    for epoch in (5, 6):
+        assert sorted(r.pos for r in rows if r.epoch == epoch) == list(range(n))
+    back = sequence_at(spark.range(n).withColumnRenamed("id", "pos"), n, 2, first=5).collect()
+    assert {(r.epoch, r.pos, r.seq_id) for r in back} == {(r.epoch, r.pos, r.seq_id) for r in rows}
+
+
+def test_places_are_spread(spark):
+    """Every tenth of the ids meets every tenth of the places about as often, and neighbours part."""
+    n, epochs = 20_000, 3
+    rows = epoch_order(seqs(spark, n), epochs).collect()
+    cells = collections.Counter((r.epoch, 10 * r.seq_id // n, 10 * r.pos // n) for r in rows)
+    square = sum((cells[e, i, j] - n / 100) ** 2 / (n / 100) for e in range(epochs) for i in range(10) for j in range(10))
+    assert square < 81 * epochs * 1.6
+    place = {(r.epoch, r.seq_id): r.pos for r in rows}
+    for e in range(epochs):
+        near = sum(abs(place[e, i] - place[e, i + 1]) < n / 100 for i in range(n - 1))
+        assert near < 0.03 * n
+    alike = sum(place[0, i] == place[1, i] for i in range(n))
+    assert alike < 10
+
+
+def test_permutation_is_arithmetic_alone(spark):
+    plan = epoch_order(spark.range(1 << 40).withColumnRenamed("id", "seq_id").where("seq_id < 100"), 2).select("epoch", "pos")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    above = text[: text.index("Subquery")] if "Subquery" in text else text
+    assert "Window" not in text and "Exchange" not in above.split("+- Scan")[0].split("subquery#")[0]
+    ids = spark.createDataFrame([(0,), (7,)], "seq_id long")
+    with pytest.raises(Exception, match="no place below n"):
+        epoch_order(ids).collect()
+
+
 @pytest.mark.parametrize("n,world", [(10, 4), (12, 4), (3, 8), (1, 3), (1003, 4)])
 def test_rank_shard(spark, n, world):
     got = rank_shard(epoch_order(seqs(spark, n)), world).orderBy("rank", "i").collect()
@@ -119,7 +156,9 @@ def test_fetch_batches(spark):
 
 
 def test_training_schedule_resumes_as_a_suffix(spark):
-    sequences = spark.range(100).select(F.col("id").alias("seq_id"), F.when(F.col("id") < 90, "train").otherwise("val").alias("split"))
+    # As packing numbers them: from zero in each split.
+    split = F.when(F.col("id") < 90, "train").otherwise("val")
+    sequences = spark.range(100).select((F.col("id") % 90).alias("seq_id"), split.alias("split"))
     columns = ["itr", "micro", "rank", "slot", "epoch", "seq_id"]
 
     def rows(**kw):

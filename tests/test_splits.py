@@ -14,6 +14,18 @@ def test_random_split_size(spark, n, fraction):
     assert got["val"] == math.ceil(fraction * n) and got["val"] + got["train"] == n
 
 
+@pytest.mark.parametrize("make", ["range", "rows", "shuffled"])
+def test_random_split_size_with_repeated_keys(spark, make):
+    docs = spark.range(1000).selectExpr("id % 10 as doc_key", "cast(id as string) as text")
+    if make == "rows":
+        docs = spark.createDataFrame([(i % 10,) for i in range(1000)], "doc_key long")
+    if make == "shuffled":
+        docs = docs.repartition(7)
+    got = random_split(docs, fraction=0.05)
+    assert Counter(r.split for r in got.collect()) == {"val": 50, "train": 950}
+    assert set(got.columns) == {*docs.columns, "order_key", "split"}
+
+
 def test_random_split_ignores_partitioning_and_order(spark):
     docs = spark.range(500).withColumnRenamed("id", "doc_key")
     sets = [

@@ -19,7 +19,7 @@ from tokenweave.sources.documents import (
     safe_member,
 )
 from tokenweave.sources.token_files import read_manifest
-from tokenweave.sources.token_shards import read_sequences, read_token_shards
+from tokenweave.sources.token_shards import fetch_sequences, read_sequences, read_token_shards
 from tokenweave.streaming.tokenize import tokenize_new_files
 
 
@@ -219,3 +219,29 @@ def test_streaming_tokenizes_new_files_only(spark, coder, plain, tmp_path):
     spark.createDataFrame([("b", "x y")], schema).write.mode("append").parquet(source)
     assert run() == {"a": [15496, 995], "b": plain.encode_ordinary("x y")}
     assert spark.read.parquet(out).count() == 2
+
+
+@pytest.mark.parametrize("near, at_once", [(1 << 14, 1 << 22), (0, 30)])
+def test_scheduled_sequences_are_read_by_place(spark, tmp_path, monkeypatch, near, at_once):
+    from tokenweave.sources import token_shards
+
+    monkeypatch.setattr(token_shards, "NEAR", near)
+    monkeypatch.setattr(token_shards, "AT_ONCE", at_once)
+    out = str(tmp_path / "tok")
+    write_token_shards(tokens(spark, DOCS).repartition(5), out, ["doc"], 7)
+    whole, length = stream("train"), 16
+    last = (len(whole) - 1) // length - 1
+    wanted = [(i, f"s{i}", s) for i, s in enumerate([3, 0, last, 3, 200, 201, 3, 17])]
+    schedule = spark.createDataFrame(wanted, "itr long, slot string, seq_id long").coalesce(2)
+    fetched = fetch_sequences(schedule, out, "train", length)
+    got = {(r.itr, r.slot): (list(r.x), list(r.y)) for r in fetched.collect()}
+    assert got == {
+        (i, n): (whole[s * length : (s + 1) * length], whole[s * length + 1 : (s + 1) * length + 1]) for i, n, s in wanted
+    }
+    assert "Exchange" not in fetched._jdf.queryExecution().executedPlan().toString()
+    plain = fetch_sequences(schedule.limit(1), {"v": [f"{out}/train/shard-00000.bin"]}, "v", 4)
+    assert list(plain.first().x) == whole[12:16]
+    for bad in (-1, last + 1):
+        with pytest.raises(Exception, match="holds sequences 0 to"):
+            fetch_sequences(spark.createDataFrame([(bad,)], "seq_id long"), out, "train", length).collect()
+    assert fetch_sequences(schedule.where("false"), out, "test", length).count() == 0

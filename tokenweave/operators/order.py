@@ -10,10 +10,8 @@ every row where it was, and a hot group (year, source, file) spans many buckets.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +21,8 @@ from tokenweave.session import default_buckets
 #: Branches of a node in the search tree over bucket bounds.
 TREE_WIDTH = 16
 
-#: Most bucket bounds that are embedded in a plan for keys without a hash.
-MAX_RANGE_BUCKETS = 65_536
+#: Keys drawn for each bucket, while that is at most as many keys as ``MOST_DRAWN``; then ``FEWEST``.
+DRAWN, FEWEST, MOST_DRAWN = 16, 4, 1 << 18
 
 
 def hash_order(*parts: Column | str | int) -> Column:
@@ -41,55 +39,63 @@ def hash_bucket(order_key: Column | str, buckets: int) -> Column:
     return F.shiftright(F.shiftright(key, 28) * F.lit(buckets).cast("long"), 32).cast("int")
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], buckets: int, seed: int = 7) -> list[dict]:
-    """Lower bounds of equal shares of the natural order, from a bounded key sample.
+def range_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
+    """One row ``bounds``: the lower bounds of about equal shares of the natural order.
 
-    Only the balance of the buckets depends on the sample, never a result.
+    The keys whose hash is divisible by some number are drawn and every so many of them is a bound, so the bounds
+    follow from the keys alone, however often and wherever they are computed.  Nothing runs before the
+    plan does, and only the balance of the buckets depends on what is drawn.
     """
     keys = df.select(*order)
-    rows = keys.count()
-    wanted = 16 * buckets
-    if rows > wanted:
-        keys = keys.sample(fraction=wanted / rows, seed=seed)
-    drawn = keys.toArrow().sort_by([(c, "ascending") for c in order])
-    step = max(1.0, drawn.num_rows / buckets)
-    at = [int(i * step) for i in range(1, buckets) if int(i * step) < drawn.num_rows]
-    picks = drawn.take(pa.array(at, pa.int64())).to_pylist()
-    return [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
+    wanted = max(FEWEST * buckets, min(DRAWN * buckets, MOST_DRAWN))
+    every = F.greatest(F.lit(1).cast("long"), div(keys.agg(F.count("*")).scalar(), wanted))
+    drawn = keys.where(F.pmod(F.xxhash64(*order), every) == 0)
+    listed = drawn.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("drawn"))
+    at = F.transform(
+        F.sequence(F.lit(1).cast("long"), F.lit(buckets - 1).cast("long")),
+        lambda i: F.get("drawn", div(i * F.size("drawn"), buckets).cast("int")),
+    )
+    return listed.select((at if buckets > 1 else F.array()).alias("bounds"))
 
 
 def with_range_bucket(
     df: DataFrame, order: Sequence[str], buckets: int | None = None, out: str = "bucket"
 ) -> DataFrame:
-    """Adds the order bucket for natural keys (ids, paths, positions) of any comparable type.
+    """Adds the order bucket for natural keys (ids, paths, dates, positions) of any type with an order.
 
-    The bucket is the number of bounds below the key, found by a search tree of
-    literal arrays: a row is sorted into one short array per level, in the JVM.
+    The bucket is the number of bounds below the key, found by a search tree of short arrays that one scalar
+    subquery gives: a row is sorted into one array per level, in the JVM.
     """
     if buckets is None:
-        buckets = default_buckets(df.sparkSession, 4, MAX_RANGE_BUCKETS)
-    bounds = range_bounds(df, order, min(buckets, MAX_RANGE_BUCKETS))
-    key_type = df.select(F.struct(*order).alias("k")).schema["k"].dataType.simpleString()
-    key = F.struct(*order)
-    found = df.withColumn(out, F.lit(0))
-    span = TREE_WIDTH
-    while span <= len(bounds):
-        span *= TREE_WIDTH
-    while span > 1:
+        buckets = default_buckets(df.sparkSession, 4)
+    spans = [TREE_WIDTH]
+    while spans[-1] < buckets:
+        spans.append(spans[-1] * TREE_WIDTH)
+    bounds = F.col("bounds")
+
+    def nodes(span: int) -> Column:
+        """What separates the children of each node of a level."""
         child = span // TREE_WIDTH
-        # What separates the children of each node of this level.
-        nodes = [
-            {"b": [bounds[i - 1] for i in range(low + child, min(low + span, len(bounds) + 1), child)]}
-            for low in range(0, len(bounds) + 1, span)
-        ]
-        level = F.from_json(F.lit(json.dumps(nodes)), f"array<struct<b:array<{key_type}>>>")
-        borders = F.get(level, F.col(out))["b"]
+        return F.transform(
+            F.sequence(F.lit(0), F.lit((buckets - 1) // span)),
+            lambda node: F.filter(
+                F.transform(
+                    F.sequence(F.lit(1), F.lit(TREE_WIDTH - 1)), lambda k: F.get(bounds, node * span + k * child - 1)
+                ),
+                lambda bound: bound.isNotNull(),
+            ),
+        )
+
+    tree = range_bounds(df, order, buckets).select(F.struct(*[nodes(s).alias(f"of{s}") for s in spans]).alias("tree"))
+    key = F.struct(*order)
+    found = df.withColumns({"tree__": tree.scalar(), out: F.lit(0)})
+    for span in reversed(spans):
+        borders = F.get(F.col(f"tree__.of{span}"), F.col(out))
         # The place of the key once sorted in; a lambda over the borders would be as
         # fast, but its constraints break the optimizer's handling of unions.
         below = F.array_position(F.sort_array(F.concat(borders, F.array(key))), key) - 1
         found = found.withColumn(out, F.coalesce((F.col(out) * TREE_WIDTH + below).cast("int"), F.lit(0)))
-        span = child
-    return found
+    return found.drop("tree__")
 
 
 def prefix_sum(
@@ -100,25 +106,21 @@ def prefix_sum(
 ) -> DataFrame:
     """Exclusive running sums in a global order, per group.
 
-    ``df`` has a column ``bucket``, monotone in the order within a group.  For each ``name -> value`` adds ``name`` (the sum over earlier rows),
-    ``name_lo`` / ``name_hi`` (the span of the row's order bucket) and
-    ``name_total`` (of the group).  The join by ``(groups, bucket)`` uses the shuffle
-    that the window needs anyway; a task then looks up its own few buckets by hash,
-    which spares the rows a second sort.  A null group is a group like any other.
+    ``df`` has a column ``bucket``, monotone in the order within a group; it becomes a struct of the groups and the
+    bucket.  For each ``name -> value`` adds ``name`` (the sum over earlier rows), ``name_lo`` / ``name_hi`` (the span
+    of the row's order bucket) and ``name_total`` (of the group).
+
+    A struct is never null and equal to another with nulls at the same places, so a null group is a group like any
+    other, and the rows stay partitioned by one column that is still there afterwards: the join with the bucket totals,
+    the window, and whatever is grouped by the bucket later share one shuffle.
     """
-    # A nullable group takes part as two columns that are never null.
-    nullable = [g for g in groups if df.schema[g].nullable]
-    named = {f"{g}__name": F.coalesce(F.col(g).cast("string"), F.lit("")) for g in nullable}
-    missing = {f"{g}__none": F.col(g).isNull() for g in nullable}
-    df = df.withColumns({**named, **missing}) if nullable else df
-    groups = [g for g in groups if g not in nullable] + [*named, *missing]
-    at = [*groups, "bucket"]
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
-    totals = df.groupBy(*at).agg(*[F.sum(v).cast("long").alias(f"{n}_t") for n, v in values.items()])
-    whole = Window.partitionBy(*groups)
+    df = df.withColumn("bucket", F.struct(*groups, "bucket"))
+    totals = df.groupBy("bucket").agg(*[F.sum(v).cast("long").alias(f"{n}_t") for n, v in values.items()])
+    whole = Window.partitionBy(*[F.col("bucket")[g] for g in groups])
     running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = totals.select(
-        *at,
+        "bucket",
         *[
             c
             for n in values
@@ -131,10 +133,10 @@ def prefix_sum(
     )
     spans = spans.hint("shuffle_hash")
     inside = (
-        Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     starts = {n: F.col(f"{n}_lo") + F.sum(v).over(inside).cast("long") - v for n, v in values.items()}
-    return df.join(spans, at).withColumns(starts).drop(*named, *missing)
+    return df.join(spans, "bucket").withColumns(starts)
 
 
 def ordered_sums(
@@ -154,7 +156,7 @@ def ordered_sums(
     if hashed:
         buckets = buckets or default_buckets(spark)
         return prefix_sum(df.withColumn("bucket", hash_bucket(order[0], buckets)), sums, order, groups)
-    buckets = buckets or default_buckets(spark, 4, MAX_RANGE_BUCKETS)
+    buckets = buckets or default_buckets(spark, 4)
     return prefix_sum(with_range_bucket(df, [*groups, *order], buckets), sums, order, groups)
 
 

@@ -1,18 +1,18 @@
 """Epoch permutations, rank shards, batches and the step schedule.
 
 Everything is a function of ``(seed, epoch, seq_id)``, so a run can be resumed by
-a filter, and only these small keys are shuffled; the sequences join last.
+a filter and nothing is shuffled; the sequences join last, or are read by their place in token files.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenweave.functions.numbers import ceil_div, div
-from tokenweave.operators.order import global_rank, hash_order
+from tokenweave.operators.permute import permuted, round_keys
 from tokenweave.operators.report import batches_per_epoch
 
 # The defaults of a training run.
@@ -23,19 +23,28 @@ EVAL_FREQ = 200
 EVAL_BATCHES = 24
 
 
+def _epochs(first: int, epochs: int, seed: int) -> Column:
+    """The epochs with the keys of their permutations, as an array to explode."""
+    return F.array(*[F.struct(F.lit(e).cast("long").alias("epoch"), F.lit(round_keys(seed, e)).cast("array<array<bigint>>").alias("keys")) for e in range(first, first + epochs)])
+
+
 def epoch_order(sequences: DataFrame, epochs: int = 1, seed: int = ORDER_SEED, first: int = 0) -> DataFrame:
     """A permutation of ``seq_id`` without replacement, a new one every epoch.
 
-    Rows ``(epoch, seq_id, pos, n)`` with ``n`` the number of sequences.
+    Rows ``(epoch, seq_id, pos, n)`` with ``n`` the number of sequences, whose ids are 0 to ``n - 1``.  A place
+    follows from the id by arithmetic, so nothing is ranked or shuffled.
     """
-    runs = F.sequence(F.lit(first).cast("long"), F.lit(first + epochs - 1).cast("long"))
-    keyed = sequences.select("seq_id", F.explode(runs).alias("epoch")).withColumn(
-        "order_key", hash_order(seed, "epoch", "seq_id")
-    )
-    ranked = global_rank(
-        keyed, ["order_key", "seq_id"], ("epoch",), "pos", hashed=True
+    n = sequences.agg(F.count("*")).scalar()
+    runs = sequences.select("seq_id", n.alias("n"), F.explode(_epochs(first, epochs, seed)).alias("run"))
+    return runs.select("run.epoch", "seq_id", permuted(F.col("seq_id"), F.col("n"), F.col("run.keys")).alias("pos"), "n")
+
+
+def sequence_at(places: DataFrame, n: int, epochs: int = 1, seed: int = ORDER_SEED, first: int = 0) -> DataFrame:
+    """The inverse of :func:`epoch_order`: rows ``(epoch, pos, seq_id, n)`` for places ``pos`` of an epoch of ``n`` sequences."""
+    runs = places.select("pos", F.lit(n).cast("long").alias("n"), F.explode(_epochs(first, epochs, seed)).alias("run"))
+    return runs.select(
+        "run.epoch", "pos", permuted(F.col("pos"), F.col("n"), F.col("run.keys"), back=True).alias("seq_id"), "n"
     )
-    return ranked.select("epoch", "seq_id", "pos", F.col("pos_total").alias("n"))
 
 
 def rank_shard(order: DataFrame, world: int = 1) -> DataFrame:

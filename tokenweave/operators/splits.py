@@ -3,6 +3,7 @@ except the per-group index."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,9 @@ MODULO_TRAIN_LAST = 6
 MODULO_VAL_LAST = 8
 MODULO = 10
 
+#: Plan nodes that keep the rows where they are.
+FIXED = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range"}
+
 
 def random_split(
     df: DataFrame,
@@ -32,14 +36,29 @@ def random_split(
     Adds ``order_key``, the seeded shuffle order of the documents, and ``split``.
     The validation documents are the first in that order, so one cut key decides
     every row: the keys are scanned for the cut, the texts only mapped over.
+
+    Rows with equal keys are told apart by their place in the input where the input is read as it is stored; behind a
+    shuffle, which leaves no such place, by a hash of all their columns, so that only rows alike in every column stay
+    on one side together.
     """
-    order = ["order_key", key]
-    keyed = df.withColumn("order_key", hash_order(F.lit(seed), key))
+    place = F.monotonically_increasing_id() if has_fixed_rows(df) else F.xxhash64(*_hashable(df))
+    keyed = df.withColumns({"order_key": hash_order(F.lit(seed), key), "place__": place})
+    order = ["order_key", key, "place__"]
     buckets = buckets or default_buckets(df.sparkSession)
     placed = keyed.withColumn("bucket", hash_bucket("order_key", buckets))
     cut = cut_point(placed, order, F.lit(1), F.ceil(F.lit(float(fraction)) * F.col("total")))
     is_val = F.struct(*order) <= cut.select("key").scalar()
-    return keyed.withColumn("split", F.when(is_val, "val").otherwise("train"))
+    return keyed.withColumn("split", F.when(is_val, "val").otherwise("train")).drop("place__")
+
+
+def has_fixed_rows(df: DataFrame) -> bool:
+    """Whether each row has the same place in every read: a scan with only projections and filters above it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return set(re.findall(r"^[\s:+-]*(\w+)", plan, re.MULTILINE)) <= FIXED
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
 
 
 def modulo_rule(index: Column) -> Column:

@@ -22,6 +22,10 @@ from tokenweave.plans.queries import (
     YEARS,
 )
 
+# The prime and the additions of the permutation.
+PRIME = 2_147_483_647
+ROUNDS = 4
+
 SIZE = BATCH  # the accumulation steps divide over the ranks, the batch size stays
 
 
@@ -117,12 +121,33 @@ counted AS (SELECT greatest(0, (sum(n)::BIGINT - 1) // {LENGTH}) AS sequences FR
 seqs AS (SELECT unnest(range(sequences)) AS seq_id FROM counted)"""
 
 
+def _key(addition: int, k: int) -> str:
+    return f"(('0x' || substr(md5('1337:' || epoch || ':{addition}'), {8 * k + 1}, 8))::BIGINT % {PRIME})"
+
+
+def _added(digit: str, other: str, radix: str, addition: int) -> str:
+    """One addition of the permutation's rounds, in columns l and r."""
+    mixed = f"(({other} * {_key(addition, 0)} + {_key(addition, 1)}) % {PRIME})"
+    noise = f"({mixed} * {mixed} % {PRIME} + {mixed} * {_key(addition, 2)} % {PRIME} + {_key(addition, 1)}) % {PRIME}"
+    return f"({digit} + {noise}) % {radix}"
+
+
+def _rounds(source: str, x: str) -> str:
+    """``x`` of ``source`` once through the rounds."""
+    found = f"SELECT * EXCLUDE (x), {x} // low AS l, {x} % low AS r FROM {source}"
+    for i in range(ROUNDS):
+        found = f"SELECT * REPLACE ({_added('l', 'r', 'high', 2 * i)} AS l) FROM ({found})"
+        found = f"SELECT * REPLACE ({_added('r', 'l', 'low', 2 * i + 1)} AS r) FROM ({found})"
+    return f"SELECT epoch, seq_id, n, high, low, l * low + r AS x FROM ({found})"
+
+
 def _order(split: str = "train", epochs: int = EPOCHS) -> str:
-    return f"""{TRAIN_IDS.format(split=split)},
-runs AS (SELECT seq_id, unnest(range({epochs})) AS epoch FROM seqs),
-ordered AS (
-  SELECT epoch, seq_id, count(*) OVER (PARTITION BY epoch) AS n, row_number() OVER (PARTITION BY epoch
-    ORDER BY substr(md5('1337:' || epoch || ':' || seq_id), 1, 15), seq_id) - 1 AS pos FROM runs)"""
+    return f"""RECURSIVE {TRAIN_IDS.format(split=split)},
+runs AS (SELECT unnest(range({epochs})) AS epoch, seq_id, sequences AS n,
+  ceil(sqrt(sequences::DOUBLE))::BIGINT AS high FROM seqs, counted),
+digits AS (SELECT *, (n + high - 1) // high AS low, seq_id AS x FROM runs),
+walk AS ({_rounds("digits", "x")} UNION ALL {_rounds("(SELECT * FROM walk WHERE x >= n)", "x")}),
+ordered AS (SELECT epoch, seq_id, n, x AS pos FROM walk WHERE x < n)"""
 
 
 def _dealt(split: str = "train", epochs: int = EPOCHS, world: int = WORLD) -> str:
@@ -174,6 +199,13 @@ def statements() -> dict[str, str]:
     """SQL by query name; queries that SQL cannot state are left out."""
     pack = f"""WITH {STREAM} SELECT split, seq_id, string_agg(x, ',' ORDER BY p) AS x,
             string_agg(y, ',' ORDER BY p) AS y FROM kept GROUP BY split, seq_id"""
+    fetched = f"""WITH {SCHEDULE},
+            tokens AS (SELECT split, start + unnest(range(n)) AS p,
+              unnest(list_append({_ids()}, {EOT})) AS id FROM placed WHERE split = 'train'),
+            pairs AS (SELECT p, p // {LENGTH} AS seq_id, id AS x, lead(id) OVER (ORDER BY p) AS y FROM tokens),
+            packed AS (SELECT seq_id, md5(string_agg(x, ',' ORDER BY p)) AS x_md5,
+              md5(string_agg(y, ',' ORDER BY p)) AS y_md5 FROM pairs GROUP BY seq_id)
+            SELECT itr, micro, rank, slot, x_md5, y_md5 FROM schedule JOIN packed ON schedule.seq_id = packed.seq_id"""
     return {
         "read_documents": """SELECT doc_id AS doc_key, source, md5(text) AS text_md5,
             length(text)::BIGINT AS chars FROM documents""",
@@ -289,6 +321,7 @@ def statements() -> dict[str, str]:
             SELECT x, y, c, round(w / sum(w) OVER (PARTITION BY x), 6) AS prob FROM s""",
         "epoch_permutation": f"WITH {_order(epochs=1)} SELECT seq_id, pos FROM ordered",
         "reshuffle": f"WITH {_order()} SELECT epoch, seq_id, pos FROM ordered",
+        "sequence_at": f"WITH {_order()} SELECT epoch, pos, seq_id FROM ordered",
         "rank_shard": f"WITH {_dealt()} SELECT epoch, rank, i, seq_id FROM dealt",
         "batch_assign": f"WITH {_dealt()} SELECT epoch, rank, batch_id, slot, seq_id FROM batched",
         "step_schedule": f"WITH {SCHEDULE} SELECT itr, micro, substep, epoch, batch_id, rank, slot, seq_id FROM schedule",
@@ -300,13 +333,17 @@ def statements() -> dict[str, str]:
               unnest(range(CASE WHEN eval_id < 4 THEN 5 ELSE batches END)) AS t FROM e, v)
             SELECT eval_id, eval_itr, t, batch_id, slot, seq_id FROM reads JOIN batched
             ON batched.batch_id = (5 * eval_id + t) % reads.batches""",
-        "fetch_batches": f"""WITH {SCHEDULE},
-            tokens AS (SELECT split, start + unnest(range(n)) AS p,
-              unnest(list_append({_ids()}, {EOT})) AS id FROM placed WHERE split = 'train'),
-            pairs AS (SELECT p, p // {LENGTH} AS seq_id, id AS x, lead(id) OVER (ORDER BY p) AS y FROM tokens),
-            packed AS (SELECT seq_id, md5(string_agg(x, ',' ORDER BY p)) AS x_md5,
-              md5(string_agg(y, ',' ORDER BY p)) AS y_md5 FROM pairs GROUP BY seq_id)
-            SELECT itr, micro, rank, slot, x_md5, y_md5 FROM schedule JOIN packed ON schedule.seq_id = packed.seq_id""",
+        "fetch_batches": fetched,
+        "fetch_from_shards": fetched,
+        "token_offsets_by_date": """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderdate::DATE AS day,
+              length(o_orderpriority)::BIGINT AS n FROM orders)
+            SELECT * EXCLUDE (day), (sum(n) OVER (PARTITION BY o_orderstatus ORDER BY day, o_orderkey) - n)::BIGINT AS start
+            FROM o""",
+        "global_rank_by_amount": """SELECT o_orderkey,
+            row_number() OVER (ORDER BY o_totalprice::DECIMAL(15, 2), o_orderkey) - 1 AS pos FROM orders""",
+        "random_split_repeated_keys": f"""WITH t AS (SELECT count(*) AS n, ceil({FRACTION}::DOUBLE * count(*))::BIGINT AS v
+              FROM documents)
+            SELECT 'val' AS split, v AS docs FROM t UNION ALL SELECT 'train', n - v FROM t""",
         "mix_corpora": f"""WITH m AS (
               SELECT 0 AS corpus, doc_id AS key, 0::BIGINT AS turn, length({_clean()})::BIGINT AS n FROM documents UNION ALL
               SELECT 1, conv_id, turn, length({_clean()}) FROM conversations UNION ALL

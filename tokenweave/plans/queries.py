@@ -47,6 +47,7 @@ from tokenweave.operators.sampling import (
     rank_batch_plan,
     rank_shard,
     resume_from,
+    sequence_at,
     step_schedule,
 )
 from tokenweave.operators.scoring import (
@@ -66,7 +67,7 @@ from tokenweave.sinks.materialize import materialize_once, pin
 from tokenweave.sinks.token_shards import write_token_shards
 from tokenweave.session import scratch_path, spread, stage
 from tokenweave.sources.documents import read_documents, read_text_split
-from tokenweave.sources.token_shards import read_sequences, read_token_shards
+from tokenweave.sources.token_shards import fetch_sequences, read_sequences, read_token_shards
 
 LENGTH = 256
 EOT = VOCAB_SIZE
@@ -101,7 +102,7 @@ def texts(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
 
 def split_documents(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """Documents with split, order key and ``n``; the ids themselves come later."""
-    parts = random_split(texts(spark, sf, *extra), fraction=FRACTION)
+    parts = spread(random_split(documents(spark, sf, *extra), fraction=FRACTION), "doc_key")
     return parts.withColumn("n", char_len("text") + 1)
 
 
@@ -348,6 +349,29 @@ def q_token_offsets_natural(spark, sf):
     return token_offsets(docs, ["doc_key"], ("source",)).select("doc_key", "source", "n", "start")
 
 
+def q_token_offsets_by_date(spark, sf):
+    """A natural order by date: the words of orders, by status."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("day", F.col("o_orderdate").cast("date"))
+    placed = orders.withColumn("n", F.length("o_orderpriority").cast("long"))
+    return token_offsets(placed, ["day", "o_orderkey"], ("o_orderstatus",)).select(
+        "o_orderkey", "o_orderstatus", "n", "start"
+    )
+
+
+def q_global_rank_by_amount(spark, sf):
+    """A natural order by a decimal, largest numbers of digits first by value, not by text."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    amount = F.col("o_totalprice").cast("decimal(15,2)")
+    ranked = global_rank(orders.withColumn("amount", amount), ["amount", "o_orderkey"])
+    return ranked.select("o_orderkey", "pos")
+
+
+def q_random_split_repeated_keys(spark, sf):
+    """Ten keys for all documents: the size of the validation part holds nevertheless."""
+    docs = documents(spark, sf).withColumn("doc_key", F.col("doc_key") % 10)
+    return random_split(docs, fraction=FRACTION).groupBy("split").agg(F.count("*").alias("docs"))
+
+
 def q_global_rank(spark, sf):
     keyed = documents(spark, sf).withColumn("order_key", hash_order(2357, "doc_key"))
     return global_rank(keyed, HASHED, hashed=True).select("doc_key", "pos")
@@ -376,7 +400,8 @@ def q_shift_targets(spark, sf):
 
 
 def _pack_staged(spark, sf, coder: BytePairCoder) -> DataFrame:
-    docs = random_split(texts(spark, sf), fraction=FRACTION).withColumn("ids", append_eot(coder.encode("text"), coder.eot))
+    docs = spread(random_split(documents(spark, sf), fraction=FRACTION), "doc_key")
+    docs = docs.withColumn("ids", append_eot(coder.encode("text"), coder.eot))
     tokens = stage(docs.select("split", *HASHED, "ids").withColumn("n", token_len("ids")), "bpe-tokens")
     return pack_sequences(token_offsets(tokens, HASHED, hashed=True), LENGTH)
 
@@ -520,6 +545,23 @@ def q_fetch_batches(spark, sf):
     )
 
 
+def q_sequence_at(spark, sf):
+    """The inverse of the permutation, for every place of every epoch."""
+    n = sequence_total(spark, sf)
+    places = spark.range(n).withColumnRenamed("id", "pos")
+    return sequence_at(places, n, EPOCHS).select("epoch", "pos", "seq_id")
+
+
+def q_fetch_from_shards(spark, sf):
+    """The scheduled sequences by their places in token files."""
+    schedule, _, _ = _schedule(spark, sf)
+    wanted = schedule.select("itr", "micro", "rank", "slot", "seq_id")
+    batches = fetch_sequences(wanted, _shards(spark, sf), "train", LENGTH)
+    return batches.select(
+        "itr", "micro", "rank", "slot", F.md5(joined("x")).alias("x_md5"), F.md5(joined("y")).alias("y_md5")
+    )
+
+
 # --- concatenation, sinks ------------------------------------------------------------
 
 
@@ -561,7 +603,7 @@ def q_shard_sequences(spark, sf):
 def q_bpe_shard_documents(spark, sf):
     """Documents got back from their token files: the whole path, forth and back."""
     coder = BytePairCoder(spark)
-    docs = random_split(texts(spark, sf), fraction=FRACTION)
+    docs = spread(random_split(documents(spark, sf), fraction=FRACTION), "doc_key")
     ids = append_eot(coder.encode("text"), coder.eot)
     tokens = stage(docs.select("split", *HASHED, ids.alias("ids")).withColumn("n", token_len("ids")), "bpe-tokens")
     out = scratch_path(spark, "bpe-shards")
