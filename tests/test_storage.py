@@ -4,17 +4,22 @@ import zipfile
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tokenweave.session import scratch_dir, scratch_path, stage
 from tokenweave.sinks.materialize import is_finished, materialize_once, materialize_years, pin
 from tokenweave.sinks.token_shards import write_token_shards
+from tokenweave.sources import pieces
 from tokenweave.sources.documents import (
+    archive_members,
     decoded_members,
     expand_archives,
     member_lines,
     read_document_files,
     read_documents,
+    read_text_split,
     reject_null_text,
     safe_member,
 )
@@ -245,3 +250,102 @@ def test_scheduled_sequences_are_read_by_place(spark, tmp_path, monkeypatch, nea
         with pytest.raises(Exception, match="holds sequences 0 to"):
             fetch_sequences(spark.createDataFrame([(bad,)], "seq_id long"), out, "train", length).collect()
     assert fetch_sequences(schedule.where("false"), out, "test", length).count() == 0
+
+
+def test_archive_index(spark, tmp_path):
+    with tarfile.open(tmp_path / "plain.tar", "w") as t:
+        for name, data in MEMBERS.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    with zipfile.ZipFile(tmp_path / "both.zip", "w") as z:
+        for i, (name, data) in enumerate(MEMBERS.items()):
+            z.writestr(name, data, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+    tar(tmp_path / "packed.tar.gz", MEMBERS)
+    rows = archive_members(spark, f"{tmp_path}/*").collect()
+    for archive, kinds in [("plain.tar", {"stored"}), ("both.zip", {"stored", "packed"}), ("packed.tar.gz", {"stream"})]:
+        mine = [r for r in rows if r.archive.endswith(archive)]
+        assert {r.member: r["size"] for r in mine} == {n: len(d) for n, d in MEMBERS.items()}
+        assert {r.kind for r in mine} == kinds
+        data = (tmp_path / archive).read_bytes()
+        for r in mine:
+            assert r.kind != "stored" or data[r.offset : r.offset + r["size"]] == MEMBERS[r.member]
+    # Ranges of stored members are rows of work of their own.
+    parts = expand_archives(spark, f"{tmp_path}/*", part_bytes=300).orderBy("part").collect()
+    for archive in ("plain.tar", "both.zip", "packed.tar.gz"):
+        got = {}
+        for r in parts:
+            if r.archive.endswith(archive):
+                got[r.member] = got.get(r.member, b"") + bytes(r.content)
+        assert got == MEMBERS
+    long = [r for r in parts if r.member == "1999/long"]
+    assert len(long) > 200 and all(bytes(r.content).endswith(b"\n") for r in long)
+
+
+FILES = {
+    "lines.txt": "one\r\ntwo\n\n é three \n" * 400 + "end",
+    "words.txt": "no line ends at all é " * 3000,
+    "solid.txt": "x" * 9000,
+    "mixed.txt": "a b\n" + "long line " * 1500 + "\nlast\n",
+    "bom.txt": "\ufeffwith a mark\nand more\n",
+    "empty.txt": "",
+    "blank.txt": "\n\n \n",
+}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab\n \u3000", max_size=60), st.integers(1, 9), st.integers(1, 9), st.integers(1, 9))
+def test_ranges_agree_on_their_cuts(text, size, near, block):
+    data = text.encode()
+
+    def read(at, count):
+        assert 0 <= at and count >= 0
+        return data[at : at + count]
+
+    old, pieces.READ_BYTES = pieces.READ_BYTES, block
+    try:
+        found = [pieces.range_piece(read, len(data), a, size, near) for a in range(0, len(data), size)]
+        streamed = list(pieces.stream_pieces(io.BytesIO(data), size))
+    finally:
+        pieces.READ_BYTES = old
+    for parts in ([p for _, p in found], streamed):
+        assert b"".join(parts) == data
+        at = 0
+        for p in parts[:-1]:
+            at += len(p)
+            ends_line = data[at - 1 : at] == b"\n"
+            ends_word = 0x21 <= data[at - 1] <= 0x7E and data[at : at + 1] in (b" ", b"\n") if 0 < at < len(data) else True
+            assert at in (0, len(data)) or ends_line or ends_word
+    assert all(data[a : a + len(p)] == p for a, p in found)
+
+
+@pytest.mark.parametrize("size", [8 << 20, 500, 37])
+def test_ranges_of_text_files(spark, tmp_path, size):
+    import gzip
+
+    for name, text in FILES.items():
+        (tmp_path / name).write_bytes(text.encode())
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(text.encode()))
+    rows = read_text_split(spark, str(tmp_path), size).orderBy("block", "line_no").collect()
+    for name, text in FILES.items():
+        plain = text.removeprefix("\ufeff").replace("\r\n", "\n")
+        for file in (name, f"{name}.gz"):
+            mine = [r.text for r in rows if r.file.endswith("/" + file)]
+            assert "".join(mine) == plain
+            if size > 1 << 20:
+                assert mine == plain.splitlines(keepends=True)
+    many = [r for r in rows if r.file.endswith("/words.txt")]
+    assert len(many) > 50 or size > 1 << 20
+
+
+def test_a_file_without_line_ends_has_many_segments(spark, coder, plain, tmp_path):
+    """Encoded piece by piece, the ids are those of the whole."""
+    from tokenweave.operators.segments import safe_segments
+
+    text = "".join(f" word{i % 97} and 12{i} things, isn't it?   " for i in range(4000))
+    (tmp_path / "one.txt").write_text(text)
+    lines = read_text_split(spark, str(tmp_path), 4096)
+    assert len(text) < pieces.NEAR and lines.count() > 30
+    segments = safe_segments(lines, order=("block", "line_no")).withColumn("ids", coder.encode("text"))
+    rows = segments.orderBy("segment").collect()
+    assert len(rows) > 30 and [i for r in rows for i in r.ids] == plain.encode_ordinary(text)

@@ -195,6 +195,12 @@ YEAR_LIST = ", ".join(f"'{y}'" for y in YEARS)
 SEGMENT = rf"[{WHITE_SPACE}]*[^{WHITE_SPACE}](?:[^\n]*[^{WHITE_SPACE}])?"
 
 
+def _hex_sequences() -> str:
+    """Sequences of the bytes of ``s(split, whole)``, two digits a byte."""
+    return f""", n AS (SELECT split, whole, unnest(range((length(whole) // 2 - 1) // {LENGTH})) AS seq_id FROM s)
+            SELECT split, seq_id, md5(substring(whole, seq_id * {2 * LENGTH} + 1, {2 * LENGTH})) AS x_md5 FROM n"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name; queries that SQL cannot state are left out."""
     pack = f"""WITH {STREAM} SELECT split, seq_id, string_agg(x, ',' ORDER BY p) AS x,
@@ -344,6 +350,29 @@ def statements() -> dict[str, str]:
         "random_split_repeated_keys": f"""WITH t AS (SELECT count(*) AS n, ceil({FRACTION}::DOUBLE * count(*))::BIGINT AS v
               FROM documents)
             SELECT 'val' AS split, v AS docs FROM t UNION ALL SELECT 'train', n - v FROM t""",
+        "archive_members": """SELECT CASE lang WHEN 'en' THEN 'en.tar' WHEN 'de' THEN 'de.tar.gz'
+              WHEN 'fr' THEN 'fr-packed.zip' ELSE 'other-stored.zip' END AS archive,
+            'docs/' || lpad(doc_id::VARCHAR, 12, '0') AS member,
+            CASE lang WHEN 'de' THEN 'stream' WHEN 'fr' THEN 'packed' ELSE 'stored' END AS kind,
+            octet_length(encode(text))::BIGINT AS size FROM documents""",
+        "expand_archives": "SELECT doc_id AS doc_key, md5(text) AS text_md5 FROM documents",
+        "read_document_files": f"""SELECT (doc_id % 3 + 1999)::INT AS year,
+            (doc_id % 3 + 1999) || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' AS doc_key, md5(text) AS text_md5
+            FROM documents""",
+        "recipe_wiki": f"""WITH s AS (SELECT CASE lang WHEN 'en' THEN 'train' ELSE 'val' END AS split,
+              lower(hex(encode(string_agg(text || chr(10), '' ORDER BY doc_id)))) AS whole
+              FROM documents WHERE lang IN ('en', 'de') GROUP BY split) {_hex_sequences()}""",
+        "recipe_years": f"""WITH d AS (SELECT doc_id, text, doc_id % 3 AS y,
+              row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS i FROM documents),
+            s AS (SELECT CASE WHEN i % 10 <= 6 THEN 'train' WHEN i % 10 <= 8 THEN 'val' ELSE 'test' END AS split,
+              lower(hex(encode(string_agg(text, '' ORDER BY (y + 1) % 3, i)))) AS whole FROM d GROUP BY split)
+            {_hex_sequences()}""",
+        "recipe_char": f"""WITH w AS (SELECT string_agg(text || chr(10), '' ORDER BY doc_id) AS whole FROM documents),
+            c AS (SELECT whole, floor(0.8::DOUBLE * length(whole))::BIGINT AS cut FROM w),
+            p AS (SELECT 'train' AS split, {_clean("substring(whole, 1, cut)")} AS part FROM c UNION ALL
+              SELECT 'val', {_clean("substring(whole, cut + 1)")} FROM c),
+            n AS (SELECT split, part, unnest(range((length(part) - 1) // {LENGTH})) AS seq_id FROM p)
+            SELECT split, seq_id, md5(substring(part, seq_id * {LENGTH} + 1, {LENGTH})) AS x_md5 FROM n""",
         "mix_corpora": f"""WITH m AS (
               SELECT 0 AS corpus, doc_id AS key, 0::BIGINT AS turn, length({_clean()})::BIGINT AS n FROM documents UNION ALL
               SELECT 1, conv_id, turn, length({_clean()}) FROM conversations UNION ALL

@@ -7,7 +7,13 @@ end-of-text id is then the first id behind the character vocabulary.
 from __future__ import annotations
 
 import base64
+import io
+import itertools
+import tarfile
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +68,19 @@ from tokenweave.operators.scoring import (
 )
 from tokenweave.operators.segments import WHITE_SPACE, cut_long_texts, safe_segments
 from tokenweave.operators.splits import file_split, modulo_split, offset_split, random_split
-from tokenweave.plans.corpora import web_rejects
+from tokenweave.plans.corpora import corpus, stream_order, web_rejects, year_corpus
 from tokenweave.sinks.materialize import materialize_once, pin
 from tokenweave.sinks.token_shards import write_token_shards
 from tokenweave.session import scratch_path, spread, stage
-from tokenweave.sources.documents import read_documents, read_text_split
+from tokenweave.sources.documents import (
+    archive_members,
+    decoded_members,
+    expand_archives,
+    read_document_files,
+    read_documents,
+    read_text_split,
+)
+from tokenweave.sources.files import filesystem
 from tokenweave.sources.token_shards import fetch_sequences, read_sequences, read_token_shards
 
 LENGTH = 256
@@ -681,6 +695,130 @@ def q_random_split_text_only(spark, sf):
     return parts.groupBy("split").agg(F.count("*").alias("docs"), F.countDistinct("doc_key").alias("names"))
 
 
+# --- files of any kind to streams ----------------------------------------------------
+
+
+def _write_files(spark, df: DataFrame, folder: str, keep: Callable[[str], tuple[str, int]]) -> str:
+    """Writes ``(name, member, text)`` below ``folder``: a file, or an archive of members, by name; one task each.
+
+    ``keep`` gives what a name is, "text", "tar", "tar.gz" or "zip", and the compression of a zip.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]  # a fixture's files fit a task
+        store, root = filesystem(folder)
+        for name, members in itertools.groupby(rows, lambda r: r["name"]):
+            data, members = io.BytesIO(), list(members)
+            kind, compression = keep(name)
+            if kind == "text":
+                data.write("".join(m["text"] for m in members).encode())
+            elif kind == "zip":
+                with zipfile.ZipFile(data, "w", compression) as z:
+                    for m in members:
+                        z.writestr(m["member"], m["text"])
+            else:
+                with tarfile.open(fileobj=data, mode="w:gz" if kind == "tar.gz" else "w") as t:
+                    for m in members:
+                        info, content = tarfile.TarInfo(m["member"]), m["text"].encode()
+                        info.size = len(content)
+                        t.addfile(info, io.BytesIO(content))
+            store.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(data.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["rows"])
+
+    lined = df.select("name", "member", "text").repartition("name").sortWithinPartitions("name", "member")
+    lined.mapInArrow(write, "rows bigint").agg(F.sum("rows")).collect()  # one row
+    return folder
+
+
+def _member(name: str) -> Column:
+    return F.concat(F.lit(name), F.lpad(F.col("doc_key").cast("string"), 12, "0"))
+
+
+ARCHIVES = {"en": "en.tar", "de": "de.tar.gz", "fr": "fr-packed.zip"}
+
+
+def _archives(spark, sf) -> str:
+    name = F.lit("other-stored.zip")
+    for lang, file in ARCHIVES.items():
+        name = F.when(F.col("lang") == lang, file).otherwise(name)
+    docs = documents(spark, sf, "lang").select(name.alias("name"), _member("docs/").alias("member"), "text")
+
+    def keep(name: str) -> tuple[str, int]:
+        return name.partition(".")[2], zipfile.ZIP_DEFLATED if "packed" in name else zipfile.ZIP_STORED
+
+    return _write_files(spark, docs, scratch_path(spark, "archives"), keep)
+
+
+def q_archive_members(spark, sf):
+    """All documents in archives of four kinds, listed."""
+    members = archive_members(spark, f"{_archives(spark, sf)}/*")
+    return members.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "member", "kind", "size")
+
+
+def q_expand_archives(spark, sf):
+    """The same, unpacked in small pieces and put together again."""
+    docs = decoded_members(expand_archives(spark, f"{_archives(spark, sf)}/*", part_bytes=1 << 12))
+    return docs.select(
+        F.regexp_extract("doc_key", r"(\d+)$", 1).cast("long").alias("doc_key"), F.md5("markup").alias("text_md5")
+    )
+
+
+def _year() -> Column:
+    return F.col("doc_key") % 3 + 1999
+
+
+def _year_folders(spark, sf) -> str:
+    name = F.concat(_year().cast("string"), _member("/"), F.lit(".md"))
+    docs = documents(spark, sf).select(name.alias("name"), F.lit("").alias("member"), "text")
+    return _write_files(spark, docs, scratch_path(spark, "years"), lambda _: ("text", 0))
+
+
+def q_read_document_files(spark, sf):
+    """Every document a file of its own, by year."""
+    docs = read_document_files(spark, _year_folders(spark, sf))
+    return docs.select("year", "doc_key", F.md5("text").alias("text_md5"))
+
+
+def _stream_sequences(tokens: DataFrame, order: dict) -> DataFrame:
+    """The packed sequences of a corpus of bytes, as digests of their hexadecimal digits."""
+    sequences = pack_sequences(token_offsets(tokens, **order), LENGTH)
+    digits = F.array_join(F.transform("x", lambda i: F.lower(F.lpad(F.hex(i.cast("long")), 2, "0"))), "")
+    return sequences.select("split", "seq_id", F.md5(digits).alias("x_md5"))
+
+
+def _wiki_files(spark, sf) -> str:
+    name = F.when(F.col("lang") == "en", "wiki.train.raw").when(F.col("lang") == "de", "wiki.valid.raw")
+    docs = documents(spark, sf, "lang").select(
+        F.coalesce(name, F.lit("wiki.test.raw")).alias("name"), _member("").alias("member"), F.concat("text", F.lit("\n")).alias("text")
+    )
+    return _write_files(spark, docs, scratch_path(spark, "wiki"), lambda _: ("text", 0))
+
+
+def q_recipe_wiki(spark, sf):
+    """Text files whose names say their split, encoded as whole files."""
+    tokens = corpus("wikitext")(spark, _wiki_files(spark, sf), byte_coder(spark))
+    return _stream_sequences(stage(tokens, "wiki-tokens"), stream_order("wikitext"))
+
+
+def q_recipe_years(spark, sf):
+    """A folder of files a year; the later years come first."""
+    tokens = year_corpus(spark, _year_folders(spark, sf), byte_coder(spark), [2001, 1999, 2000])
+    return _stream_sequences(stage(tokens, "year-tokens"), stream_order("arxiv"))
+
+
+def q_recipe_char(spark, sf):
+    """One text, cut at four fifths of its characters, as character ids."""
+    docs = documents(spark, sf).select(
+        F.lit("input.txt").alias("name"), _member("").alias("member"), F.concat("text", F.lit("\n")).alias("text")
+    )
+    folder = _write_files(spark, docs, scratch_path(spark, "char"), lambda _: ("text", 0))
+    tokens = corpus("shakespeare-char")(spark, f"{folder}/input.txt")
+    sequences = pack_sequences(token_offsets(stage(tokens, "char-tokens"), **stream_order("shakespeare-char")), LENGTH)
+    return sequences.select("split", "seq_id", F.md5(char_decode("x")).alias("x_md5"))
+
+
 def registered() -> dict:
     """All queries of this module by name."""
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}

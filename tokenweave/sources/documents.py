@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import tarfile
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenweave.functions.markup import normalize_newlines
-from tokenweave.session import stage
 from tokenweave.sources.files import filesystem, plain_path
+from tokenweave.sources.pieces import range_piece, stream_pieces
 
 DOCUMENTS = T.StructType(
     [
@@ -26,8 +28,17 @@ DOCUMENTS = T.StructType(
 #: Members of an archive leave it in pieces of about this size, cut at line ends.
 PART_BYTES = 4 << 20
 
-#: Bytes read from an archive member at a time.
-READ_BYTES = 1 << 20
+#: Bytes of a text file that one row of work reads.
+RANGE_BYTES = 8 << 20
+
+#: Rows of an archive's index that leave together.
+INDEX_ROWS = 10_000
+
+#: Names of files that Arrow unpacks while reading.
+COMPRESSED = r"\.(gz|bz2|lz4|zst)$"
+
+LINE = re.compile("[^\n]*\n|[^\n]+")
+BOM = b"\xef\xbb\xbf"
 
 MEMBERS = "archive string, member string, part int, content binary"
 
@@ -65,34 +76,45 @@ def reject_null_text(df: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return df.where(F.col(text).isNotNull()), df.where(F.col(text).isNull())
 
 
-def read_text_split(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_text_split(spark: SparkSession, path: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Lines of text files in file order: ``(file, block, line_no, text)``.
 
-    ``(block, line_no)`` orders the lines of a file; ``text`` ends with the line's
-    terminator, normalized, so the texts in order are the file.  Files are read in
-    parallel blocks, and the numbers are staged once to stay what they are.
+    ``(block, line_no)`` orders the lines of a file; ``text`` ends with the line's terminator, normalized, so the texts
+    in order are the file.  Files are read in ranges by many tasks, and a row's place follows from the bytes.  A line that
+    goes on far behind the end of its range is several rows, cut at word ends (:mod:`tokenweave.sources.pieces`), so a
+    file without line ends is read in parallel as well.  A compressed file is one stream.  What is not UTF-8 becomes
+    the replacement character; a byte-order mark is left out.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
-    lines = raw.select(
-        plain_path(F.col("_metadata.file_path")).alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("value"),
-    )
-    kept = stage(lines, "lines")
-    # The bytes tell whether a file ends with a newline: without one, a newline for
-    # every line is one byte too many (three fewer if a byte-order mark was skipped).
-    excess = F.sum(F.octet_length("value") + 1) - F.max("file_size")
-    open_ended = (
-        kept.groupBy("file")
-        .agg(excess.alias("excess"), F.max(F.struct("block", "line_no")).alias("last"))
-        .where(F.col("excess").isin(1, -2))
-        .select("file", "last.block", "last.line_no", F.lit("").alias("end"))
-    )
-    end = F.coalesce("end", F.lit("\n"))
-    ended = kept.join(open_ended, ["file", "block", "line_no"], "left")
-    return ended.select("file", "block", "line_no", normalize_newlines(F.concat("value", end)).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(plain_path(F.col("path")).alias("file"), "length")
+    packed = F.lower("file").rlike(COMPRESSED)
+    last = F.when(packed, 0).otherwise(F.col("length") - 1)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(range_bytes).cast("long")))
+    ranges = files.where("length > 0").select("file", "length", packed.alias("packed"), starts.alias("start"))
+
+    def rows(file: str, block: int, content: bytes) -> pa.RecordBatch:
+        lines = LINE.findall(content.removeprefix(BOM if block == 0 else b"").decode("utf-8", "replace"))
+        texts = [line.replace("\r\n", "\n").replace("\r", "\n") for line in lines]
+        n = len(texts)
+        columns = [pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "block", "line_no", "text"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, length, whole, start in zip(*(c.to_pylist() for c in batch.columns)):
+                store, inside = filesystem(file)
+                if whole:
+                    block = 0
+                    with store.open_input_stream(inside) as stream:
+                        for piece in stream_pieces(stream, range_bytes):
+                            yield rows(file, block, piece)
+                            block += len(piece)
+                else:
+                    with store.open_input_file(inside) as f:
+                        block, piece = range_piece(lambda at, size: f.read_at(size, at), length, start, range_bytes)
+                    yield rows(file, block, piece)
+
+    spread = ranges.repartition("file", "start")
+    return spread.mapInArrow(read, "file string, block bigint, line_no bigint, text string")
 
 
 def _folders(path: str, years: Sequence[int] | None) -> list[str]:
@@ -146,68 +168,128 @@ def safe_member(name: str) -> bool:
     return not (plain.startswith("/") or plain[1:2] == ":" or ".." in plain.split("/"))
 
 
+def archive_members(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
+    """Members of zip and tar archives: ``(archive, member, kind, offset, size)``.
+
+    ``kind`` is "stored" for members whose bytes lie in the archive as they are, from ``offset`` on; "packed" for
+    compressed members of a zip, whose header is at ``offset``; "stream" for members of a compressed tar, which only a
+    pass over the whole archive reaches.  Of the first two only headers are read.  Unsafe member names are an error.
+    """
+    return _indexed(_archives(spark, path, wanted), True)
+
+
+def _archives(spark: SparkSession, path: str, wanted: Column | None) -> DataFrame:
+    archives = spark.read.format("binaryFile").load(path).select("path", "length")
+    return (archives if wanted is None else archives.where(wanted)).select("path").repartition("path")
+
+
+def _indexed(archives: DataFrame, streams: bool) -> DataFrame:
+    """The index of archives; without ``streams`` a compressed tar is one row without a member."""
+
+    def listed(name: str, stream) -> Iterator[tuple]:
+        if name.endswith(".zip"):
+            with zipfile.ZipFile(stream) as z:
+                for info in z.infolist():
+                    if not info.is_dir():
+                        if info.compress_type != zipfile.ZIP_STORED:
+                            yield info.filename, "packed", info.header_offset, info.file_size
+                            continue
+                        stream.seek(info.header_offset + 26)
+                        names = struct.unpack("<HH", stream.read(4))
+                        yield info.filename, "stored", info.header_offset + 30 + sum(names), info.file_size
+        elif name.endswith(".tar"):
+            with tarfile.open(fileobj=stream, mode="r:") as t:
+                for info in t:
+                    if info.isfile():
+                        yield info.name, "stored", info.offset_data, info.size
+        elif streams:
+            with tarfile.open(fileobj=stream, mode="r|*") as t:
+                for info in t:
+                    if info.isfile():
+                        yield info.name, "stream", None, info.size
+        else:
+            yield None, "stream", None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
+        for batch in batches:
+            for archive in batch.column("path").to_pylist():
+                files, inside = filesystem(archive)
+                rows = []
+                with files.open_input_file(inside) as stream:
+                    for found in listed(archive, stream):
+                        rows.append(dict(zip(schema.names, (archive, _checked(found[0], archive), *found[1:]))))
+                        if len(rows) >= INDEX_ROWS:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return archives.mapInArrow(run, "archive string, member string, kind string, offset bigint, size bigint")
+
+
+def _checked(member: str | None, archive: str) -> str | None:
+    if member is not None and not safe_member(member):
+        raise ValueError(f"unsafe member name {member!r} in {archive}")
+    return member
+
+
 def expand_archives(
     spark: SparkSession, path: str, part_bytes: int = PART_BYTES, wanted: Column | None = None
 ) -> DataFrame:
     """Members of zip and tar archives as rows ``(archive, member, part, content)``.
 
-    Archives are unpacked in parallel.  A member is streamed and leaves in pieces
-    that end at a line end, so neither an archive nor a member has to fit in
+    The headers are read first.  Then tasks take ranges of members that are stored as they are, whole members
+    that are compressed one by one, and whole archives that are one compressed stream, so a big archive of
+    the first two kinds keeps many tasks busy.  A member leaves in pieces that end at cuts
+    (:mod:`tokenweave.sources.pieces`), so neither an archive nor a member has to fit in
     memory; unsafe member names are an error.  Archives for whose ``path`` the condition
     ``wanted`` does not hold are not opened.
     """
-    archives = spark.read.format("binaryFile").load(path).select("path", "length")
-    if wanted is not None:
-        archives = archives.where(wanted)
-
-    def pieces(stream) -> Iterator[bytes]:
-        held = b""
-        while block := stream.read(min(READ_BYTES, part_bytes)):
-            held += block
-            if len(held) >= part_bytes and (end := held.rfind(b"\n")) >= 0:
-                yield held[: end + 1]
-                held = held[end + 1 :]
-        yield held
-
-    def members(name: str, stream) -> Iterator[tuple[str, Iterator[bytes]]]:
-        if name.endswith(".zip"):
+    index = _indexed(_archives(spark, path, wanted), False)
+    last = F.when(F.col("kind") == "stored", F.greatest(F.col("size") - 1, F.lit(0))).otherwise(0)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(part_bytes).cast("long")))
+    work = index.select("*", starts.alias("start")).repartition("archive", "member", "start")
+
+    def pieces(row: dict, stream) -> Iterator[tuple[str, int, bytes]]:
+        if row["kind"] == "stored":
+
+            def read(at: int, size: int) -> bytes:
+                return stream.read_at(size, row["offset"] + at)
+
+            _, content = range_piece(read, row["size"], row["start"], part_bytes)
+            yield row["member"], row["start"] // part_bytes, content
+        elif row["kind"] == "packed":
             with zipfile.ZipFile(stream) as z:
-                for info in z.infolist():
-                    if not info.is_dir():
-                        with z.open(info) as member:
-                            yield info.filename, pieces(member)
+                info = next(i for i in z.infolist() if i.header_offset == row["offset"])
+                with z.open(info) as member:
+                    yield from ((row["member"], i, content) for i, content in enumerate(stream_pieces(member, part_bytes)))
         else:
             with tarfile.open(fileobj=stream, mode="r|*") as t:
                 for info in t:
                     if info.isfile():
-                        yield info.name, pieces(t.extractfile(info))
+                        member = _checked(info.name, row["archive"])
+                        parts = stream_pieces(t.extractfile(info), part_bytes)
+                        yield from ((member, i, content) for i, content in enumerate(parts))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("archive", pa.string()), ("member", pa.string()), ("part", pa.int32()), ("content", pa.binary())]
         schema = pa.schema(fields)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-
         for batch in batches:
-            for archive in batch.column("path").to_pylist():
-                files, inside = filesystem(archive)
-                rows, size = [], 0
+            rows, size = [], 0
+            for row in batch.to_pylist():
+                files, inside = filesystem(row["archive"])
                 with files.open_input_file(inside) as stream:
-                    for member, parts in members(archive, stream):
-                        if not safe_member(member):
-                            raise ValueError(f"unsafe member name {member!r} in {archive}")
-                        for number, content in enumerate(parts):
-                            if content or number == 0:
-                                rows.append((archive, member, number, content))
-                                size += len(content)
-                            if size >= part_bytes:
-                                yield batch_of(rows)
-                                rows, size = [], 0
-                if rows:
-                    yield batch_of(rows)
-
-    return archives.mapInArrow(unpack, MEMBERS)
+                    for member, number, content in pieces(row, stream):
+                        if content or number == 0:
+                            rows.append(dict(zip(schema.names, (row["archive"], member, number, content))))
+                            size += len(content)
+                        if size >= part_bytes:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return work.mapInArrow(unpack, MEMBERS)
 
 
 def decoded_members(members: DataFrame, year: Column | None = None) -> DataFrame:
