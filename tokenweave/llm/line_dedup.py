@@ -3,7 +3,7 @@
 A line within ``edits`` of a shorter or equally long one contains one of its
 ``edits + 1`` segments near the segment's place.  Without a number, the edits grow with the shorter line: one for
 every ``PER`` characters, ``MOST`` at most.  Index entries (a line's segments) and probes
-(substrings of lines, by the length they are looked for in) meet by hash in one shuffle; candidates
+(substrings of lines, by the length they are looked for in) meet by hash in one shuffle of sorted blocks; candidates
 are verified by a banded bit-parallel edit distance.  Of every component of
 linked lines the first line stays.
 
@@ -20,10 +20,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.llm.buckets import runs_with_hubs, unsettled_links
+from tokenweave.llm.buckets import unsettled_links
 from tokenweave.llm.components import connected_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.shingles import MIX, mixed
@@ -38,6 +39,9 @@ MIN_CHARS = 20
 REMEMBERED = 500_000
 #: Characters of the lines whose entries a task makes at a time.
 GROUP = 1 << 17
+#: Entries that a task sorts into blocks at a time, and cells of the keys for each shuffle partition.
+FLUSH = 1 << 21
+CELLS = 16
 
 
 def _name(one: str, two: str):
@@ -61,13 +65,30 @@ def allowed(length: int, edits: int | None) -> int:
     return min(MOST, max(1, length // PER)) if edits is None else edits
 
 
-def segment_rows(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
-    """Index entries and probes ``(bucket, probe, node)`` of the distinct lines of each task."""
+BLOCKS = "cell int, kind int, base bigint, keys binary, refs binary"
+INDEX, PROBE, NAMES = range(3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
+    """``(hub, node)``: lines, by a hash, of which one looks up a segment of the other.
+
+    Tasks number their distinct lines and put the index entries and probes into blocks, one for each cell of the keys and
+    each kind: four bytes of a key and three of a line number an entry.  A cell's index blocks come
+    before its probe blocks; the first line of a key is its hub, and whatever comes later pairs with it, so a task holds the
+    keys of a cell and not their lines.  The numbers are replaced by the lines' hashes at the end.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bits = (CELLS * partitions - 1).bit_length()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = lru_cache(maxsize=4096)(_plan), set()
+        base = TaskContext.get().partitionId() << 36
+        held, nodes, count, lines, chars = [], [], 0, [], 0
+
+        def entries():
+            return _entries(lines, np.arange(len(nodes) - len(lines), len(nodes)), edits, plan)
+
         for batch in batches:
-            lines, nodes, chars = [], [], 0
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) < min_chars or not line.strip(" "):
@@ -82,16 +103,86 @@ def segment_rows(docs: DataFrame, edits: int | None, min_chars: int) -> DataFram
                     nodes.append(node)
                     chars += len(line)
                     if chars >= GROUP:
-                        yield _entries(lines, nodes, edits, plan)
-                        lines, nodes, chars = [], [], 0
-            if lines:
-                yield _entries(lines, nodes, edits, plan)
+                        held.append(entries())
+                        count, lines, chars = count + len(held[-1][0]), [], 0
+                        if count >= FLUSH:
+                            yield _blocks(held, nodes, base, bits)
+                            base, held, nodes, count = base + len(nodes), [], [], 0
+        if lines:
+            held.append(entries())
+        if nodes:
+            yield _blocks(held, nodes, base, bits)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, hubs = None, {}
+        for batch in batches:
+            left, right = [], []
+            for this, kind, base, keys, refs in zip(*(batch.column(i) for i in range(5))):
+                base, keys, refs = base.as_py(), keys.as_py(), refs.as_py()
+                if kind.as_py() == NAMES:
+                    names = np.frombuffer(keys, np.int64)
+                    yield _pair_rows(np.arange(base, base + len(names)), names, True)
+                    continue
+                if this.as_py() != cell:
+                    cell, hubs = this.as_py(), {}
+                ids = np.zeros((len(refs) // 3, 4), np.uint8)
+                ids[:, :3] = np.frombuffer(refs, np.uint8).reshape(-1, 3)
+                ids = (ids.view("<u4").ravel().astype(np.int64) + base).tolist()
+                keys = np.frombuffer(keys, "<u4").tolist()
+                found = map(hubs.setdefault, keys, ids) if kind.as_py() == INDEX else map(hubs.get, keys)
+                for hub, node in zip(found, ids):
+                    if hub is not None and hub != node:
+                        left.append(hub)
+                        right.append(node)
+            yield _pair_rows(np.array(left, np.int64), np.array(right, np.int64), False)
+
+    laid = docs.select("text").mapInArrow(blocks, BLOCKS).repartition("cell").sortWithinPartitions("cell", "kind")
+    found = stage(laid.mapInArrow(pairs, "hub bigint, node bigint, named boolean"), "line-runs")
+    names = found.where("named").select(F.col("hub").alias("id"), F.col("node").alias("name"))
+    numbered = found.where("not named").select("hub", "node").distinct()
+    first = names.withColumnsRenamed({"id": "hub", "name": "a"})
+    second = names.withColumnsRenamed({"id": "node", "name": "b"})
+    named = numbered.join(first, "hub").join(second, "node").where("a != b")
+    return stage(named.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct(), "line-pairs")
+
+
+def _pair_rows(left: np.ndarray, right: np.ndarray, named: bool) -> pa.RecordBatch:
+    columns = [pa.array(left), pa.array(right), pa.array(np.full(len(left), named))]
+    return pa.RecordBatch.from_arrays(columns, names=["hub", "node", "named"])
+
+
+def _blocks(held: list[tuple[np.ndarray, ...]], nodes: list[int], base: int, bits: int) -> pa.RecordBatch:
+    """Entries sorted by cell, kind and key, a row for each cell and kind, and a row of the lines' hashes."""
+    keys, kinds, refs = (np.concatenate([x[i] for x in held]) for i in range(3))
+    place = (keys >> np.uint64(64 - bits)) << np.uint64(33) | kinds.astype(np.uint64) << np.uint64(32)
+    place |= (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
+    order = np.argsort(place)
+    place, refs = place[order], refs[order].astype("<u4")
+    cells = place >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    cells, ends = cells[starts], np.append(starts, len(place))
+    short = np.ascontiguousarray(refs.view(np.uint8).reshape(-1, 4)[:, :3])
+    keys = (place & np.uint64(0xFFFFFFFF)).astype("<u4")
+    # The hashes go to any one cell, last.
+    names = np.array(nodes, np.uint64).tobytes()
+    one = xxhash.xxh64_intdigest(str(base)) % (1 << bits)
+    columns = [
+        pa.array(np.append(cells >> np.uint64(1), one).astype(np.int32)),
+        pa.array(np.append(cells & np.uint64(1), NAMES).astype(np.int32)),
+        pa.array(np.full(len(cells) + 1, base)),
+        _binaries(ends * 4, keys.tobytes(), names),
+        _binaries(ends * 3, short.tobytes(), b""),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["cell", "kind", "base", "keys", "refs"])
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, probe int, node bigint")
 
+def _binaries(ends: np.ndarray, data: bytes, last: bytes) -> pa.Array:
+    offsets = np.append(ends, len(data) + len(last)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data + last)])
 
-def _entries(lines: list[str], nodes: list[int], edits: int | None, plan) -> pa.RecordBatch:
-    """The entries of lines, from running sums of scrambled characters times powers of an odd number."""
+
+def _entries(lines: list[str], refs: np.ndarray, edits: int | None, plan) -> tuple[np.ndarray, ...]:
+    """``(key, kind, line)`` of lines, from running sums of scrambled characters times powers of an odd number."""
     sizes = np.array([len(line) for line in lines])
     wide = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     up, down = _powers(len(wide) + 1)
@@ -102,10 +193,7 @@ def _entries(lines: list[str], nodes: list[int], edits: int | None, plan) -> pa.
     at = np.repeat(np.cumsum(sizes) - sizes, counts)
     start, end = start + at, end + at
     keys = mixed((sums[end] - sums[start]) * down[start] + seed * MIX)
-    node = np.repeat(np.array(nodes, np.uint64), counts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(probe), pa.array(node.view(np.int64))], names=["bucket", "probe", "node"]
-    )
+    return keys, probe, np.repeat(refs, counts)
 
 
 @lru_cache(maxsize=1)
@@ -159,9 +247,8 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     found = stage(_lines(light, min_chars, words).drop("line"), "lines")
     place = F.struct(F.col("key__").isNull().alias("none"), F.col("key__").alias("key"), F.col(ROW).alias("row"), "line_no")
     classes = stage(found.groupBy("one", "two").agg(F.min(place).alias("first")), "line-classes")
-    runs = stage(runs_with_hubs(segment_rows(light, edits, min_chars)), "line-runs")
-    several = runs.where("node != hub")
-    shorts = several.select(F.explode(F.array("hub", "node")).alias("short")).distinct()
+    pairs = candidate_pairs(light, edits, min_chars)
+    shorts = pairs.select(F.explode(F.array("hub", "node")).alias("short")).distinct()
     texts = stage(
         _lines(light.select("text"), min_chars)
         .join(shorts.withColumnRenamed("short", "one"), "one", "left_semi")
@@ -171,7 +258,6 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     )
     a = texts.select(F.col("short").alias("hub"), F.col("node").alias("a"), F.col("payload").alias("x"))
     b = texts.select(F.col("short").alias("node"), F.col("node").alias("b"), F.col("payload").alias("y"))
-    pairs = several.select("hub", "node").distinct()
     links = stage(pairs.join(a, "hub").join(b, "node").where(near_lines(edits)("x", "y")).select("a", "b"), "line-links")
     components = connected_components(links)
     edges = pairs.join(a.drop("x"), "hub").join(b.drop("y"), "node").select("a", "b")
