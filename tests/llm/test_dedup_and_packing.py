@@ -373,3 +373,23 @@ def test_pipeline(spark, bench, tmp_path):
     assert 101 not in ids["near dedup"] and clean <= ids["near dedup"]
     assert ids["decontamination"] >= clean - {2} and 103 in ids["decontamination"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_signatures_let_all_near_lines_through():
+    from tokenweave.llm.line_dedup import maybe_near, near, signed
+
+    r = random.Random(9)
+    base = [prose(i, 3 + i % 30) for i in range(60)] + ["aaaaaaaaaaaaaaaaaaaaaaaa", "abababababababababababab"]
+    lines = list(base)
+    for line in base:
+        for _ in range(4):
+            cs = list(line)
+            for _ in range(r.randrange(1, 5)):
+                at = r.randrange(len(cs))
+                cs[at : at + r.randrange(2)] = r.choice(["", "x", cs[at], "é"])
+            lines.append("".join(cs) or "x")
+    items = [signed(line) for line in lines]
+    open_ = maybe_near(items, items, None)
+    links = [(i, j) for i in range(len(lines)) for j in range(len(lines)) if near(lines[i], lines[j], None)]
+    assert len(links) > 2 * len(lines) and all(open_[i, j] for i, j in links)
+    assert open_.mean() < 0.1

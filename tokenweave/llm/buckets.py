@@ -69,10 +69,15 @@ def runs_with_hubs(rows: DataFrame) -> DataFrame:
     )
 
 
-def spanning_links(prepare: Callable[[object], object], linked: Callable[[object, object], bool]):
+def spanning_links(
+    prepare: Callable[[object], object],
+    linked: Callable[[object, object], bool],
+    possible: Callable[[list, list], np.ndarray] | None = None,
+):
     """Column function over two blocks: links between members of different components.
 
-    Members that links of the same two blocks already join are not compared again.
+    Members that links of the same two blocks already join are not compared again.  ``possible``, where
+    given, tells for all pairs of two lists of prepared items at once which of them need to be compared.
     """
 
     @F.arrow_udf("array<struct<a:string,b:string>>")
@@ -84,8 +89,10 @@ def spanning_links(prepare: Callable[[object], object], linked: Callable[[object
             left_n, left_c, left_x, right_n, right_c, right_x = (v.as_py() for v in row)
             left_x, right_x = [prepare(x) for x in left_x], [prepare(x) for x in right_x]
             joined, links = Joined(), []
-            for a, comp_a, item_a in zip(left_n, left_c, left_x):
-                for b, comp_b, item_b in zip(right_n, right_c, right_x):
+            open_ = possible(left_x, right_x) if possible else None
+            for i, (a, comp_a, item_a) in enumerate(zip(left_n, left_c, left_x)):
+                for j in range(len(right_n)) if open_ is None else np.flatnonzero(open_[i]).tolist():
+                    b, comp_b, item_b = right_n[j], right_c[j], right_x[j]
                     if comp_a != comp_b and joined.apart(comp_a, comp_b) and linked(item_a, item_b):
                         joined.join(comp_a, comp_b)
                         links.append({"a": a, "b": b})
@@ -149,7 +156,9 @@ def block_pairs(rest: DataFrame, payload: list[str]) -> DataFrame:
     return stage(left, "left").join(stage(right, "right"), "cluster")
 
 
-def unsettled_links(edges: DataFrame, payloads: DataFrame, found: DataFrame, prepare, linked) -> DataFrame | None:
+def unsettled_links(
+    edges: DataFrame, payloads: DataFrame, found: DataFrame, prepare, linked, possible=None
+) -> DataFrame | None:
     """Links inside clusters whose members lie in several components; None where there are none.
 
     ``payloads`` has ``node`` and ``payload``, which ``prepare`` makes ready for ``linked``.
@@ -158,7 +167,7 @@ def unsettled_links(edges: DataFrame, payloads: DataFrame, found: DataFrame, pre
     if open_ is None:
         return None
     pairs = block_pairs(stage(open_.join(payloads.select("node", "payload"), "node"), "blocks"), ["payload"])
-    compare = spanning_links(prepare, linked)
+    compare = spanning_links(prepare, linked, possible)
     return (
         pairs.select(F.explode(compare("l.node", "l.comp", "l.payload", "r.node", "r.comp", "r.payload")).alias("p"))
         .select("p.*")

@@ -15,7 +15,7 @@ rows are copies; null ids come last; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +228,32 @@ def near(a: str, b: str, edits: int | None) -> bool:
     return within(a, b, allowed(min(len(a), len(b)), edits))
 
 
+#: Bits of a line's signature.
+SIGNATURE = 512
+
+
+def signed(line: str) -> tuple[str, np.ndarray]:
+    """A line with a bit for the hash of each of its runs of three characters."""
+    wide = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    runs = mixed((wide[:-2] * MIX + wide[1:-1]) * MIX + wide[2:]) if len(wide) > 2 else wide[:0]
+    bits = np.zeros(SIGNATURE, np.uint8)
+    bits[runs % np.uint64(SIGNATURE)] = 1
+    return line, np.packbits(bits).view(np.uint64)
+
+
+def maybe_near(left: list, right: list, edits: int | None) -> np.ndarray:
+    """Which lines of two lists can be near by their lengths and signatures.
+
+    An edit takes away three runs of three characters at most and brings three, so it changes six bits at most.
+    """
+    sizes = [np.array([len(line) for line, _ in side]) for side in (left, right)]
+    most = np.array([allowed(n, edits) for n in range(int(max(s.max() for s in sizes)) + 1)])
+    most = most[np.minimum(sizes[0][:, None], sizes[1][None, :])]
+    a, b = (np.stack([bits for _, bits in side]) for side in (left, right))
+    differ = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
+    return (np.abs(sizes[0][:, None] - sizes[1][None, :]) <= most) & (differ <= 6 * most)
+
+
 def near_lines(edits: int | None):
     """Column function: whether two lines are within ``edits``."""
 
@@ -261,7 +287,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     links = stage(pairs.join(a, "hub").join(b, "node").where(near_lines(edits)("x", "y")).select("a", "b"), "line-links")
     components = connected_components(links)
     edges = pairs.join(a.drop("x"), "hub").join(b.drop("y"), "node").select("a", "b")
-    more = unsettled_links(edges, texts, components, lambda x: x, lambda x, y: near(x, y, edits))
+    more = unsettled_links(edges, texts, components, signed, lambda x, y: near(x[0], y[0], edits), partial(maybe_near, edits=edits))
     if more is not None:
         components = connected_components(links.unionByName(more))
     rooted = classes.withColumn("node", _name("one", "two")).join(components, "node", "left")
