@@ -232,6 +232,7 @@ def near(a: str, b: str, edits: int | None) -> bool:
 SIGNATURE = 512
 
 
+@lru_cache(maxsize=1 << 16)
 def signed(line: str) -> tuple[str, np.ndarray]:
     """A line with a bit for the hash of each of its runs of three characters."""
     wide = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
