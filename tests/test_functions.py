@@ -121,3 +121,61 @@ def test_latex(spark):
     assert got == ["# First\n\nSome very bold words here, 50% of them.\n\n- one\n\n- two", ""]
     with pytest.raises(ValueError):
         markup_to_text("text", "rtf")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("a(b(c)d)e", "a e"),
+        ("a(b)c(d)e", "a c e"),
+        ("a)b(c", "a)b(c"),
+        ("a(b(c)d", "a(b d"),
+        ("a(b)c)d", "a c)d"),
+        ("((x)(y))", " "),
+        (")(", ")("),
+        ("none", "none"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_balanced_elements(spark, text, want):
+    from tokenweave.functions.markup import drop_balanced
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(drop_balanced(F.col("t"), r"\(", r"\)").alias("x")).first().x == want
+
+
+def test_balanced_elements_against_a_stack(spark):
+    import random
+
+    from tokenweave.functions.markup import drop_balanced
+
+    def model(text):
+        opened, pairs = [], []
+        for i, c in enumerate(text):
+            if c == "(":
+                opened.append(i)
+            elif c == ")" and opened:
+                pairs.append((opened.pop(), i))
+        out, i = "", 0
+        ends = dict(pairs)
+        while i < len(text):
+            if i in ends:
+                out += " "
+                i = ends[i]
+            else:
+                out += text[i]
+            i += 1
+        return out
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("()ab") for _ in range(r.randrange(14))) for _ in range(400)]
+    df = frame(spark, texts)
+    assert column(df, drop_balanced(F.col("text"), r"\(", r"\)")) == [model(t) for t in texts]
+
+
+def test_numbered_entities(spark):
+    from tokenweave.functions.markup import numbered_entities
+
+    texts = ["&#65;b&#x1F600;", "&#0;&#xD800;&#1114112;", "&#;&#x;&amp;#65;", "plain"]
+    assert column(frame(spark, texts), numbered_entities(F.col("text"))) == ["Ab\U0001f600", "\ufffd" * 3, "&#;&#x;&amp;#65;", "plain"]

@@ -235,6 +235,12 @@ def statements() -> dict[str, str]:
             SELECT page_id, variant, 'no text' AS reason FROM t WHERE text = ''""",
         "latex_to_text": f"""WITH s AS (SELECT doc_id, {LATEX_SOURCE} AS tex FROM documents)
             SELECT doc_id AS doc_key, md5({TEX_TEXT}) AS text_md5 FROM s""",
+        # The sources as they are once what balances is a space, and characters stand for themselves.
+        "nested_markup": rf"""WITH p AS (SELECT page_id, '<div>a<div>b Hi😀� ' || html || '</div>c</div> g<style>h' AS markup FROM pages),
+            t AS (SELECT doc_id, '\begin{{document}} A ' || text || ' B C\end{{picture}}D\begin{{table}}E\end{{document}}' AS tex
+              FROM documents)
+            SELECT 'html' AS dialect, page_id AS key, md5({PAGE_TEXT}) AS text_md5 FROM p UNION ALL
+            SELECT 'latex', doc_id, md5({TEX_TEXT}) FROM t""",
         "normalize_newlines": """SELECT doc_id AS doc_key, (length(text) + CASE WHEN lang = 'en'
               THEN length(text) - length(replace(text, chr(10), '')) ELSE 0 END)::BIGINT AS raw_chars,
             md5(text) AS text_md5 FROM documents""",

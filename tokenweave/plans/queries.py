@@ -211,6 +211,26 @@ def q_latex_to_text(spark, sf):
     return texts(spark, sf).select("doc_key", F.md5(markup_to_text(tex, "latex")).alias("text_md5"))
 
 
+NESTED_PAGE = ("<div>a<div>b &#72;&#x69;&#128512;&#0; ", "</div>c</div><STYLE x='1'>d<style>e</style >f</style>g<style>h")
+NESTED_TEX = (
+    "\\begin{document}\\begin{table}a\\begin{table*}b\\begin{tabular}c\\end{tabular}\\end{table*}d\\end{table}A ",
+    " B\\begin{figure}\\begin{figure}e\\end{figure}\\caption{f}\\end{figure}C\\end{picture}D\\begin{table}E\\end{document}",
+)
+
+
+def q_nested_markup(spark, sf):
+    """Elements within elements of their own name, tags without a counterpart, characters by number."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+        "page_id", F.concat(F.lit(NESTED_PAGE[0]), "html", F.lit(NESTED_PAGE[1])).alias("html")
+    )
+    html = pages.select(F.lit("html").alias("dialect"), F.col("page_id").alias("key"), F.md5(markup_to_text("html")).alias("text_md5"))
+    tex = F.concat(F.lit(NESTED_TEX[0]), "text", F.lit(NESTED_TEX[1]))
+    latex = documents(spark, sf).select(
+        F.lit("latex").alias("dialect"), F.col("doc_key").alias("key"), F.md5(markup_to_text(tex, "latex")).alias("text_md5")
+    )
+    return html.unionByName(latex)
+
+
 def q_normalize_newlines(spark, sf):
     ends = F.when(F.col("lang") == "en", "\r\n").when(F.col("lang") == "de", "\r").otherwise("\n")
     foreign = texts(spark, sf, "lang").withColumn("raw", F.replace("text", F.lit("\n"), ends))
