@@ -6,16 +6,12 @@ where an element nested in one of its own name ends, is counted in arrays of tag
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+from tokenweave.functions.numbers import let
 
 
 def drop_balanced(text: Column, opening: str, closing: str) -> Column:
@@ -34,9 +30,9 @@ def drop_balanced(text: Column, opening: str, closing: str) -> Column:
             return F.concat(found, F.array(F.least(F.element_at(found, -1), depth)))
 
         depths = F.aggregate(tags, F.array(F.lit(0)), deeper)
-        return _let(
+        return let(
             depths,
-            lambda d: _let(
+            lambda d: let(
                 # The levels that no later tag closes.
                 F.reverse(F.aggregate(F.reverse(d), F.array(F.element_at(d, -1)), least, lambda x: F.slice(x, 2, F.size(d)))),
                 lambda s: F.array_join(F.transform(F.split(body, tag, -1), lambda g, i: _kept(g, i, tags, d, s)), ""),
@@ -44,9 +40,9 @@ def drop_balanced(text: Column, opening: str, closing: str) -> Column:
         )
 
     def matched(body: Column) -> Column:
-        return F.when(body.rlike(f"{opening}|{closing}"), _let(F.regexp_extract_all(body, tag, F.lit(0)), lambda t: folded(body, t))).otherwise(body)
+        return F.when(body.rlike(f"{opening}|{closing}"), let(F.regexp_extract_all(body, tag, F.lit(0)), lambda t: folded(body, t))).otherwise(body)
 
-    return _let(text, matched)
+    return let(text, matched)
 
 
 def _kept(gap: Column, i: Column, tags: Column, depths: Column, open_: Column) -> Column:
@@ -75,7 +71,7 @@ def _character(entity: Column) -> Column:
         known = ((c > 0) & (c < 0xD800)) | ((c > 0xDFFF) & (c <= 0x10FFFF))
         return F.decode(F.unhex(F.lpad(F.hex(F.when(known, c).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
-    return _let(code, valid)
+    return let(code, valid)
 
 
 def numbered_entities(text: Column) -> Column:
@@ -87,7 +83,7 @@ def numbered_entities(text: Column) -> Column:
         pairs = F.zip_with(F.split(body, F.lit(NUMBERED), -1), F.transform(found, _character), lambda t, c: F.concat(t, F.coalesce(c, F.lit(""))))
         return F.when(body.rlike(NUMBERED), F.array_join(pairs, "")).otherwise(body)
 
-    return _let(text, replaced)
+    return let(text, replaced)
 
 
 # The conversion rules, applied from the top down.
