@@ -211,10 +211,13 @@ RESULT = (
 def scan_licenses(
     docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, text: str = "text"
 ) -> DataFrame:
-    """Adds the words, the base places and labels, all labels, the score and the template spans; drops the text."""
-    rest = [c for c in docs.columns if c != text]
-    light = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias(text))
+    """Adds the words, the base places and labels, all labels, the score and the template spans; drops the text.
+
+    Columns of ``docs`` with the name of a result are replaced by it.
+    """
     made = T.StructType.fromDDL(RESULT)
+    rest = [c for c in docs.columns if c != text and c not in made.names]
+    light = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias(text))
     schema = T.StructType(light.schema.fields[:-1] + made.fields)
     kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
     kinds = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64(), kind]

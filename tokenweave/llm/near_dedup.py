@@ -39,7 +39,7 @@ from tokenweave.llm.shingles import (
     shingle_set,
     shingles_udf,
 )
-from tokenweave.llm.text import ROW, with_row_key
+from tokenweave.llm.text import ROW, packed, unpacked, with_row_key
 from tokenweave.session import stage
 
 WORDS = 5
@@ -217,5 +217,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percen
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with the columns of ``docs``."""
-    return near_copies(docs, key, words, percent).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component, with the columns of ``docs``, whatever their names."""
+    kept = near_copies(packed(docs, key, "text"), key, words, percent).where("kept")
+    return unpacked(kept, docs.columns, key, "text")

@@ -124,7 +124,8 @@ def learn_weights(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAM
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds ``score``: the probability of a good text, from its words alone."""
+    """Adds ``score``: the probability of a good text, from its words alone; a column of that name is replaced."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype("<f4").tobytes())
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

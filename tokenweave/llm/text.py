@@ -52,6 +52,21 @@ def with_fixed_rows(df: DataFrame) -> DataFrame:
     return keyed if nodes <= {"Project", "Filter", "Relation"} else stage(keyed, "rows")
 
 
+OTHERS = "others__"
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all but the ``used`` columns in one struct, so that no name of theirs meets one of the operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c in used]
+    return docs.select(*kept, F.struct(*rest).alias(OTHERS)) if rest else docs
+
+
+def unpacked(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """The columns of the frame that was :func:`packed`, as they were."""
+    return df.select(*[F.col(f"`{c}`") if c in used else F.col(f"{OTHERS}.`{c}`").alias(c) for c in columns])
+
+
 def split_words(text: Column, between: str) -> Column:
     """Words of a text, where ``between`` matches what separates them."""
     return F.array_remove(F.split(text, between), "")
