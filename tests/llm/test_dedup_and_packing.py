@@ -319,13 +319,14 @@ def plain_ids(docs):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(tokenizer_file())
-    coder.encode_special_tokens = True
     return {d: np.array(coder.encode(t or "", add_special_tokens=False).ids + [1], np.uint32) for d, t in docs}
 
 
 def test_packing_is_a_round_trip(spark, none):
     texts = [None, "", " ", "a  b \n c", "x  y", "<|endoftext|>", prose(1, 9000)] + [prose(i, 30 * i) for i in range(40)]
     texts += ["\t\t \n", "it's 12 'll  ", "é😀 \x1c b"]
+    end = "<|endoftext|>"
+    texts += [f"a {end} b", f"a{end} b {end}{end} c", f"  {end}  {end}'s {end}1 {end}", f"{end} x{end}\n {end} \n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     pieces = packing.pack_documents(docs, tokenizer_file()).withColumn("ids_crc32", F.crc32("ids"))
     check_packed(pieces.collect(), plain_ids(enumerate(texts)))

@@ -7,7 +7,8 @@ At the end of a split the windows still open are emptied into one
 stream, which is cut into full windows and a rest of power-of-two lengths: no padding is left.
 
 Edge cases: a null or empty text is its end id alone; repeated rows and repeated or null
-ids are documents of their own; the end-of-text literal in a text is ordinary text.
+ids are documents of their own; the end-of-text literal in a text gets the id that the
+tokenizer's file gives it.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ class PieceCoder:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_str(file)
-        self.coder.encode_special_tokens = True
+        for token in self.coder.get_added_tokens_decoder().values():
+            if token.lstrip or token.rstrip or token.single_word or " " in token.content:
+                raise ValueError(f"the added token {token.content!r} does not stand for itself alone")
         vocabulary = self.coder.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
