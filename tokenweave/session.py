@@ -47,14 +47,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where two later branches would otherwise repeat an expensive step, and
-    where a value (a line number) must not change when a lost task is redone.
+    where a value (a line number) must not change when a lost task is redone.  The shuffle files of
+    the write go when it has ended: the table stands for them, so a chain of steps holds one step's at a time.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
