@@ -2,7 +2,7 @@
 
 Tokens with digits or an at-sign are instances; the words around them, with the
 instance's shape left open, are lexical patterns.  Starting from the instances that the fixed patterns
-found, the bipartite graph of patterns and instances is scored in rounds: a pattern by the
+found, the bipartite graph of patterns and instances is scored in rounds, until a round finds nothing new: a pattern by the
 share and the number of its instances that are known, an instance by its best pattern.
 Instances of confident patterns join the known ones, and their
 occurrences that no fixed pattern covers are added as spans of kind ``context``.
@@ -35,7 +35,6 @@ KINDS = ("email", "ip", "card", "phone", "context")
 #: A pattern is confident from this share of known instances and this many distinct ones.
 PRECISION = 0.8
 SUPPORT = 3
-ROUNDS = 3
 #: Characters before and after a token that its context words are taken from.
 REACH = 48
 
@@ -131,7 +130,7 @@ def _by_kind(spans: Column) -> Column:
     )
 
 
-def confident_instances(edges: DataFrame, rounds: int = ROUNDS, precision: float = PRECISION, support: int = SUPPORT) -> DataFrame:
+def confident_instances(edges: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -> DataFrame:
     """Unseen instances that confident patterns discover, as ``(instance, score)``.
 
     ``edges`` has ``pattern``, ``instance`` and ``seed`` (known from the start).
@@ -140,7 +139,8 @@ def confident_instances(edges: DataFrame, rounds: int = ROUNDS, precision: float
     known = known.withColumn("score", F.when(F.col("known"), 1.0).otherwise(0.0))
     links = stage(edges.select("pattern", "instance").distinct(), "pii-links")
     known = stage(known, "pii-known")
-    for _ in range(rounds):
+    n_known, before = known.where("known").count(), -1
+    while n_known > before:
         scored = (
             links.join(known, "instance")
             .groupBy("pattern")
@@ -157,6 +157,7 @@ def confident_instances(edges: DataFrame, rounds: int = ROUNDS, precision: float
             ),
             "pii-known",
         )
+        n_known, before = known.where("known").count(), n_known
     return known.where("known").select("instance", "score")
 
 
