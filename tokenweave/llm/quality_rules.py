@@ -1,8 +1,10 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Each text becomes a vector of transformed statistics.  A minimum covariance
-determinant estimate of every (language, source) is found by concentration steps:
-from a start by medians, the share of texts nearest to the estimate gives the next one.  A text too
+determinant estimate of every (language, source) is found by concentration steps from three fixed starts
+(medians with spreads alone, with the correlations of squashed values, and with those of directions):
+the share of texts nearest to an estimate gives the next one, until no group's determinant falls any more.  Of all
+estimates that a group went through, the one with the least determinant counts.  A text too
 far from its group's estimate, by Mahalanobis distance, is rejected.
 
 Only per-group counts and sums are shuffled.  Quantiles come from counts of fixed
@@ -37,9 +39,11 @@ FLOORS = {
     "x_repeats": 0.10,
 }
 
-#: Share of a group that the estimate rests on, and the number of concentration steps.
+#: Share of a group that the estimate rests on, and the fall of a determinant's logarithm that calls for a further step.
 SUPPORT = 0.75
-STEPS = 4
+FALL = 1e-3
+#: Names of the starts.
+STARTS = ("spreads", "squashed", "directions")
 #: Texts of its language that a group's estimate is mixed with.
 PSEUDO = 50
 #: Points of the chi-square distribution with six degrees of freedom: median, 97.5 %, 99.99 %.
@@ -126,8 +130,8 @@ def quantiles(df: DataFrame, groups: list[str], bin_: str, points: dict[str, flo
     )
 
 
-def _start(df: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
-    """Medians and quartile ranges per group, as a first estimate with a diagonal covariance."""
+def _spreads(df: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
+    """Medians ``m`` and spreads ``s`` by quartiles of every statistic, per group."""
     each = df.select(
         *groups,
         F.explode(
@@ -140,11 +144,40 @@ def _start(df: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
         here = F.col("s") == n
         params.append(F.max(F.when(here, (F.col("mid") + 0.5) / 400)).alias(f"m_{i}"))
         spread = F.greatest((F.col("high") - F.col("low")) / (400 * 1.349), F.lit(FLOORS[n]))
-        params.append(F.max(F.when(here, spread * spread)).alias(f"c_{i}_{i}"))
-        params += [F.lit(0.0).alias(f"c_{i}_{j}") for j in range(i)]
+        params.append(F.max(F.when(here, spread)).alias(f"s_{i}"))
     return cut.groupBy(*groups).agg(*params)
 
 
+def _starts(df: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
+    """First estimates per group and ``start``: medians, and spreads with three kinds of correlations."""
+    p = range(len(names))
+    pairs = [(i, j) for i in p for j in range(i)]
+    spreads = stage(_spreads(df, groups, names), "mcd-spreads")
+    z = [((F.col(n) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, n in enumerate(names)]
+    z = df.join(spreads, groups).select(*groups, *z)
+    length = F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in p), F.lit(1e-9)))
+    kinds = {"squashed": [F.tanh(f"z_{i}") for i in p], "directions": [F.col(f"z_{i}") / length for i in p]}
+    sums = [
+        F.sum(u[i] * u[j]).alias(f"{kind}_{i}_{j}") for kind, u in kinds.items() for i in p for j in range(i + 1)
+    ]
+    found = z.groupBy(*groups).agg(*sums)
+
+    def correlation(kind: str, i: int, j: int) -> Column:
+        # Drawn towards none by a thousandth, so that the matrix has full rank.
+        both = F.sqrt(F.col(f"{kind}_{i}_{i}") * F.col(f"{kind}_{j}_{j}"))
+        return F.when(both > 0, 0.999 * F.col(f"{kind}_{i}_{j}") / both).otherwise(F.lit(0.0))
+
+    def start(kind: str) -> Column:
+        fields = [F.col(f"m_{i}") for i in p] + [(F.col(f"s_{i}") * F.col(f"s_{i}")).alias(f"c_{i}_{i}") for i in p]
+        for i, j in pairs:
+            c = F.lit(0.0) if kind == STARTS[0] else correlation(kind, i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")
+            fields.append(c.alias(f"c_{i}_{j}"))
+        return F.struct(F.lit(kind).alias("start"), *fields)
+
+    both = spreads.join(found, groups)
+    return both.select(*groups, F.explode(F.array(*map(start, STARTS))).alias("x")).select(*groups, "x.*")
+
+
 def _moments(names: list[str]) -> list[Column]:
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     return [
@@ -155,11 +188,11 @@ def _moments(names: list[str]) -> list[Column]:
 
 
 def _estimate(chosen: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
-    """Mean and covariance per group, mixed with those of the first of the ``groups``."""
+    """Mean and covariance per group, mixed with those of all but the last of the ``groups``."""
     p = range(len(names))
     sums = chosen.groupBy(*groups).agg(*_moments(names))
     scatter = {(i, j): F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}") / F.col("n") for i in p for j in range(i + 1)}
-    wide = Window.partitionBy(groups[0])
+    wide = Window.partitionBy(*groups[:-1])
     total = F.sum("n").over(wide)
     mixed = sums.select(
         *groups,
@@ -213,17 +246,54 @@ def _bin(d2: str) -> Column:
     return F.floor(F.log(F.col(d2) + 1e-9) * BINS)
 
 
-def robust_estimate(vectors: DataFrame, groups: list[str], names: list[str], steps: int = STEPS) -> DataFrame:
-    """Minimum covariance determinant estimate per group: means, covariance, ``scale``.
+def _log_determinant(params: DataFrame, groups: list[str], size: int) -> DataFrame:
+    """The logarithm of each covariance's determinant, as ``log_det``, by its Cholesky factor."""
+    factored = _factored(params, groups, size)
+    return factored.select(*groups, sum((2 * F.log(F.col(f"f_{i}_{i}")) for i in range(size)), F.lit(0.0)).alias("log_det"))
+
 
-    ``scale`` makes the median distance that of the chi-square distribution.
+def least_determinant(vectors: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
+    """Means and covariance per group: the estimate with the least determinant among all steps from all starts.
+
+    A step's estimate is made of the ``SUPPORT`` share of a group's rows that are nearest to the one before.
+    A start's steps count as long as each lowers the logarithm of its determinant by ``FALL``.
+    """
+    first, last = groups[:-1], groups[-1]
+    kinds = [*first, "start", last]
+    params = stage(_starts(vectors, groups, names), "mcd")
+    every = vectors.select(*groups, *names, F.explode(F.array(*map(F.lit, STARTS))).alias("start"))
+    best = None
+    while True:
+        near = with_distance(every, params, kinds, names).withColumn("bin", _bin("d2"))
+        cut = quantiles(near, kinds, "bin", {"most": SUPPORT}).drop("n")
+        chosen = near.join(cut, kinds).where(F.col("bin") <= F.col("most"))
+        params = stage(_estimate(chosen, kinds, names), "mcd")
+        tried = params.join(_log_determinant(params, kinds, len(names)), kinds)
+        if best is None:
+            best = stage(tried.withColumn("open", F.lit(True)), "mcd-best")
+            continue
+        # A start that does not fall any more has come to its end, whatever other groups do.
+        whole = [c for c in tried.columns if c not in kinds]
+        old = best.select(*kinds, "open", F.struct(*whole).alias("old"))
+        both = old.join(tried.select(*kinds, F.struct(*whole).alias("new")), kinds)
+        lower = F.col("open") & (F.col("new.log_det") < F.col("old.log_det") - FALL)
+        better = both.select(*kinds, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("x"), lower.alias("open"))
+        best = stage(better.select(*kinds, "x.*", "open"), "mcd-best")
+        if best.where("open").isEmpty():
+            break
+    # Ties go to the start that comes first by name.
+    rest = [c for c in best.columns if c not in (*groups, "start", "log_det", "open")]
+    least = best.groupBy(*groups).agg(F.min(F.struct("log_det", "start", *rest)).alias("x"))
+    return stage(least.select(*groups, *[F.col(f"x.{c}").alias(c) for c in rest]), "mcd")
+
+
+def robust_estimate(vectors: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
+    """Reweighted minimum covariance determinant estimate per group: means and covariance.
+
+    Distances are scaled so that their median is that of the chi-square distribution, and the rows
+    within its 97.5 % point make the estimate.
     """
-    params = stage(_start(vectors, groups, names), "mcd")
-    for _ in range(steps):
-        near = with_distance(vectors, params, groups, names).withColumn("bin", _bin("d2"))
-        cut = quantiles(near, groups, "bin", {"most": SUPPORT}).drop("n")
-        chosen = near.join(cut, groups).where(F.col("bin") <= F.col("most"))
-        params = stage(_estimate(chosen, groups, names), "mcd")
+    params = least_determinant(vectors, groups, names)
     near = with_distance(vectors, params, groups, names).withColumn("bin", _bin("d2"))
     half = quantiles(near, groups, "bin", {"half": 0.5})
     scale = F.greatest(F.exp((F.col("half") + 0.5) / BINS) / CHI_HALF, F.lit(1.0))
