@@ -5,7 +5,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -69,58 +68,6 @@ def test_quality_rejects_outliers_only(spark, edge, none):
     assert nothing.columns == none.columns and nothing.count() == 0
 
 
-def plain_mcd(rows, floors, support=quality_rules.SUPPORT):
-    """The least determinant over all concentration steps from the three starts, for one group of one language."""
-    def quantile(b, share):
-        return np.sort(b)[int(np.ceil(share * len(b) - 1e-9)) - 1]
-
-    binned = np.floor(rows * 400)
-    low, mid, high = (np.array([quantile(b, s) for b in binned.T]) for s in (0.25, 0.5, 0.75))
-    m, s = (mid + 0.5) / 400, np.maximum((high - low) / (400 * 1.349), floors)
-    z = (rows - m) / s
-    best = (np.inf, None, None)
-    for u in (None, np.tanh(z), z / np.sqrt((z * z).sum(axis=1, keepdims=True) + 1e-9)):
-        c = np.eye(len(m))
-        if u is not None:
-            d = np.sqrt((u * u).sum(axis=0))
-            c = 0.999 * (u.T @ u) / np.outer(d, d)
-            np.fill_diagonal(c, 1)
-        mean, cov, own = m, c * np.outer(s, s), (np.inf, None, None)
-        while True:
-            x = rows - mean
-            bins = np.floor(np.log((x @ np.linalg.inv(cov) * x).sum(axis=1) + 1e-9) * quality_rules.BINS)
-            near = rows[bins <= quantile(bins, support)]
-            mean = near.mean(axis=0)
-            n, scatter = len(near) + quality_rules.PSEUDO, (near - mean).T @ (near - mean)
-            cov = (scatter + quality_rules.PSEUDO * scatter / len(near)) / n + np.diag(floors**2)
-            log_det = np.linalg.slogdet(cov)[1]
-            if not log_det < own[0] - quality_rules.FALL:
-                break
-            own = (log_det, mean, cov)
-        best = min(best, own, key=lambda x: x[0])
-    return best
-
-
-def test_least_determinant_against_a_loop(spark):
-    # Two languages of one source each; 60 of the 400 rows of one stand together, far off along a direction.  (With 100,
-    # the quarter that the support leaves out, a set with many of them has the lesser determinant.)
-    rng, names = np.random.default_rng(11), list(quality_rules.FLOORS)
-    floors = np.array(list(quality_rules.FLOORS.values()))
-    mix = rng.normal(size=(6, 6)) * 0.3
-    groups = {"a": rng.normal(size=(400, 6)) @ mix + 1, "b": rng.normal(size=(300, 6)) * 0.2}
-    groups["a"][:60] = rng.normal(size=(60, 6)) * 0.1 + 3 * mix[0] + 2
-    data = [(g, "s", *map(float, x)) for g, rows in groups.items() for x in rows]
-    df = spark.createDataFrame(data, "g_lang string, g_source string, " + ", ".join(f"{n} double" for n in names))
-    got = {r.g_lang: r for r in quality_rules.least_determinant(df, ["g_lang", "g_source"], names).collect()}
-    for g, rows in groups.items():
-        _, mean, cov = plain_mcd(rows, floors)
-        assert [got[g][f"m_{i}"] for i in range(6)] == pytest.approx(mean, abs=1e-9)
-        found = [[got[g][f"c_{max(i, j)}_{min(i, j)}"] for j in range(6)] for i in range(6)]
-        assert np.array(found) == pytest.approx(cov, abs=1e-9)
-    # The rows far off take no part in the estimate.
-    assert abs(plain_mcd(groups["a"], floors)[1] - groups["a"][60:].mean(axis=0)).max() < 0.2
-
-
 def test_repeat_counts(spark):
     texts = ["a b c d e f a b c d e", "x " * 30, "l one two\n\n l\nl one two\n" + prose(3, 20), "", None, "#*$%&|<> ok"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
