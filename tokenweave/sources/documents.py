@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import tarfile
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenweave.functions.markup import normalize_newlines
+from tokenweave.session import task_count
 from tokenweave.sources.files import filesystem, plain_path
 from tokenweave.sources.pieces import range_piece, stream_pieces
 
@@ -31,7 +33,7 @@ PART_BYTES = 4 << 20
 #: Bytes of a text file that one row of work reads.
 RANGE_BYTES = 8 << 20
 
-#: Rows of an archive's index that leave together.
+#: Rows of an archive's index, or files, that leave together.
 INDEX_ROWS = 10_000
 
 #: Names of files that Arrow unpacks while reading.
@@ -76,15 +78,18 @@ def reject_null_text(df: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return df.where(F.col(text).isNotNull()), df.where(F.col(text).isNull())
 
 
-def read_text_split(spark: SparkSession, path: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_text_split(spark: SparkSession, path: str | Sequence[str], range_bytes: int | None = None) -> DataFrame:
     """Lines of text files in file order: ``(file, block, line_no, text)``.
 
     ``(block, line_no)`` orders the lines of a file; ``text`` ends with the line's terminator, normalized, so the texts
     in order are the file.  Files are read in ranges by many tasks, and a row's place follows from the bytes.  A line that
     goes on far behind the end of its range is several rows, cut at word ends (:mod:`tokenweave.sources.pieces`), so a
     file without line ends is read in parallel as well.  A compressed file is one stream.  What is not UTF-8 becomes
-    the replacement character; a byte-order mark is left out.
+    the replacement character; a byte-order mark is left out.  A range has ``RANGE_BYTES``, or what the session lets
+    a split of a file have where that is less.
     """
+    if range_bytes is None:
+        range_bytes = min(RANGE_BYTES, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     files = spark.read.format("binaryFile").load(path).select(plain_path(F.col("path")).alias("file"), "length")
     packed = F.lower("file").rlike(COMPRESSED)
     last = F.when(packed, 0).otherwise(F.col("length") - 1)
@@ -113,7 +118,8 @@ def read_text_split(spark: SparkSession, path: str | Sequence[str], range_bytes:
                         block, piece = range_piece(lambda at, size: f.read_at(size, at), length, start, range_bytes)
                     yield rows(file, block, piece)
 
-    spread = ranges.repartition("file", "start")
+    # A number of tasks, as rows this small would be put together in one.
+    spread = ranges.repartition(task_count(spark), "file", "start")
     return spread.mapInArrow(read, "file string, block bigint, line_no bigint, text string")
 
 
@@ -130,36 +136,56 @@ def read_document_files(spark: SparkSession, path: str, years: Sequence[int] | N
     """One document per file below ``path/<year>/``: ``(year, doc_key, text)``.
 
     Only the folders of ``years`` are touched, when given; the year of a folder that is not
-    named like one is null.  ``doc_key`` is ``<year>/<name>``.  Spark leaves out files of no length; they are
-    documents all the same and count in the index of their year, so they are added
-    from listings, one task a year.
+    named like one is null.  ``doc_key`` is ``<year>/<name>``.  Each folder is listed by one task, and the files are
+    dealt out to the tasks by name: a split of a file source is at least some megabytes, so it would be a task for every
+    few dozens of small files, behind a list of all of them on the driver.  Files of no length are documents all the
+    same; those whose names begin with a dot or an underscore are none.
     """
     folders = _folders(path, years)
     if not folders:
         return spark.createDataFrame([], "year int, doc_key string, text string")
-    rows = spark.read.text([f"{path.rstrip('/')}/{f}" for f in folders], wholetext=True)
-    full = rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), normalize_newlines("value").alias("text"))
-    key = F.regexp_extract("path", r"[^/]*/[^/]*$", 0)
-    docs = full.unionByName(_empty_files(spark, path, folders).withColumn("text", F.lit("")))
-    return docs.select(
-        F.regexp_extract(key, r"^(\d{4})/", 1).try_cast("int").alias("year"), key.alias("doc_key"), "text"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = filesystem(path)
+        for batch in batches:
+            keys, contents, size = [], [], 0
+            for key, length in zip(*(c.to_pylist() for c in batch.columns)):
+                content = b""
+                if length:
+                    with store.open_input_stream(f"{top}/{key}") as f:
+                        content = f.read()
+                keys.append(key)
+                contents.append(content)
+                size += len(content)
+                if size >= PART_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary())], names=["doc_key", "content"])
+                    keys, contents, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary())], names=["doc_key", "content"])
+
+    dealt = _document_files(spark, path, folders).repartition(task_count(spark), "doc_key")
+    return dealt.mapInArrow(read, "doc_key string, content binary").select(
+        F.regexp_extract("doc_key", r"^(\d{4})/", 1).try_cast("int").alias("year"),
+        "doc_key",
+        normalize_newlines(F.col("content").cast("string")).alias("text"),
     )
 
 
-def _empty_files(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
-    """Paths of the files without content in the folders of ``path``."""
+def _document_files(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    """``(doc_key, size)`` of the files in the folders of ``path``."""
     from pyarrow import fs
 
-    def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = filesystem(path)
         for batch in batches:
             for folder in batch.column("folder").to_pylist():
-                listed = store.get_file_info(fs.FileSelector(f"{top}/{folder}"))
-                names = [f"{folder}/{f.base_name}" for f in listed if f.type == fs.FileType.File and f.size == 0]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+                found = store.get_file_info(fs.FileSelector(f"{top}/{folder}"))
+                for low in range(0, len(found), INDEX_ROWS):
+                    some = [f for f in found[low : low + INDEX_ROWS] if f.type == fs.FileType.File and f.base_name[0] not in "._"]
+                    names = pa.array([f"{folder}/{f.base_name}" for f in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([names, pa.array([f.size for f in some], pa.int64())], names=["doc_key", "size"])
 
     listing = spark.createDataFrame([(f,) for f in folders], "folder string")
-    return listing.repartition(max(1, len(folders)), "folder").mapInArrow(empty, "path string")
+    return listing.repartition(max(1, len(folders)), "folder").mapInArrow(listed, "doc_key string, size bigint")
 
 
 def safe_member(name: str) -> bool:
@@ -175,16 +201,43 @@ def archive_members(spark: SparkSession, path: str, wanted: Column | None = None
     compressed members of a zip, whose header is at ``offset``; "stream" for members of a compressed tar, which only a
     pass over the whole archive reaches.  Of the first two only headers are read.  Unsafe member names are an error.
     """
-    return _indexed(_archives(spark, path, wanted), True)
+    return _indexed(_archives(spark, path, wanted), True).select("archive", "member", "kind", "offset", "size")
 
 
 def _archives(spark: SparkSession, path: str, wanted: Column | None) -> DataFrame:
     archives = spark.read.format("binaryFile").load(path).select("path", "length")
-    return (archives if wanted is None else archives.where(wanted)).select("path").repartition("path")
+    return (archives if wanted is None else archives.where(wanted)).select("path").repartition(task_count(spark), "path")
+
+
+def _files_of(t: tarfile.TarFile) -> Iterator[tarfile.TarInfo]:
+    """The files of a tar, whose headers are not kept."""
+    while (info := t.next()) is not None:
+        t.members.clear()
+        if info.isfile():
+            yield info
+
+
+#: What the header of a compressed member of a zip may leave to the directory at the end of the archive.
+PACKING = (("method", pa.int32()), ("packed", pa.int64()), ("crc", pa.int64()), ("flags", pa.int32()))
+
+
+def _open_packed(stream, row: dict) -> zipfile.ZipExtFile:
+    """A compressed member of a zip at its header, without another look at the archive's directory."""
+    if row["flags"] & 1:
+        raise ValueError(f"member {row['member']!r} of {row['archive']} is encrypted")
+    stream.seek(row["offset"] + 26)
+    names = struct.unpack("<HH", stream.read(4))
+    stream.seek(row["offset"] + 30 + sum(names))
+    info = zipfile.ZipInfo(row["member"])
+    info.compress_type, info.compress_size, info.CRC, info.file_size = row["method"], row["packed"], row["crc"], row["size"]
+    return zipfile.ZipExtFile(stream, "r", info)
 
 
 def _indexed(archives: DataFrame, streams: bool) -> DataFrame:
-    """The index of archives; without ``streams`` a compressed tar is one row without a member."""
+    """The index of archives; without ``streams`` a compressed tar is one row without a member.
+
+    Rows ``(archive, member, kind, offset, size, method, packed, crc, flags)``, the last four of compressed members of a zip.
+    """
 
     def listed(name: str, stream) -> Iterator[tuple]:
         if name.endswith(".zip"):
@@ -192,26 +245,26 @@ def _indexed(archives: DataFrame, streams: bool) -> DataFrame:
                 for info in z.infolist():
                     if not info.is_dir():
                         if info.compress_type != zipfile.ZIP_STORED:
-                            yield info.filename, "packed", info.header_offset, info.file_size
+                            packing = info.compress_type, info.compress_size, info.CRC, info.flag_bits
+                            yield info.filename, "packed", info.header_offset, info.file_size, *packing
                             continue
                         stream.seek(info.header_offset + 26)
                         names = struct.unpack("<HH", stream.read(4))
                         yield info.filename, "stored", info.header_offset + 30 + sum(names), info.file_size
         elif name.endswith(".tar"):
             with tarfile.open(fileobj=stream, mode="r:") as t:
-                for info in t:
-                    if info.isfile():
-                        yield info.name, "stored", info.offset_data, info.size
+                for info in _files_of(t):
+                    yield info.name, "stored", info.offset_data, info.size
         elif streams:
             with tarfile.open(fileobj=stream, mode="r|*") as t:
-                for info in t:
-                    if info.isfile():
-                        yield info.name, "stream", None, info.size
+                for info in _files_of(t):
+                    yield info.name, "stream", None, info.size
         else:
             yield None, "stream", None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
+        fields = [("archive", pa.string()), ("member", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("size", pa.int64())]
+        schema = pa.schema([*fields, *PACKING])
         for batch in batches:
             for archive in batch.column("path").to_pylist():
                 files, inside = filesystem(archive)
@@ -224,7 +277,8 @@ def _indexed(archives: DataFrame, streams: bool) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.mapInArrow(run, "archive string, member string, kind string, offset bigint, size bigint")
+    places = "archive string, member string, kind string, offset bigint, size bigint"
+    return archives.mapInArrow(run, f"{places}, method int, packed bigint, crc bigint, flags int")
 
 
 def _checked(member: str | None, archive: str) -> str | None:
@@ -248,7 +302,8 @@ def expand_archives(
     index = _indexed(_archives(spark, path, wanted), False)
     last = F.when(F.col("kind") == "stored", F.greatest(F.col("size") - 1, F.lit(0))).otherwise(0)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(part_bytes).cast("long")))
-    work = index.select("*", starts.alias("start")).repartition("archive", "member", "start")
+    dealt = index.select("*", starts.alias("start")).repartition(task_count(spark), "archive", "member", "start")
+    work = dealt.sortWithinPartitions("archive", "offset", "start")
 
     def pieces(row: dict, stream) -> Iterator[tuple[str, int, bytes]]:
         if row["kind"] == "stored":
@@ -259,31 +314,29 @@ def expand_archives(
             _, content = range_piece(read, row["size"], row["start"], part_bytes)
             yield row["member"], row["start"] // part_bytes, content
         elif row["kind"] == "packed":
-            with zipfile.ZipFile(stream) as z:
-                info = next(i for i in z.infolist() if i.header_offset == row["offset"])
-                with z.open(info) as member:
-                    yield from ((row["member"], i, content) for i, content in enumerate(stream_pieces(member, part_bytes)))
+            with _open_packed(stream, row) as member:
+                yield from ((row["member"], i, content) for i, content in enumerate(stream_pieces(member, part_bytes)))
         else:
             with tarfile.open(fileobj=stream, mode="r|*") as t:
-                for info in t:
-                    if info.isfile():
-                        member = _checked(info.name, row["archive"])
-                        parts = stream_pieces(t.extractfile(info), part_bytes)
-                        yield from ((member, i, content) for i, content in enumerate(parts))
+                for info in _files_of(t):
+                    member = _checked(info.name, row["archive"])
+                    parts = stream_pieces(t.extractfile(info), part_bytes)
+                    yield from ((member, i, content) for i, content in enumerate(parts))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("archive", pa.string()), ("member", pa.string()), ("part", pa.int32()), ("content", pa.binary())]
         schema = pa.schema(fields)
         for batch in batches:
             rows, size = [], 0
-            for row in batch.to_pylist():
-                files, inside = filesystem(row["archive"])
+            # Members of an archive follow each other, so it is opened once for them.
+            for archive, members in itertools.groupby(batch.to_pylist(), lambda row: row["archive"]):
+                files, inside = filesystem(archive)
                 with files.open_input_file(inside) as stream:
-                    for member, number, content in pieces(row, stream):
+                    for member, number, content in itertools.chain.from_iterable(pieces(row, stream) for row in members):
                         if content or number == 0:
-                            rows.append(dict(zip(schema.names, (row["archive"], member, number, content))))
+                            rows.append(dict(zip(schema.names, (archive, member, number, content))))
                             size += len(content)
-                        if size >= part_bytes:
+                        if size >= PART_BYTES or len(rows) >= INDEX_ROWS:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
             if rows:
