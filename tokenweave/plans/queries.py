@@ -71,7 +71,7 @@ from tokenweave.operators.splits import file_split, modulo_split, offset_split,
 from tokenweave.plans.corpora import corpus, stream_order, web_rejects, year_corpus
 from tokenweave.sinks.materialize import materialize_once, pin
 from tokenweave.sinks.token_shards import write_token_shards
-from tokenweave.session import scratch_path, spread, stage
+from tokenweave.session import scratch_path, spread, stage, task_count
 from tokenweave.sources.documents import (
     archive_members,
     decoded_members,
@@ -95,6 +95,8 @@ EPOCHS = 2
 SHARDS = 16
 CHUNK = 4096
 LONG = 1000
+SHELF = 1 << 14
+ROWS = 500
 YEARS = ["src7", "src3", "src14"]
 HASHED = ["order_key", "doc_key"]
 
@@ -725,33 +727,51 @@ def _write_files(spark, df: DataFrame, folder: str, keep: Callable[[str], tuple[
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]  # a fixture's files fit a task
+        parts = (batch.slice(low, ROWS) for batch in batches for low in range(0, batch.num_rows, ROWS))
+        rows = (r for part in parts for r in part.to_pylist())
         store, root = filesystem(folder)
+        made, files = set(), 0
         for name, members in itertools.groupby(rows, lambda r: r["name"]):
-            data, members = io.BytesIO(), list(members)
+            within = f"{root}/{name}".rpartition("/")[0]
+            if within not in made:
+                store.create_dir(within, recursive=True)
+                made.add(within)
             kind, compression = keep(name)
-            if kind == "text":
-                data.write("".join(m["text"] for m in members).encode())
-            elif kind == "zip":
-                with zipfile.ZipFile(data, "w", compression) as z:
-                    for m in members:
-                        z.writestr(m["member"], m["text"])
-            else:
-                with tarfile.open(fileobj=data, mode="w:gz" if kind == "tar.gz" else "w") as t:
-                    for m in members:
-                        info, content = tarfile.TarInfo(m["member"]), m["text"].encode()
-                        info.size = len(content)
-                        t.addfile(info, io.BytesIO(content))
-            store.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
             with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(data.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["rows"])
-
-    lined = df.select("name", "member", "text").repartition("name").sortWithinPartitions("name", "member")
-    lined.mapInArrow(write, "rows bigint").agg(F.sum("rows")).collect()  # one row
+                if kind == "text":
+                    for m in members:
+                        out.write(m["text"].encode())
+                    files += 1
+                    continue
+                data = io.BytesIO()  # of one archive
+                if kind == "zip":
+                    with zipfile.ZipFile(data, "w", compression) as z:
+                        for m in members:
+                            z.writestr(m["member"], m["text"])
+                else:
+                    with tarfile.open(fileobj=data, mode="w:gz" if kind == "tar.gz" else "w") as t:
+                        for m in members:
+                            info, content = tarfile.TarInfo(m["member"]), m["text"].encode()
+                            info.size = len(content)
+                            t.addfile(info, io.BytesIO(content))
+                out.write(data.getbuffer())
+                files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    lined = df.select("name", "member", "text").repartition(task_count(spark), "name").sortWithinPartitions("name", "member")
+    lined.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()  # one row
     return folder
 
 
+def _shelved(name: Column) -> Column:
+    """A file of that name in a folder for every so many documents, in their order.
+
+    Its size is bounded so, and the files of a corpus are as many as it takes: no task writes or lists the whole.
+    """
+    shelf = F.lpad(div(F.col("doc_key"), SHELF).cast("string"), 12, "0")
+    return F.concat(shelf, F.lit("/"), name)
+
+
 def _member(name: str) -> Column:
     return F.concat(F.lit(name), F.lpad(F.col("doc_key").cast("string"), 12, "0"))
 
@@ -763,7 +783,7 @@ def _archives(spark, sf) -> str:
     name = F.lit("other-stored.zip")
     for lang, file in ARCHIVES.items():
         name = F.when(F.col("lang") == lang, file).otherwise(name)
-    docs = documents(spark, sf, "lang").select(name.alias("name"), _member("docs/").alias("member"), "text")
+    docs = documents(spark, sf, "lang").select(_shelved(name).alias("name"), _member("docs/").alias("member"), "text")
 
     def keep(name: str) -> tuple[str, int]:
         return name.partition(".")[2], zipfile.ZIP_DEFLATED if "packed" in name else zipfile.ZIP_STORED
@@ -773,13 +793,13 @@ def _archives(spark, sf) -> str:
 
 def q_archive_members(spark, sf):
     """All documents in archives of four kinds, listed."""
-    members = archive_members(spark, f"{_archives(spark, sf)}/*")
+    members = archive_members(spark, f"{_archives(spark, sf)}/*/*")
     return members.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "member", "kind", "size")
 
 
 def q_expand_archives(spark, sf):
     """The same, unpacked in small pieces and put together again."""
-    docs = decoded_members(expand_archives(spark, f"{_archives(spark, sf)}/*", part_bytes=1 << 12))
+    docs = decoded_members(expand_archives(spark, f"{_archives(spark, sf)}/*/*", part_bytes=1 << 12))
     return docs.select(
         F.regexp_extract("doc_key", r"(\d+)$", 1).cast("long").alias("doc_key"), F.md5("markup").alias("text_md5")
     )
@@ -811,14 +831,16 @@ def _stream_sequences(tokens: DataFrame, order: dict) -> DataFrame:
 def _wiki_files(spark, sf) -> str:
     name = F.when(F.col("lang") == "en", "wiki.train.raw").when(F.col("lang") == "de", "wiki.valid.raw")
     docs = documents(spark, sf, "lang").select(
-        F.coalesce(name, F.lit("wiki.test.raw")).alias("name"), _member("").alias("member"), F.concat("text", F.lit("\n")).alias("text")
+        _shelved(F.coalesce(name, F.lit("wiki.test.raw"))).alias("name"),
+        _member("").alias("member"),
+        F.concat("text", F.lit("\n")).alias("text"),
     )
     return _write_files(spark, docs, scratch_path(spark, "wiki"), lambda _: ("text", 0))
 
 
 def q_recipe_wiki(spark, sf):
     """Text files whose names say their split, encoded as whole files."""
-    tokens = corpus("wikitext")(spark, _wiki_files(spark, sf), byte_coder(spark))
+    tokens = corpus("wikitext")(spark, f"{_wiki_files(spark, sf)}/*", byte_coder(spark))
     return _stream_sequences(stage(tokens, "wiki-tokens"), stream_order("wikitext"))
 
 
@@ -831,10 +853,10 @@ def q_recipe_years(spark, sf):
 def q_recipe_char(spark, sf):
     """One text, cut at four fifths of its characters, as character ids."""
     docs = documents(spark, sf).select(
-        F.lit("input.txt").alias("name"), _member("").alias("member"), F.concat("text", F.lit("\n")).alias("text")
+        _shelved(F.lit("input.txt")).alias("name"), _member("").alias("member"), F.concat("text", F.lit("\n")).alias("text")
     )
     folder = _write_files(spark, docs, scratch_path(spark, "char"), lambda _: ("text", 0))
-    tokens = corpus("shakespeare-char")(spark, f"{folder}/input.txt")
+    tokens = corpus("shakespeare-char")(spark, f"{folder}/*/input.txt")
     sequences = pack_sequences(token_offsets(stage(tokens, "char-tokens"), **stream_order("shakespeare-char")), LENGTH)
     return sequences.select("split", "seq_id", F.md5(char_decode("x")).alias("x_md5"))
 
