@@ -6,6 +6,7 @@ import os
 import sys
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from tokenweave.plans import queries  # noqa: E402
 from tokenweave.sources import documents  # noqa: E402
 from tokenweave.sources.documents import expand_archives, read_document_files, read_text_split  # noqa: E402
 
+from tokenweave.functions.bpe import PART_BYTES, in_parts  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -66,3 +69,12 @@ def test_corpora_in_several_files(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "SHELF", 50)
     con = check_oracles.connect(SMALL)
     assert check_oracles.compare(spark, con, name, SMALL) is None
+
+
+def test_batches_are_coded_in_parts(spark, coder):
+    batch = pa.array([None, "", *["text " * 1000] * 1500])
+    parts = list(in_parts(iter([batch, batch.slice(0, 0)])))
+    assert pa.concat_arrays(parts) == batch and len(parts) > 5 and max(p.nbytes for p in parts) < 2 * PART_BYTES
+    df = spark.createDataFrame([(t,) for t in batch.to_pylist()], "text string").coalesce(1)
+    again = df.withColumn("again", coder.decode(coder.encode("text")))
+    assert again.where("NOT text <=> again").count() == 0

@@ -24,6 +24,9 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: A rank file beyond this is refused instead of broadcast.
 MAX_RANK_BYTES = 64 << 20
 
+#: Arrow bytes that are encoded or decoded at a time.
+PART_BYTES = 1 << 20
+
 POLICIES = ("ordinary", "allow", "error")
 
 
@@ -56,6 +59,14 @@ def _encoding(name: tuple[str, int], ranks: bytes):
     return _ENCODINGS[name]
 
 
+def in_parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches in parts of about ``PART_BYTES``, as a batch of long texts or lists is many times its size as objects."""
+    for batch in batches:
+        rows = max(1, len(batch) * PART_BYTES // max(1, batch.nbytes))
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 class BytePairCoder:
     """Column functions for one vocabulary, given by the path or the content of its rank file."""
 
@@ -96,7 +107,7 @@ class BytePairCoder:
         @F.arrow_udf("array<int>")
         def encode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             enc = coder()
-            for texts in batches:
+            for texts in in_parts(batches):
                 found: list[np.ndarray | None] = []
                 for text in texts.to_pylist():
                     if text is None or (refused and EOT_TEXT in text):
@@ -118,7 +129,7 @@ class BytePairCoder:
         @F.arrow_udf("string")
         def decode_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             enc = coder()
-            for lists in batches:
+            for lists in in_parts(batches):
                 yield pa.array([None if x is None else enc.decode(x) for x in lists.to_pylist()], pa.string())
 
         return decode_text(ids)

@@ -35,6 +35,9 @@ from tokenweave.sources.token_files import (
 # Fixed value: the most shards of a split.
 MAX_SHARDS = 1024
 
+#: Words that are written at a time.
+WORDS = 1 << 18
+
 SPLITS = ("train", "val", "test")
 
 
@@ -77,9 +80,11 @@ class ShardWriter(DataSourceArrowWriter):
                     if not np.array_equal(starts[a:b], np.append(place, ends[:-1])):
                         raise ValueError(f"shard {current} is not contiguous after {place}")
                     words = run.flatten().to_numpy(zero_copy_only=False)
-                    if len(words) and not 0 <= int(words.min()) <= int(words.max()) < WORD_LIMIT:
-                        raise ValueError(f"an id of shard {current} does not fit two bytes")
-                    out.write(words.astype(WORD).tobytes())
+                    for low in range(0, len(words), WORDS):
+                        some = words[low : low + WORDS]
+                        if not 0 <= int(some.min()) <= int(some.max()) < WORD_LIMIT:
+                            raise ValueError(f"an id of shard {current} does not fit two bytes")
+                        out.write(some.astype(WORD).data)
                     place = int(ends[-1])
         finally:
             if out is not None:
