@@ -222,12 +222,12 @@ NESTED_TEX = (
 
 def q_nested_markup(spark, sf):
     """Elements within elements of their own name, tags without a counterpart, characters by number."""
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").select(
         "page_id", F.concat(F.lit(NESTED_PAGE[0]), "html", F.lit(NESTED_PAGE[1])).alias("html")
     )
     html = pages.select(F.lit("html").alias("dialect"), F.col("page_id").alias("key"), F.md5(markup_to_text("html")).alias("text_md5"))
     tex = F.concat(F.lit(NESTED_TEX[0]), "text", F.lit(NESTED_TEX[1]))
-    latex = documents(spark, sf).select(
+    latex = texts(spark, sf).select(
         F.lit("latex").alias("dialect"), F.col("doc_key").alias("key"), F.md5(markup_to_text(tex, "latex")).alias("text_md5")
     )
     return html.unionByName(latex)
