@@ -71,7 +71,7 @@ from tokenweave.operators.splits import file_split, modulo_split, offset_split,
 from tokenweave.plans.corpora import corpus, stream_order, web_rejects, year_corpus
 from tokenweave.sinks.materialize import materialize_once, pin
 from tokenweave.sinks.token_shards import write_token_shards
-from tokenweave.session import scratch_path, spread, stage, task_count
+from tokenweave.session import default_buckets, scratch_path, spread, stage, task_count
 from tokenweave.sources.documents import (
     archive_members,
     decoded_members,
@@ -488,8 +488,11 @@ def _predictions(spark, sf):
     sequences = stage(packed(spark, sf), "sequences", ("split",))
     counts = bigram_counts(token_pairs(sequences.where(F.col("split") == "train")))
     val = sequences.where(F.col("split") == "val")
-    batch = div(F.col("seq_id"), BATCH)
-    pairs = batch_pairs(token_pairs(val.withColumn("batch_id", batch), "batch_id"))
+    batched = val.select(div(F.col("seq_id"), BATCH).alias("batch_id"), "x", "y")
+    # A batch's pairs are counted in one place, and by many tasks: a split of the compressed table holds so many
+    # sequences that the counts of its pairs would fill a task's memory.
+    dealt = batched.repartition(default_buckets(spark, 4), "batch_id")
+    pairs = batch_pairs(token_pairs(dealt, "batch_id"))
     return score_pairs(pairs, counts, IDS)
 
 
