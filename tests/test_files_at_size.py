@@ -78,3 +78,11 @@ def test_batches_are_coded_in_parts(spark, coder):
     df = spark.createDataFrame([(t,) for t in batch.to_pylist()], "text string").coalesce(1)
     again = df.withColumn("again", coder.decode(coder.encode("text")))
     assert again.where("NOT text <=> again").count() == 0
+
+
+@pytest.mark.parametrize(
+    "name, mark", [("fetch_batches", "array<smallint>"), ("nested_markup", "RepartitionByExpression"), ("match_targets", "RepartitionByExpression [batch_id")]
+)
+def test_steps_move_little_and_are_dealt_out(spark, name, mark):
+    df = queries.registered()[name](spark, SMALL)
+    assert mark in df._jdf.queryExecution().toString()

@@ -139,5 +139,8 @@ def eval_window(
 
 
 def fetch_batches(schedule: DataFrame, sequences: DataFrame, on: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """The sequences for each scheduled sample; Spark broadcasts a small schedule."""
+    """The sequences for each scheduled sample; Spark broadcasts a small schedule.
+
+    ``sequences`` may have the windows of ``pack_windows``, to be shifted behind the join, which then moves half as much.
+    """
     return schedule.join(sequences, list(on))

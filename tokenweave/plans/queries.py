@@ -37,7 +37,7 @@ from tokenweave.operators.order import (
     ordered_sums,
     token_offsets,
 )
-from tokenweave.operators.pack import pack_sequences
+from tokenweave.operators.pack import pack_sequences, pack_windows, shift_targets
 from tokenweave.operators.report import (
     batches_per_epoch,
     corpus_report,
@@ -126,9 +126,13 @@ def char_ids() -> Column:
     return append_eot(char_encode("text"), EOT)
 
 
-def packed(spark: SparkSession, sf: str) -> DataFrame:
+def windows(spark: SparkSession, sf: str) -> DataFrame:
     offsets = token_offsets(split_documents(spark, sf), HASHED, hashed=True)
-    return pack_sequences(offsets, LENGTH, ids=char_ids())
+    return pack_windows(offsets, LENGTH, ids=char_ids())
+
+
+def packed(spark: SparkSession, sf: str) -> DataFrame:
+    return shift_targets(windows(spark, sf), LENGTH)
 
 
 def sequence_total(spark: SparkSession, sf: str, split: str = "train") -> int:
@@ -577,8 +581,9 @@ def q_eval_window(spark, sf):
 
 def q_fetch_batches(spark, sf):
     schedule, _, _ = _schedule(spark, sf)
-    train = packed(spark, sf).where(F.col("split") == "train").select("seq_id", "x", "y")
-    batches = fetch_batches(schedule.select("itr", "micro", "rank", "slot", "seq_id"), train)
+    # Inputs and targets are the same ids but one: they meet the schedule as one window, in the two bytes an id needs.
+    train = windows(spark, sf).where(F.col("split") == "train").select("seq_id", F.col("t").cast("array<smallint>").alias("t"))
+    batches = shift_targets(fetch_batches(schedule.select("itr", "micro", "rank", "slot", "seq_id"), train), LENGTH)
     return batches.select(
         "itr", "micro", "rank", "slot", F.md5(joined("x")).alias("x_md5"), F.md5(joined("y")).alias("y_md5")
     )
