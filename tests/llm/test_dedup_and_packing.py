@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenweave.llm import line_dedup, near_dedup, packing, passage_dedup
 from tokenweave.llm.buckets import runs_with_hubs
-from tokenweave.llm.components import connected_components
+from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.queries import registered, tokenizer_file
 from tokenweave.llm.shingles import Minima, WordHashes, band_keys, bands_for, windows
@@ -39,6 +39,23 @@ def test_components(spark, edges):
     assert {r.node: r.component for r in got} == {n: c for n, c in want.items() if n != c}
 
 
+def test_components_keep_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tokenweave.session.scratch_dir", lambda spark: str(tmp_path))
+    edges = [(i, (i * 7) % 300) for i in range(300)] + [(500, i) for i in range(400, 500)]
+    want = union({n for e in edges for n in e}, edges)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for most in (1 << 16, 5):  # with 5, node 500 is dealt out in parts
+        got = {r.node: r.component for r in connected_components(frame, most=most).collect()}
+        assert got == {n: c for n, c in want.items() if n != c}
+    assert len(list(tmp_path.iterdir())) == 2  # a table of links for each call, whatever the rounds
+    found = connected_components(frame)
+    more = spark.createDataFrame([(400, want[3]), (700, 701)], "a long, b long")
+    got = {r.node: r.component for r in merged_components(found, more).collect()}
+    edges += [(400, 3), (700, 701)]
+    want = union({n for e in edges for n in e}, edges)
+    assert got == {n: c for n, c in want.items() if n != c}
+
+
 def varied(base, seed, changes):
     r = random.Random(seed)
     w = base.split()

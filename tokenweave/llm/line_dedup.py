@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenweave.llm.buckets import unsettled_links
-from tokenweave.llm.components import connected_components
+from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.shingles import MIX, mixed
 from tokenweave.llm.text import ROW, packed, unpacked, with_fixed_rows, with_row_key
@@ -290,7 +290,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     edges = pairs.join(a.drop("x"), "hub").join(b.drop("y"), "node").select("a", "b")
     more = unsettled_links(edges, texts, components, signed, lambda x, y: near(x[0], y[0], edits), partial(maybe_near, edits=edits))
     if more is not None:
-        components = connected_components(links.unionByName(more))
+        components = merged_components(components, more)
     rooted = classes.withColumn("node", _name("one", "two")).join(components, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))

@@ -3,7 +3,7 @@
 Equal shingle sets form one class, whose first row stands for it.  Minima of
 universal hashes are cut into bands; in every bucket of a band the first member is
 the hub, and the others are held against it: signatures first, then the full shingle sets.
-Components of these links come from alternating large-star and small-star.
+Components of these links come from hooking and pointer jumping.
 
 What hubs connect is a cluster.  One whose members are then still in several components is
 settled by blocks: the members outside the cluster's first component meet all members,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenweave.llm.buckets import Joined, block_pairs, unsettled_members
-from tokenweave.llm.components import connected_components
+from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.shingles import (
     Minima,
     WordHashes,
@@ -40,7 +40,7 @@ from tokenweave.llm.shingles import (
     shingles_udf,
 )
 from tokenweave.llm.text import ROW, packed, unpacked, with_row_key
-from tokenweave.session import stage
+from tokenweave.session import release, stage
 
 WORDS = 5
 PERCENT = 80
@@ -103,7 +103,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def exact_links(bound: int, percent: int):
-    """Column function over two blocks: links between members of different components.
+    """Column function over two blocks: links between components that members of both link.
 
     Signatures are compared first, then the full sets; members that links of the same two
     blocks already join are not compared again.
@@ -111,15 +111,15 @@ def exact_links(bound: int, percent: int):
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def compare(
-        n1: pa.Array, c1: pa.Array, s1: pa.Array, x1: pa.Array, n2: pa.Array, c2: pa.Array, s2: pa.Array, x2: pa.Array
+        c1: pa.Array, s1: pa.Array, x1: pa.Array, c2: pa.Array, s2: pa.Array, x2: pa.Array
     ) -> pa.Array:
         out = []
-        for row in zip(n1, c1, s1, n2, c2, s2, x1, x2):
-            left_n, left_c, left_s, right_n, right_c, right_s = (v.as_py() for v in row[:6])
-            left, right = ([np.asarray(v.values) for v in side.values] for side in row[6:])
+        for row in zip(c1, s1, c2, s2, x1, x2):
+            left_c, left_s, right_c, right_s = (v.as_py() for v in row[:4])
+            left, right = ([np.asarray(v.values) for v in side.values] for side in row[4:])
             matrix, comps = np.stack([np.frombuffer(s, np.uint32) for s in right_s]), np.array(right_c)
             joined, links = Joined(), []
-            for a, comp, signature, x in zip(left_n, left_c, left_s, left):
+            for comp, signature, x in zip(left_c, left_s, left):
                 same = (matrix == np.frombuffer(signature, np.uint32)).sum(axis=1)
                 for k in np.flatnonzero((same >= bound) & (comps != comp)):
                     y, other = right[k], right_c[k]
@@ -130,7 +130,7 @@ def exact_links(bound: int, percent: int):
                     both = int((merged[1:] == merged[:-1]).sum())
                     if 100 * both >= percent * (len(merged) - both):
                         joined.join(comp, other)
-                        links.append({"a": a, "b": right_n[k]})
+                        links.append({"a": comp, "b": other})
             out.append(links)
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
@@ -138,13 +138,13 @@ def exact_links(bound: int, percent: int):
 
 
 def unsettled_links(edges: DataFrame, payloads: DataFrame, found: DataFrame, bound: int, percent: int) -> DataFrame | None:
-    """Links inside clusters whose members lie in several components; None where there are none."""
+    """Links ``(a, b)`` of components inside clusters that several components lie in; None where there are none."""
     open_ = unsettled_members(edges, found)
     if open_ is None:
         return None
     pairs = block_pairs(stage(open_.join(payloads, "node"), "blocks"), ["signature", "set"])
     compare = exact_links(bound, percent)
-    made = compare("l.node", "l.comp", "l.signature", "l.set", "r.node", "r.comp", "r.signature", "r.set")
+    made = compare("l.comp", "l.signature", "l.set", "r.comp", "r.signature", "r.set")
     return pairs.select(F.explode(made).alias("p")).select("p.*").distinct()
 
 
@@ -179,7 +179,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percen
         "hubs",
     )
     members = stage(entries.join(hubs, "band"), "members")
-    signatures = reps.select("node", "signature")
     bound = signature_bound(bands_for(percent / 100, ROWS, MISS) * ROWS, percent)
     involved = members.select("node").distinct()
     sets = stage(
@@ -192,20 +191,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percen
         members.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(),
         "pairs",
     )
+    marked = stage(reps.select("node", "signature").join(involved, "node", "left_semi"), "signatures")
+    release(reps, hubs, members)
     close = (
-        pairs.join(signatures.toDF("a", "s_a"), "a")
-        .join(signatures.toDF("b", "s_b"), "b")
+        pairs.join(marked.toDF("a", "s_a"), "a")
+        .join(marked.toDF("b", "s_b"), "b")
         .where(equal_minima("s_a", "s_b") >= bound)
         .select("a", "b")
     )
     links = stage(_verified(close, sets, percent), "links")
     found = connected_components(links)
-    more = unsettled_links(pairs, sets.join(signatures, "node"), found, bound, percent)
+    more = unsettled_links(pairs, sets.join(marked, "node"), found, bound, percent)
     if more is not None:
-        found = connected_components(links.unionByName(more))
+        found = merged_components(found, more)
     rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
     settled = stage(rooted.join(firsts, "root").select("d1", "d2", "best"), "components")
+    release(classes, sets, pairs, marked, links)
     wide = sketched.drop("keys", "signature").join(settled, ["d1", "d2"], "left")
     alone = F.col("n_shingles") == 0
     return wide.select(
