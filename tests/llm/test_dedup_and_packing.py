@@ -411,3 +411,16 @@ def test_signatures_let_all_near_lines_through():
     links = [(i, j) for i in range(len(lines)) for j in range(len(lines)) if near(lines[i], lines[j], None)]
     assert len(links) > 2 * len(lines) and all(open_[i, j] for i, j in links)
     assert open_.mean() < 0.1
+
+
+def test_a_cell_is_one_row_of_a_block():
+    r = np.random.Generator(np.random.PCG64(5))
+    keys, kinds, refs = r.integers(0, 1 << 64, 4000, np.uint64), r.integers(0, 2, 4000), r.integers(0, 50, 4000)
+    made = line_dedup._blocks([(keys, kinds.astype(np.int32), refs)], list(range(50)), 0, 6)
+    assert made.num_rows == 64 + 1  # index entries and probes together, and the lines' hashes
+    met = {(x, y) for b in [made.slice(0, 64)] for row in b.to_pylist() for x, y in zip(*(line_dedup._met([(0, row["heads"], row["keys"], row["refs"])]).column(i).to_pylist() for i in (0, 1)))}
+    short = ((keys >> np.uint64(64 - 6)) << np.uint64(32) | (keys >> np.uint64(32 - 6)) & np.uint64(0xFFFFFFFF)).tolist()
+    hubs = {}
+    for key, kind, ref in sorted(zip(short, kinds.tolist(), refs.tolist())):
+        hubs.setdefault(key, ref) if not kind else None
+    assert met == {(hubs[k], x) for k, x in zip(short, refs.tolist()) if k in hubs and hubs[k] != x}

@@ -29,7 +29,7 @@ from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.shingles import MIX, mixed
 from tokenweave.llm.text import ROW, packed, unpacked, with_fixed_rows, with_row_key
-from tokenweave.session import stage
+from tokenweave.session import release, stage
 
 #: Characters of the shorter line that allow an edit, and the edits that any line allows at most.
 PER = 20
@@ -41,7 +41,7 @@ REMEMBERED = 500_000
 GROUP = 1 << 17
 #: Entries that a task sorts into blocks at a time, and cells of the keys for each shuffle partition.
 FLUSH = 1 << 21
-CELLS = 16
+CELLS = 4
 
 
 def _name(one: str, two: str):
@@ -65,17 +65,18 @@ def allowed(length: int, edits: int | None) -> int:
     return min(MOST, max(1, length // PER)) if edits is None else edits
 
 
-BLOCKS = "cell int, kind int, base bigint, keys binary, refs binary"
-INDEX, PROBE, NAMES = range(3)
+BLOCKS = "cell int, base bigint, heads int, keys binary, refs binary"
+#: In place of the number of index entries: the row has the lines' hashes.
+NAMES = -1
 
 
 def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
     """``(hub, node)``: lines, by a hash, of which one looks up a segment of the other.
 
-    Tasks number their distinct lines and put the index entries and probes into blocks, one for each cell of the keys and
-    each kind: four bytes of a key and three of a line number an entry.  A cell's index blocks come
-    before its probe blocks; the first line of a key is its hub, and whatever comes later pairs with it, so a task holds the
-    keys of a cell and not their lines.  The numbers are replaced by the lines' hashes at the end.
+    Tasks number their distinct lines and put the index entries and probes into blocks, one for each cell of the keys:
+    four bytes of a key and three of a line number an entry, index entries first.  Those of all blocks of a cell are
+    met first; the first line of a key is its hub, and whatever comes later pairs with it, so a task holds the
+    entries of a cell and not their lines.  The numbers are replaced by the lines' hashes at the end.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     bits = (CELLS * partitions - 1).bit_length()
@@ -114,36 +115,47 @@ def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> DataF
             yield _blocks(held, nodes, base, bits)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, hubs = None, {}
+        cell, held = None, []
         for batch in batches:
-            left, right = [], []
-            for this, kind, base, keys, refs in zip(*(batch.column(i) for i in range(5))):
-                base, keys, refs = base.as_py(), keys.as_py(), refs.as_py()
-                if kind.as_py() == NAMES:
+            for this, base, heads, keys, refs in zip(*(batch.column(i) for i in range(5))):
+                base, heads, keys, refs = base.as_py(), heads.as_py(), keys.as_py(), refs.as_py()
+                if heads == NAMES:
                     names = np.frombuffer(keys, np.int64)
                     yield _pair_rows(np.arange(base, base + len(names)), names, True)
                     continue
                 if this.as_py() != cell:
-                    cell, hubs = this.as_py(), {}
-                ids = np.zeros((len(refs) // 3, 4), np.uint8)
-                ids[:, :3] = np.frombuffer(refs, np.uint8).reshape(-1, 3)
-                ids = (ids.view("<u4").ravel().astype(np.int64) + base).tolist()
-                keys = np.frombuffer(keys, "<u4").tolist()
-                found = map(hubs.setdefault, keys, ids) if kind.as_py() == INDEX else map(hubs.get, keys)
-                for hub, node in zip(found, ids):
-                    if hub is not None and hub != node:
-                        left.append(hub)
-                        right.append(node)
-            yield _pair_rows(np.array(left, np.int64), np.array(right, np.int64), False)
-
-    laid = docs.select("text").mapInArrow(blocks, BLOCKS).repartition("cell").sortWithinPartitions("cell", "kind")
+                    yield _met(held)
+                    cell, held = this.as_py(), []
+                held.append((base, heads, keys, refs))
+        yield _met(held)
+
+    laid = docs.select("text").mapInArrow(blocks, BLOCKS).repartition("cell").sortWithinPartitions("cell")
     found = stage(laid.mapInArrow(pairs, "hub bigint, node bigint, named boolean"), "line-runs")
     names = found.where("named").select(F.col("hub").alias("id"), F.col("node").alias("name"))
     numbered = found.where("not named").select("hub", "node").distinct()
     first = names.withColumnsRenamed({"id": "hub", "name": "a"})
     second = names.withColumnsRenamed({"id": "node", "name": "b"})
     named = numbered.join(first, "hub").join(second, "node").where("a != b")
-    return stage(named.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct(), "line-pairs")
+    pairs = stage(named.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct(), "line-pairs")
+    release(found)
+    return pairs
+
+
+def _met(held: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    """Pairs of the blocks of one cell: of its index entries, then of its probes with these."""
+    hubs, left, right = {}, [], []
+    for probe in (False, True):
+        for base, heads, keys, refs in held:
+            part = slice(heads, None) if probe else slice(heads)
+            ids = np.zeros((len(refs) // 3, 4), np.uint8)
+            ids[:, :3] = np.frombuffer(refs, np.uint8).reshape(-1, 3)
+            ids = (ids.view("<u4").ravel()[part].astype(np.int64) + base).tolist()
+            met = np.frombuffer(keys, "<u4")[part].tolist()
+            for hub, node in zip(map(hubs.get, met) if probe else map(hubs.setdefault, met, ids), ids):
+                if hub is not None and hub != node:
+                    left.append(hub)
+                    right.append(node)
+    return _pair_rows(np.array(left, np.int64), np.array(right, np.int64), False)
 
 
 def _pair_rows(left: np.ndarray, right: np.ndarray, named: bool) -> pa.RecordBatch:
@@ -152,28 +164,29 @@ def _pair_rows(left: np.ndarray, right: np.ndarray, named: bool) -> pa.RecordBat
 
 
 def _blocks(held: list[tuple[np.ndarray, ...]], nodes: list[int], base: int, bits: int) -> pa.RecordBatch:
-    """Entries sorted by cell, kind and key, a row for each cell and kind, and a row of the lines' hashes."""
+    """Entries sorted by cell, kind and key, a row for each cell, and a row of the lines' hashes."""
     keys, kinds, refs = (np.concatenate([x[i] for x in held]) for i in range(3))
     place = (keys >> np.uint64(64 - bits)) << np.uint64(33) | kinds.astype(np.uint64) << np.uint64(32)
     place |= (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
     order = np.argsort(place)
     place, refs = place[order], refs[order].astype("<u4")
-    cells = place >> np.uint64(32)
+    cells = place >> np.uint64(33)
     starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    heads = np.add.reduceat((place >> np.uint64(32) & np.uint64(1)) == 0, starts, dtype=np.int32)
     cells, ends = cells[starts], np.append(starts, len(place))
     short = np.ascontiguousarray(refs.view(np.uint8).reshape(-1, 4)[:, :3])
     keys = (place & np.uint64(0xFFFFFFFF)).astype("<u4")
-    # The hashes go to any one cell, last.
+    # The hashes go to any one cell.
     names = np.array(nodes, np.uint64).tobytes()
     one = xxhash.xxh64_intdigest(str(base)) % (1 << bits)
     columns = [
-        pa.array(np.append(cells >> np.uint64(1), one).astype(np.int32)),
-        pa.array(np.append(cells & np.uint64(1), NAMES).astype(np.int32)),
+        pa.array(np.append(cells, one).astype(np.int32)),
         pa.array(np.full(len(cells) + 1, base)),
+        pa.array(np.append(heads, NAMES).astype(np.int32)),
         _binaries(ends * 4, keys.tobytes(), names),
         _binaries(ends * 3, short.tobytes(), b""),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["cell", "kind", "base", "keys", "refs"])
+    return pa.RecordBatch.from_arrays(columns, names=["cell", "base", "heads", "keys", "refs"])
 
 
 def _binaries(ends: np.ndarray, data: bytes, last: bytes) -> pa.Array:
@@ -250,9 +263,14 @@ def maybe_near(left: list, right: list, edits: int | None) -> np.ndarray:
     sizes = [np.array([len(line) for line, _ in side]) for side in (left, right)]
     most = np.array([allowed(n, edits) for n in range(int(max(s.max() for s in sizes)) + 1)])
     most = most[np.minimum(sizes[0][:, None], sizes[1][None, :])]
-    a, b = (np.stack([bits for _, bits in side]) for side in (left, right))
-    differ = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
-    return (np.abs(sizes[0][:, None] - sizes[1][None, :]) <= most) & (differ <= 6 * most)
+    close = np.abs(sizes[0][:, None] - sizes[1][None, :]) <= most
+    if not close.any():
+        return close
+    a, b = (np.stack([bits for _, bits in side], axis=1) for side in (left, right))
+    differ = np.zeros(close.shape, np.int16)
+    for x, y in zip(a, b):  # word by word, as a whole block's differences then stay in the cache
+        differ += np.bitwise_count(x[:, None] ^ y[None, :])
+    return close & (differ <= 6 * most)
 
 
 def near_lines(edits: int | None):
@@ -295,6 +313,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     rooted = rooted.withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
     settled = stage(rooted.join(firsts, "root").select("one", "two", "first", "best"), "line-firsts")
+    release(classes, pairs, texts, links)
     judged = found.join(settled, ["one", "two"])
     here = (F.col(ROW) == F.col("best.row")) & (F.col("line_no") == F.col("best.line_no"))
     leads = (F.col(ROW) == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
