@@ -424,3 +424,13 @@ def test_a_cell_is_one_row_of_a_block():
     for key, kind, ref in sorted(zip(short, kinds.tolist(), refs.tolist())):
         hubs.setdefault(key, ref) if not kind else None
     assert met == {(hubs[k], x) for k, x in zip(short, refs.tolist()) if k in hubs and hubs[k] != x}
+
+
+def test_passages_release_what_is_read_no_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tokenweave.session.scratch_dir", lambda spark: str(tmp_path))
+    texts = [prose(1, 60), prose(1, 60) + " " + prose(2, 40), prose(3, 50), prose(3, 49) + " more"]
+    rows = passage_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == 4 and any(r.repeats for r in rows)
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert not left & {"passage-met", "passages", "passage-sets", "passage-places", "passage-anchors", "passage-windows"}
+    assert {"passage-judged", "window-judged"} <= left
