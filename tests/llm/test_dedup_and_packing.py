@@ -434,3 +434,45 @@ def test_passages_release_what_is_read_no_more(spark, tmp_path, monkeypatch):
     left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
     assert not left & {"passage-met", "passages", "passage-sets", "passage-places", "passage-anchors", "passage-windows"}
     assert {"passage-judged", "window-judged"} <= left
+
+
+def test_distance_does_not_step_through_characters():
+    steps = [0]
+
+    class Line(str):
+        def __getitem__(self, at):
+            steps[0] += 1
+            return Line(str.__getitem__(self, at))
+
+        def __iter__(self):
+            pytest.fail("a character at a time")
+
+    r = random.Random(3)
+    for i in range(200):
+        a = prose(i, 3 + i % 40)
+        b = edited(a, r.random(), r.randint(0, 6))
+        b = b if i % 3 else b.replace("a", "", 1) + "x"
+        for k in (1, 2, 4):
+            assert within(Line(a), Line(b), k) == within(b, a, k) == (plain_distance(a, b) <= k)
+    a = prose(7, 5000)
+    changed = a[:10] + "#" + a[11:9000] + a[9001:20000] + "##" + a[20000:]
+    steps[0] = 0
+    assert within(Line(a), Line(changed), 4) and not within(Line(a), Line(changed), 3)
+    assert steps[0] < 2000
+
+
+def test_counts_tell_long_lines_apart():
+    from tokenweave.llm.line_dedup import maybe_near, near, signed
+
+    # Long lines over few characters: one with six words changed keeps nearly all bits of its signature.
+    lines = []
+    for i in range(40):
+        words = prose(i, 250).split()
+        for at in range(0, 250, 42):
+            words[at] = "lonesbadekes"
+        lines += [prose(i, 250), " ".join(words), edited(prose(i, 250), i, 4)]
+    items = [signed(line) for line in lines]
+    open_ = maybe_near(items, items, None)
+    links = {(i, j) for i in range(len(lines)) for j in range(len(lines)) if near(lines[i], lines[j], None)}
+    assert len(links) == 5 * 40 and all(open_[i, j] for i, j in links)
+    assert open_.sum() == len(links)

@@ -1,4 +1,4 @@
-"""Banded bit-parallel edit distance, and the segments and substrings of the partition join."""
+"""Edit distance by diagonals, and the segments and substrings of the partition join."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from __future__ import annotations
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance of two strings is at most ``most``.
 
-    Behind the common ends, a band of ``2 * most + 1`` diagonals is kept as one bit vector for
-    each number of edits; a character moves all diagonals at once.
+    Behind the common ends, the furthest place on each diagonal is kept for one number of edits after the other.  Along a
+    diagonal equal stretches are passed by comparing slices, so the steps grow with the square of the edits and hardly with the length.
     """
     if abs(len(a) - len(b)) > most:
         return False
@@ -17,33 +17,26 @@ def within(a: str, b: str, most: int) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
         return max(len(a), len(b)) <= most
-    band = (1 << (2 * most + 1)) - 1
-    places: dict[str, int] = {}
-    for j, c in enumerate(b):
-        places[c] = places.get(c, 0) | 1 << j
-    inside = (1 << (len(b) + 1)) - 1
+    goal = len(b) - len(a)
+    reached = {0: 0}  # the diagonal, and how far along ``a``
+    for e in range(1, most + 1):
+        before, reached = reached, {}
+        # Other diagonals lead back to the ends of both with too many edits.
+        for d in range(max(-e, goal - most + e), min(e, goal + most - e) + 1):
+            i = max(before.get(d, -2) + 1, before.get(d - 1, -1), before.get(d + 1, -2) + 1)
+            i = min(i, len(a), len(b) - d)
+            if i >= max(0, -d):
+                reached[d] = i + _stretch(a, i, b, i + d)
+        if reached.get(goal) == len(a):
+            return True
+    return False
 
-    def shifted(bits: int, by: int) -> int:
-        return (bits >> by if by >= 0 else bits << -by) & band
 
-    # Bit d + most of states[e]: diagonal d is reached with e edits.
-    states = []
-    for e in range(most + 1):
-        reached = 1 << most if e == 0 else states[-1] | states[-1] << 1
-        states.append(reached & shifted(inside, -most))
-    for i, c in enumerate(a):
-        equal = shifted(places.get(c, 0), i - most)
-        valid = shifted(inside, i + 1 - most)
-        before, states = states, []
-        for e, s in enumerate(before):
-            reached = s & equal
-            if e:
-                reached |= before[e - 1] | before[e - 1] >> 1 | states[-1] << 1
-            states.append(reached & valid)
-        if not any(states):
-            return False
-    goal = len(b) - len(a) + most
-    return 0 <= goal <= 2 * most and bool(states[-1] >> goal & 1)
+def _stretch(a: str, i: int, b: str, j: int) -> int:
+    """How many characters are equal from two places on."""
+    if a[i : i + 1] != b[j : j + 1]:
+        return 0
+    return _common(len(a) - i, len(b) - j, lambda n: a[i : i + n] == b[j : j + n])
 
 
 def _common(x: int, y: int, same) -> int:

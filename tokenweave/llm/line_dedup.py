@@ -4,7 +4,7 @@ A line within ``edits`` of a shorter or equally long one contains one of its
 ``edits + 1`` segments near the segment's place.  Without a number, the edits grow with the shorter line: one for
 every ``PER`` characters, ``MOST`` at most.  Index entries (a line's segments) and probes
 (substrings of lines, by the length they are looked for in) meet by hash in one shuffle of sorted blocks; candidates
-are verified by a banded bit-parallel edit distance.  Of every component of
+are verified by an edit distance along diagonals.  Of every component of
 linked lines the first line stays.
 
 Lines are what stands between newlines.  Lines shorter than ``min_chars`` are near no other; with ``words`` those
@@ -241,36 +241,49 @@ def near(a: str, b: str, edits: int | None) -> bool:
     return within(a, b, allowed(min(len(a), len(b)), edits))
 
 
-#: Bits of a line's signature.
+#: Bits of a line's signature, and counts beside it.
 SIGNATURE = 512
+COUNTS = 512
+#: Pairs of lines whose counts are compared at a time.
+PAIRS = 1 << 12
 
 
-@lru_cache(maxsize=1 << 16)
-def signed(line: str) -> tuple[str, np.ndarray]:
-    """A line with a bit for the hash of each of its runs of three characters."""
+@lru_cache(maxsize=1 << 14)
+def signed(line: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """A line with a bit for the hash of each of its runs of three characters, and how often hashes of two come."""
     wide = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    twos = mixed(wide[:-1] * MIX + wide[1:]) % np.uint64(COUNTS)
     runs = mixed((wide[:-2] * MIX + wide[1:-1]) * MIX + wide[2:]) if len(wide) > 2 else wide[:0]
     bits = np.zeros(SIGNATURE, np.uint8)
     bits[runs % np.uint64(SIGNATURE)] = 1
-    return line, np.packbits(bits).view(np.uint64)
+    counts = np.minimum(np.bincount(twos.astype(np.int64), minlength=COUNTS), 255).astype(np.uint8)
+    return line, np.packbits(bits).view(np.uint64), counts
 
 
 def maybe_near(left: list, right: list, edits: int | None) -> np.ndarray:
-    """Which lines of two lists can be near by their lengths and signatures.
+    """Which lines of two lists can be near by their lengths, signatures and counts.
 
-    An edit takes away three runs of three characters at most and brings three, so it changes six bits at most.
+    An edit takes away three runs of three characters at most and brings three, so it changes six bits at most; of runs of
+    two it takes and brings two.  Counts are compared where signatures leave a pair, as those of long lines have most bits set.
     """
-    sizes = [np.array([len(line) for line, _ in side]) for side in (left, right)]
+    sizes = [np.array([len(line) for line, _, _ in side]) for side in (left, right)]
     most = np.array([allowed(n, edits) for n in range(int(max(s.max() for s in sizes)) + 1)])
     most = most[np.minimum(sizes[0][:, None], sizes[1][None, :])]
     close = np.abs(sizes[0][:, None] - sizes[1][None, :]) <= most
     if not close.any():
         return close
-    a, b = (np.stack([bits for _, bits in side], axis=1) for side in (left, right))
+    a, b = (np.stack([bits for _, bits, _ in side], axis=1) for side in (left, right))
     differ = np.zeros(close.shape, np.int16)
     for x, y in zip(a, b):  # word by word, as a whole block's differences then stay in the cache
         differ += np.bitwise_count(x[:, None] ^ y[None, :])
-    return close & (differ <= 6 * most)
+    close &= differ <= 6 * most
+    a, b = (np.stack([counts for _, _, counts in side]) for side in (left, right))
+    i, j = np.nonzero(close)
+    for at in range(0, len(i), PAIRS):
+        p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+        x, y = a[p], b[q]
+        close[p, q] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32) <= 4 * most[p, q]
+    return close
 
 
 def near_lines(edits: int | None):
