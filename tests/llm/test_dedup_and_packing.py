@@ -10,7 +10,7 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
-from tokenweave.llm import line_dedup, near_dedup, packing, passage_dedup
+from tokenweave.llm import line_dedup, near_dedup, packing, passage_dedup, quality_rules
 from tokenweave.llm.buckets import runs_with_hubs
 from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.edits import probes, segments, within
@@ -476,3 +476,16 @@ def test_counts_tell_long_lines_apart():
     links = {(i, j) for i in range(len(lines)) for j in range(len(lines)) if near(lines[i], lines[j], None)}
     assert len(links) == 5 * 40 and all(open_[i, j] for i, j in links)
     assert open_.sum() == len(links)
+
+
+def test_pipeline_leaves_no_copies_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tokenweave.session.scratch_dir", lambda spark: f"{tmp_path}/scratch")
+    texts = [(i, prose(i, 80) + "\n" + prose(i % 9, 20), "en", "s", 7) for i in range(40)] + [(100, "x$$$ " * 50, None, "s", 7)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    good, whole = corpus_pipeline.quality(spark, docs, ""), quality_rules.quality_verdicts(docs, carry=tuple(docs.columns))
+    assert sorted(good.collect()) == sorted(whole.where("kept").select(docs.columns).collect())
+    assert 30 < good.count() < 41
+    assert len({r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}) == 41
+    names = [p.name.rpartition("-")[0] for p in (tmp_path / "scratch").iterdir()]
+    assert names.count("quality") == 1 and "line-input" not in names  # the one is that of the verdicts above

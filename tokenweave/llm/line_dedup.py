@@ -28,7 +28,7 @@ from tokenweave.llm.buckets import unsettled_links
 from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.shingles import MIX, mixed
-from tokenweave.llm.text import ROW, packed, unpacked, with_fixed_rows, with_row_key
+from tokenweave.llm.text import ROW, packed, unpacked, with_fixed_rows
 from tokenweave.session import release, stage
 
 #: Characters of the shorter line that allow an edit, and the edits that any line allows at most.
@@ -349,7 +349,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", edits: int | None = None,
     """``docs`` without repeated lines; a text of which nothing but white space is left goes, if it had lines removed."""
     used = (key, "text", "n_chars")
     inside = packed(docs, *used)
-    held = stage(with_row_key(inside), "line-input")
+    held = with_fixed_rows(inside)  # a table that is read as it is needs no copy
     verdicts = line_verdicts(held, key, edits, min_chars, words).select(ROW, F.concat("equal", "near").alias("gone__"))
     joined = held.join(verdicts.where(F.size("gone__") > 0), ROW, "left")
     return unpacked(joined.transform(_without_lines, inside.columns), docs.columns, *used)

@@ -15,11 +15,14 @@ sources are groups of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenweave.llm.text import SPACES, covered, split_words, text_of, with_window_hashes
-from tokenweave.session import stage
+from tokenweave.session import release, stage
 
 SYMBOLS = r"[^#*$%&|<>]++"
 MIN_WORDS = 10
@@ -234,17 +237,30 @@ def robust_estimate(vectors: DataFrame, groups: list[str], names: list[str], ste
 
 def quality_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, the counts, ``base_failed``, ``distance`` and ``kept`` of every row."""
-    light = docs.select(
+    stats = stage(with_statistics(_light(docs, lang, source, carry)).drop("text"), "quality")
+    return _judged(stats, _group_estimates(stats))
+
+
+def _light(docs: DataFrame, lang: str, source: str, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried__"),
         # A group's name, with a mark that a name was given at all.
         F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")).alias("g_lang"),
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("g_source"),
         F.col("text"),
     )
-    stats = stage(with_statistics(light).drop("text"), "quality")
-    groups, names = ["g_lang", "g_source"], list(FLOORS)
-    params = robust_estimate(stats.where(~F.col("base_failed")).select(*groups, *names), groups, names)
-    judged = with_distance(stats, params, groups, names, "distance")
+
+
+GROUPS = ["g_lang", "g_source"]
+
+
+def _group_estimates(stats: DataFrame) -> DataFrame:
+    names = list(FLOORS)
+    return robust_estimate(stats.where(~F.col("base_failed")).select(*GROUPS, *names), GROUPS, names)
+
+
+def _judged(stats: DataFrame, params: DataFrame) -> DataFrame:
+    judged = with_distance(stats, params, GROUPS, list(FLOORS), "distance")
     return judged.select(
         "carried__.*",
         "n_words",
@@ -259,8 +275,19 @@ def quality_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source"
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
-    judged = quality_verdicts(
-        docs.withColumn("all__", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), carry=("all__",)
-    )
-    return judged.where("kept").select("all__.*")
+    """The rows of ``docs`` that pass, with their columns.
+
+    Only the statistics are staged for the estimates.  The documents are judged in a second pass, so that no copy of them stays behind.
+    """
+    docs = docs.withColumn("all__", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    stats = stage(with_statistics(_light(docs, "lang", "source", ())).drop("text", "carried__"), "quality")
+    params = _group_estimates(stats)
+    release(stats)
+    judged = _judged(with_statistics(_light(docs, "lang", "source", ("all__",))), params).select("all__", "kept")
+
+    # A condition would be pushed down into the statistics, and be computed there once for every time that it names one.
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(batch.column(1))
+
+    return judged.mapInArrow(passing, judged.schema).select("all__.*")
