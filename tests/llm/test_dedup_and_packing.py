@@ -489,3 +489,15 @@ def test_pipeline_leaves_no_copies_of_documents(spark, tmp_path, monkeypatch):
     assert len({r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}) == 41
     names = [p.name.rpartition("-")[0] for p in (tmp_path / "scratch").iterdir()]
     assert names.count("quality") == 1 and "line-input" not in names  # the one is that of the verdicts above
+
+
+def test_quality_rules_of_the_pipeline_run_no_python(spark):
+    rows = [(i, prose(i, 60 + i % 30) if i % 10 else "x", "en", f"s{i % 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    good = quality_rules.keep_good(docs)
+    plans = good._jdf.queryExecution()
+    made, once = plans.optimizedPlan().toString(), quality_rules.with_statistics(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Arrow" not in plans.executedPlan().toString() and "Python" not in plans.executedPlan().toString()
+    assert made.count("regexp_replace(") == once.count("regexp_replace(")  # not again in a condition
+    kept = quality_rules.quality_verdicts(docs).where("kept").select("doc_id").collect()
+    assert sorted(good.select("doc_id").collect()) == sorted(kept) and 0 < len(kept) < 200

@@ -15,9 +15,6 @@ sources are groups of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -283,11 +280,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     stats = stage(with_statistics(_light(docs, "lang", "source", ())).drop("text", "carried__"), "quality")
     params = _group_estimates(stats)
     release(stats)
-    judged = _judged(with_statistics(_light(docs, "lang", "source", ("all__",))), params).select("all__", "kept")
-
-    # A condition would be pushed down into the statistics, and be computed there once for every time that it names one.
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(batch.column(1))
-
-    return judged.mapInArrow(passing, judged.schema).select("all__.*")
+    judged = _judged(with_statistics(_light(docs, "lang", "source", ("all__",))), params)
+    # A condition on ``kept`` would be pushed down into the statistics, and be computed there once for every time that it
+    # names one.  Nothing is pushed below a column that follows from the task.
+    passing = judged.select("all__", F.when(F.col("kept"), F.spark_partition_id()).alias("passed__"))
+    return passing.where(F.col("passed__").isNotNull()).select("all__.*")
