@@ -6,6 +6,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tokenweave.llm.components import connected_components, merged_components
 from tokenweave.llm.edits import probes, segments, within
 from tokenweave.llm.queries import registered, tokenizer_file
 from tokenweave.llm.shingles import Minima, WordHashes, band_keys, bands_for, windows
+from tokenweave.session import stage
 
 
 def union(nodes, links):
@@ -501,3 +503,17 @@ def test_quality_rules_of_the_pipeline_run_no_python(spark):
     assert made.count("regexp_replace(") == once.count("regexp_replace(")  # not again in a condition
     kept = quality_rules.quality_verdicts(docs).where("kept").select("doc_id").collect()
     assert sorted(good.select("doc_id").collect()) == sorted(kept) and 0 < len(kept) < 200
+
+
+def test_blocks_go_to_python_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tokenweave.session.scratch_dir", lambda spark: f"{tmp_path}/scratch")
+
+    @F.arrow_udf("long")
+    def rows(x: pa.Array) -> pa.Array:
+        return pa.array([len(x)] * len(x), pa.int64())
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.range(0, 500, 1, 1).select(rows("id").alias("n"))
+    assert stage(df, "few", batch=16).agg(F.max("n")).first()[0] == 16
+    assert stage(df, "many").agg(F.max("n")).first()[0] == 500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

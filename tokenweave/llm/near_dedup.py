@@ -40,7 +40,7 @@ from tokenweave.llm.shingles import (
     shingles_udf,
 )
 from tokenweave.llm.text import ROW, packed, unpacked, with_row_key
-from tokenweave.session import release, stage
+from tokenweave.session import BLOCK_ROWS, release, stage
 
 WORDS = 5
 PERCENT = 80
@@ -145,7 +145,8 @@ def unsettled_links(edges: DataFrame, payloads: DataFrame, found: DataFrame, bou
     pairs = block_pairs(stage(open_.join(payloads, "node"), "blocks"), ["signature", "set"])
     compare = exact_links(bound, percent)
     made = compare("l.comp", "l.signature", "l.set", "r.comp", "r.signature", "r.set")
-    return pairs.select(F.explode(made).alias("p")).select("p.*").distinct()
+    links = pairs.select(F.explode(made).alias("p")).select("p.*").distinct()
+    return stage(links, "open-links", batch=BLOCK_ROWS)
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
