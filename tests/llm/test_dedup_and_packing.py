@@ -517,3 +517,42 @@ def test_blocks_go_to_python_a_few_at_a_time(spark, tmp_path, monkeypatch):
     assert stage(df, "few", batch=16).agg(F.max("n")).first()[0] == 16
     assert stage(df, "many").agg(F.max("n")).first()[0] == 500
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_chains_of_buckets_are_not_one_cluster(spark, tmp_path, monkeypatch):
+    from tokenweave.llm.buckets import unsettled_groups
+
+    monkeypatch.setattr("tokenweave.session.scratch_dir", lambda spark: f"{tmp_path}/scratch")
+    # A chain of buckets with one member in common, a family in many buckets, and a settled bucket.
+    rest = [(i, f"c{2 * i + k:04}") for i in range(100) for k in range(3)]
+    rest += [(1000 + i, f"f{k:02}") for i in range(40) for k in range(20) if k != i] + [(2000, f"s{k}") for k in range(9)]
+    found = [(f"s{k}", "s0") for k in range(1, 9)] + [("c0001", "c0000")]
+    rest = spark.createDataFrame(rest, "bucket long, node string")
+    found = spark.createDataFrame(found, "node string, component string")
+    held = {}
+    for x in unsettled_groups(rest, found).collect():
+        assert x.first == min(x.first, x.comp) and x.comp == {"c0001": "c0000"}.get(x.node, x.node)
+        held.setdefault(x.cluster, set()).add(x.node)
+    family = {f"f{k:02}" for k in range(20)}
+    chain = [{f"c{2 * i + k:04}" for k in range(3)} for i in range(100)]
+    assert sorted(map(sorted, held.values())) == sorted(map(sorted, [*chain, family]))
+
+
+def test_hubs_and_the_rest_of_a_key_lose_no_pair():
+    r = random.Random(4)
+    entries = [(key, kind, ref) for key in range(300) for kind in (0, 1) for ref in r.sample(range(90), r.choice([0, 1, 2, 4, 5, 6, 9]))]
+    entries = sorted(entries, key=lambda x: (x[1], x[0]))
+    heads = sum(kind == 0 for _, kind, _ in entries)
+    keys = np.array([x[0] for x in entries], "<u4").tobytes()
+    refs = np.ascontiguousarray(np.array([x[2] for x in entries], "<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    met = line_dedup._met([(1000, heads, keys, refs)]).to_pylist()
+    pairs = {frozenset((x["hub"] - 1000, x["node"] - 1000)) for x in met if x["kind"] == line_dedup.PAIR}
+    buckets, wanted = {}, set()
+    for x in met:
+        if x["kind"] == line_dedup.REST:
+            buckets.setdefault(x["hub"], []).append(x["node"] - 1000)
+    for key in range(300):
+        first, second = ([ref for k, kind, ref in entries if k == key and kind == n] for n in (0, 1))
+        wanted |= {frozenset((a, b)) for a in first for b in first + second if a != b}
+    assert wanted <= pairs | {frozenset((a, b)) for some in buckets.values() for a in some for b in some}
+    assert pairs <= wanted and len(pairs) < len(wanted) and buckets

@@ -20,6 +20,8 @@ from tokenweave.session import BLOCK_ROWS, release, stage
 
 #: Members of a block.
 BLOCK = 128
+#: Pairs of two blocks that are compared one by one, without telling for all at once which are possible.
+FEW = 64
 
 
 def runs_with_hubs(rows: DataFrame) -> DataFrame:
@@ -69,15 +71,11 @@ def runs_with_hubs(rows: DataFrame) -> DataFrame:
     )
 
 
-def spanning_links(
-    prepare: Callable[[object], object],
-    linked: Callable[[object, object], bool],
-    possible: Callable[[list, list], np.ndarray] | None = None,
-):
+def spanning_links(linked: Callable[[object, object], bool], possible: Callable[[list, list], np.ndarray] | None = None):
     """Column function over two blocks: links between components that members of both link.
 
     Members that links of the same two blocks already join are not compared again.  ``possible``, where
-    given, tells for all pairs of two lists of prepared items at once which of them need to be compared.
+    given, tells for all pairs of two lists of items at once which of them need to be compared.
     """
 
     @F.arrow_udf("array<struct<a:string,b:string>>")
@@ -87,9 +85,8 @@ def spanning_links(
         out = []
         for row in zip(c1, x1, c2, x2):
             left_c, left_x, right_c, right_x = (v.as_py() for v in row)
-            left_x, right_x = [prepare(x) for x in left_x], [prepare(x) for x in right_x]
             joined, links = Joined(), []
-            open_ = possible(left_x, right_x) if possible else None
+            open_ = possible(left_x, right_x) if possible and len(left_x) * len(right_x) > FEW else None
             for i, (comp_a, item_a) in enumerate(zip(left_c, left_x)):
                 for j in range(len(right_c)) if open_ is None else np.flatnonzero(open_[i]).tolist():
                     comp_b, item_b = right_c[j], right_x[j]
@@ -169,17 +166,48 @@ def block_pairs(rest: DataFrame, payload: list[str]) -> DataFrame:
     return left.join(right, "cluster")
 
 
-def unsettled_links(
-    edges: DataFrame, payloads: DataFrame, found: DataFrame, prepare, linked, possible=None
-) -> DataFrame | None:
-    """Links ``(a, b)`` of components inside clusters that several components lie in; None where there are none.
+def unsettled_groups(rest: DataFrame, found: DataFrame) -> DataFrame | None:
+    """``(cluster, node, comp, first, block, blocks)`` of what the hubs left open of buckets; None where that is nothing.
 
-    ``payloads`` has ``node`` and ``payload``, which ``prepare`` makes ready for ``linked``.
+    ``rest`` are ``(bucket, node)``, each once, and any two members of a bucket that lie in different components have to meet.
+    Buckets that components connect are one cluster, as families of items share many buckets.  Where buckets of little in common
+    are connected, as they are in ever longer chains the more items there are, each is a cluster of its own:
+    of the two ways the one with fewer pairs is taken.
     """
-    open_ = unsettled_members(edges, found)
+    comp = F.coalesce("component", "node").alias("comp")
+    members = stage(rest.join(found, "node", "left").select("bucket", "node", comp), "rest")
+    spans = members.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("size"))
+    mixed = stage(members.join(spans.where("first != last").drop("last"), "bucket"), "mixed")
+    release(members)
+    if mixed.isEmpty():
+        release(mixed)
+        return None
+    chains = connected_components(mixed.where("comp != first").select(F.col("comp").alias("a"), F.col("first").alias("b")))
+    chained = mixed.join(chains.toDF("comp", "chain"), "comp", "left").withColumn("chain", F.coalesce("chain", "comp"))
+    chained = stage(chained.select("chain", "bucket", "size", "node", "comp"), "chained")
+    release(mixed)
+    whole = chained.select("chain", "node").distinct().groupBy("chain").agg(F.count("*").cast("double").alias("n"))
+    parts = chained.groupBy("chain").agg(F.sum(F.col("size").cast("double")).alias("pairs"))  # a bucket's size for each member
+    apart = whole.join(parts, "chain").select("chain", (F.col("pairs") < F.col("n") * F.col("n")).alias("apart"))
+    cluster = F.when(F.col("apart"), F.concat("chain", F.lit("/"), F.col("bucket").cast("string"))).otherwise(F.col("chain"))
+    placed = stage(chained.join(apart, "chain").select(cluster.alias("cluster"), "node", "comp").distinct(), "placed")
+    release(chained)
+    sizes = placed.groupBy("cluster").agg(F.min("comp").alias("first"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members.reads = (placed,)  # for those who release them
+    return members
+
+
+def unsettled_links(rest: DataFrame, payloads: DataFrame, found: DataFrame, linked, possible=None) -> DataFrame | None:
+    """Links ``(a, b)`` of components inside buckets that several components lie in; None where there are none.
+
+    ``payloads`` has ``node`` and ``payload``, which ``linked`` and ``possible`` take.
+    """
+    open_ = unsettled_groups(rest, found)
     if open_ is None:
         return None
     pairs = block_pairs(stage(open_.join(payloads.select("node", "payload"), "node"), "blocks"), ["payload"])
-    compare = spanning_links(prepare, linked, possible)
+    release(*open_.reads)
+    compare = spanning_links(linked, possible)
     links = pairs.select(F.explode(compare("l.comp", "l.payload", "r.comp", "r.payload")).alias("p"))
     return stage(links.select("p.*").distinct(), "open-links", batch=BLOCK_ROWS)

@@ -4,8 +4,9 @@ A line within ``edits`` of a shorter or equally long one contains one of its
 ``edits + 1`` segments near the segment's place.  Without a number, the edits grow with the shorter line: one for
 every ``PER`` characters, ``MOST`` at most.  Index entries (a line's segments) and probes
 (substrings of lines, by the length they are looked for in) meet by hash in one shuffle of sorted blocks; candidates
-are verified by an edit distance along diagonals.  Of every component of
-linked lines the first line stays.
+are verified by an edit distance along diagonals.  The first index entries of a key are its hubs, which meet all that
+comes behind them; only where a key has more index entries than that, what is left of it in several components meets block
+against block.  Of every component of linked lines the first line stays.
 
 Lines are what stands between newlines.  Lines shorter than ``min_chars`` are near no other; with ``words`` those
 that hold a letter or a digit count as equal lines, without it they stay everywhere.  Edge cases: a null text has no lines and stays null; repeated
@@ -42,6 +43,8 @@ GROUP = 1 << 17
 #: Entries that a task sorts into blocks at a time, and cells of the keys for each shuffle partition.
 FLUSH = 1 << 21
 CELLS = 4
+#: Index entries of a key that are paired with whatever comes behind them.
+HUBS = 2
 
 
 def _name(one: str, two: str):
@@ -68,15 +71,17 @@ def allowed(length: int, edits: int | None) -> int:
 BLOCKS = "cell int, base bigint, heads int, keys binary, refs binary"
 #: In place of the number of index entries: the row has the lines' hashes.
 NAMES = -1
+#: What a row of two numbers is: a pair of lines, a line and its hash, or the first hub of a key and a line behind its hubs.
+PAIR, NAMED, REST = range(3)
 
 
-def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> DataFrame:
-    """``(hub, node)``: lines, by a hash, of which one looks up a segment of the other.
+def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """``(hub, node)``: lines, by a hash, of which one looks up a segment of the other; and ``(bucket, short)`` of those behind the hubs.
 
     Tasks number their distinct lines and put the index entries and probes into blocks, one for each cell of the keys:
     four bytes of a key and three of a line number an entry, index entries first.  Those of all blocks of a cell are
-    met first; the first line of a key is its hub, and whatever comes later pairs with it, so a task holds the
-    entries of a cell and not their lines.  The numbers are replaced by the lines' hashes at the end.
+    met together, so a task holds the entries of a cell and not their lines.  Lines that one of them looks up in another
+    are a pair of the first frame, or both in a bucket of the second.  The numbers are replaced by the lines' hashes at the end.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     bits = (CELLS * partitions - 1).bit_length()
@@ -121,7 +126,7 @@ def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> DataF
                 base, heads, keys, refs = base.as_py(), heads.as_py(), keys.as_py(), refs.as_py()
                 if heads == NAMES:
                     names = np.frombuffer(keys, np.int64)
-                    yield _pair_rows(np.arange(base, base + len(names)), names, True)
+                    yield _rows(np.arange(base, base + len(names)), names, NAMED)
                     continue
                 if this.as_py() != cell:
                     yield _met(held)
@@ -130,37 +135,62 @@ def candidate_pairs(docs: DataFrame, edits: int | None, min_chars: int) -> DataF
         yield _met(held)
 
     laid = docs.select("text").mapInArrow(blocks, BLOCKS).repartition("cell").sortWithinPartitions("cell")
-    found = stage(laid.mapInArrow(pairs, "hub bigint, node bigint, named boolean"), "line-runs")
-    names = found.where("named").select(F.col("hub").alias("id"), F.col("node").alias("name"))
-    numbered = found.where("not named").select("hub", "node").distinct()
+    found = stage(laid.mapInArrow(pairs, "hub bigint, node bigint, kind int"), "line-runs")
+    names = found.where(F.col("kind") == NAMED).select(F.col("hub").alias("id"), F.col("node").alias("name"))
+    numbered = found.where(F.col("kind") == PAIR).select("hub", "node").distinct()
     first = names.withColumnsRenamed({"id": "hub", "name": "a"})
     second = names.withColumnsRenamed({"id": "node", "name": "b"})
     named = numbered.join(first, "hub").join(second, "node").where("a != b")
     pairs = stage(named.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct(), "line-pairs")
+    behind = found.where(F.col("kind") == REST).select(F.col("hub").alias("bucket"), "node").distinct()
+    rest = stage(behind.join(second, "node").select("bucket", F.col("b").alias("short")).distinct(), "line-rest")
     release(found)
-    return pairs
+    return pairs, rest
 
 
 def _met(held: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
-    """Pairs of the blocks of one cell: of its index entries, then of its probes with these."""
-    hubs, left, right = {}, [], []
-    for probe in (False, True):
-        for base, heads, keys, refs in held:
-            part = slice(heads, None) if probe else slice(heads)
-            ids = np.zeros((len(refs) // 3, 4), np.uint8)
-            ids[:, :3] = np.frombuffer(refs, np.uint8).reshape(-1, 3)
-            ids = (ids.view("<u4").ravel()[part].astype(np.int64) + base).tolist()
-            met = np.frombuffer(keys, "<u4")[part].tolist()
-            for hub, node in zip(map(hubs.get, met) if probe else map(hubs.setdefault, met, ids), ids):
-                if hub is not None and hub != node:
-                    left.append(hub)
-                    right.append(node)
-    return _pair_rows(np.array(left, np.int64), np.array(right, np.int64), False)
-
-
-def _pair_rows(left: np.ndarray, right: np.ndarray, named: bool) -> pa.RecordBatch:
-    columns = [pa.array(left), pa.array(right), pa.array(np.full(len(left), named))]
-    return pa.RecordBatch.from_arrays(columns, names=["hub", "node", "named"])
+    """Pairs of the blocks of one cell: of a key's hubs and what comes behind each, index entries first.  Then the rest.
+
+    The rest is what stands behind the hubs where that still has index entries.  Its bucket is named by the first hub, so what
+    lines of a family leave behind the same one in many keys is one bucket.
+    """
+    none = np.zeros(0, np.int64)
+    keys, ids, probes = [np.zeros(0, np.uint32)], [none], [none.astype(bool)]
+    for base, heads, packed_keys, refs in held:
+        wide = np.zeros((len(refs) // 3, 4), np.uint8)
+        wide[:, :3] = np.frombuffer(refs, np.uint8).reshape(-1, 3)
+        ids.append(wide.view("<u4").ravel().astype(np.int64) + base)
+        keys.append(np.frombuffer(packed_keys, "<u4"))
+        probes.append(np.arange(len(wide)) >= heads)
+    keys, ids, probes = np.concatenate(keys), np.concatenate(ids), np.concatenate(probes)
+    order = np.argsort(keys, kind="stable")
+    several = np.append(False, keys[order[1:]] == keys[order[:-1]])[: len(order)]
+    order = order[several | np.append(several[1:], False)[: len(order)]]  # most keys come once
+    order = order[np.lexsort((ids[order], probes[order], keys[order]))]
+    keys, ids, probes = keys[order], ids[order], probes[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    sizes = np.diff(np.append(starts, len(keys)))
+    heads = np.add.reduceat(~probes, starts, dtype=np.int64) if len(starts) else none
+    place, count = np.arange(len(keys)) - np.repeat(starts, sizes), np.repeat(heads, sizes)
+    left, right, kinds = [], [], []
+    for k in range(HUBS):
+        behind = np.flatnonzero((place > k) & (count > k))
+        hubs, nodes = ids[behind - place[behind] + k], ids[behind]
+        left.append(hubs[hubs != nodes])
+        right.append(nodes[hubs != nodes])
+        kinds.append(np.full(len(left[-1]), PAIR))
+    rest = np.flatnonzero((place >= HUBS) & (count > HUBS) & (np.repeat(sizes, sizes) > HUBS + 1))
+    if len(rest):
+        left.append(ids[rest - place[rest]])
+        right.append(ids[rest])
+        kinds.append(np.full(len(rest), REST))
+    return _rows(np.concatenate(left), np.concatenate(right), np.concatenate(kinds))
+
+
+def _rows(left: np.ndarray, right: np.ndarray, kind: int | np.ndarray) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, np.int32), left.shape)
+    columns = [pa.array(left), pa.array(right), pa.array(np.ascontiguousarray(kinds))]
+    return pa.RecordBatch.from_arrays(columns, names=["hub", "node", "kind"])
 
 
 def _blocks(held: list[tuple[np.ndarray, ...]], nodes: list[int], base: int, bits: int) -> pa.RecordBatch:
@@ -286,6 +316,10 @@ def maybe_near(left: list, right: list, edits: int | None) -> np.ndarray:
     return close
 
 
+def open_lines(left: list[str], right: list[str], edits: int | None) -> np.ndarray:
+    return maybe_near([signed(x) for x in left], [signed(x) for x in right], edits)
+
+
 def near_lines(edits: int | None):
     """Column function: whether two lines are within ``edits``."""
 
@@ -305,7 +339,7 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     found = stage(_lines(light, min_chars, words).drop("line"), "lines")
     place = F.struct(F.col("key__").isNull().alias("none"), F.col("key__").alias("key"), F.col(ROW).alias("row"), "line_no")
     classes = stage(found.groupBy("one", "two").agg(F.min(place).alias("first")), "line-classes")
-    pairs = candidate_pairs(light, edits, min_chars)
+    pairs, rest = candidate_pairs(light, edits, min_chars)
     shorts = pairs.select(F.explode(F.array("hub", "node")).alias("short")).distinct()
     texts = stage(
         _lines(light.select("text"), min_chars)
@@ -318,15 +352,15 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", edits: int | None = None
     b = texts.select(F.col("short").alias("node"), F.col("node").alias("b"), F.col("payload").alias("y"))
     links = stage(pairs.join(a, "hub").join(b, "node").where(near_lines(edits)("x", "y")).select("a", "b"), "line-links")
     components = connected_components(links)
-    edges = pairs.join(a.drop("x"), "hub").join(b.drop("y"), "node").select("a", "b")
-    more = unsettled_links(edges, texts, components, signed, lambda x, y: near(x[0], y[0], edits), partial(maybe_near, edits=edits))
+    behind = rest.join(texts.select("short", "node"), "short").select("bucket", "node")
+    more = unsettled_links(behind, texts, components, partial(near, edits=edits), partial(open_lines, edits=edits))
     if more is not None:
         components = merged_components(components, more)
     rooted = classes.withColumn("node", _name("one", "two")).join(components, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
     settled = stage(rooted.join(firsts, "root").select("one", "two", "first", "best"), "line-firsts")
-    release(classes, pairs, texts, links)
+    release(classes, pairs, rest, texts, links)
     judged = found.join(settled, ["one", "two"])
     here = (F.col(ROW) == F.col("best.row")) & (F.col("line_no") == F.col("best.line_no"))
     leads = (F.col(ROW) == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
